@@ -1,0 +1,25 @@
+"""Joins against a side whose size is checked before it is broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Broadcast at most this many rows of a key table (a few MB to tens of MB of
+# short keys). Above it the join falls back to a shuffle join, where AQE's
+# skew-join handling splits hot keys.
+DEFAULT_MAX_BROADCAST_ROWS = 500_000
+
+
+def maybe_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
+                    ) -> tuple[DataFrame, int]:
+    """Return ``(side, rows)``: the side hinted for broadcast when its row count
+    (an action over the small side only) is within ``max_rows``."""
+    rows = small.count()
+    return (F.broadcast(small) if rows <= max_rows else small), rows
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str] | Column,
+                 how: str = "inner", max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    side, _ = maybe_broadcast(small, max_rows)
+    return big.join(side, on, how)

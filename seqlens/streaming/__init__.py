@@ -1,0 +1,6 @@
+"""Streaming.
+
+The analysis has no streaming reports: every report is a one-shot batch over
+the landed tables. This package only lands new token rows incrementally
+(``landing``) so the batch reports can be re-run over a growing table.
+"""
