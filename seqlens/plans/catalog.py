@@ -26,9 +26,10 @@ from seqlens.operators.sequence import DEFAULT_HEAVY_THRESHOLD
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _seq(spark: SparkSession, sf_dir: str, heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOLD
-         ) -> DataFrame:
-    return sequenced_games(fixture.token_tables(spark, sf_dir), heavy_threshold=heavy_threshold)
+def _seq(spark: SparkSession, sf_dir: str, heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOLD,
+         total: str | None = "n") -> DataFrame:
+    return sequenced_games(fixture.token_tables(spark, sf_dir), heavy_threshold=heavy_threshold,
+                           total=total)
 
 
 def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +37,6 @@ def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return official_games(t.metadata, t.scores, t.owners)
 
 
-def _bigint(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*[F.col(c).cast("bigint").alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
-
-
 # --- composite reports ----------------------------------------------------------
 
 def experience_tiers(spark, d):
@@ -56,7 +52,9 @@ def within_player_improvement(spark, d):
 
 
 def cohort_first_games(spark, d):
-    return reports.cohort_first_games(_seq(spark, d), fixture.members(spark, d))
+    # ordinal only (no total): the first-k filter becomes a per-owner limit
+    # applied before the shuffle (WindowGroupLimit)
+    return reports.cohort_first_games(_seq(spark, d, total=None), fixture.members(spark, d))
 
 
 def cohort_learning_curve(spark, d):
@@ -106,7 +104,7 @@ def game_sequence_q(spark, d):
 
 
 def valid_scores(spark, d):
-    return valid(_seq(spark, d, )).select("owner", "id", "game_no", "sc")
+    return valid(_seq(spark, d)).select("owner", "id", "game_no", "sc")
 
 
 def grouped_median_q(spark, d):
@@ -134,7 +132,7 @@ def half_medians(spark, d):
 
 
 def first_k_games(spark, d):
-    return reports.first_k_games(_seq(spark, d)).select("owner", "id", "game_no", "sc")
+    return reports.first_k_games(_seq(spark, d, total=None)).select("owner", "id", "game_no", "sc")
 
 
 # --- statistics stated in prose --------------------------------------------------

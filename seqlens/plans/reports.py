@@ -23,6 +23,7 @@ from seqlens.operators.cohorts import drop_members, tag_members
 from seqlens.operators.games import game_sequence, is_valid
 from seqlens.operators.median import median_of
 from seqlens.operators.ranking import quantile_tiers
+from seqlens.operators.reuse import materialize
 
 
 def _r1(c: Column) -> Column:
@@ -116,25 +117,40 @@ def cohort_first_games(seq: DataFrame, members: DataFrame, k: int = K.COHORT_FIR
 
 # --- Q6 ---------------------------------------------------------------------
 
+def _persistence_base(seq: DataFrame, min_games: int, last: int | None = None) -> DataFrame:
+    keep = (F.col("n") >= min_games) & is_valid()
+    if last is not None:
+        keep = keep & (F.col("game_no") <= last)
+    return seq.filter(keep).select("owner", "game_no", "sc")
+
+
+def _skill_tiers(e: DataFrame, early: int, k: int) -> DataFrame:
+    em = e.filter(F.col("game_no") <= early) \
+        .groupBy(F.col("owner").alias("player")).agg(median_of("sc").alias("e10"))
+    return quantile_tiers(em, k, ["e10"], ["player"], tier="skill_tier")
+
+
 def skill_tiers(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
                 early: int = K.PERSISTENCE_EARLY_GAMES, k: int = K.PERSISTENCE_TIERS
                 ) -> DataFrame:
     """``player, e10, skill_tier``: median valid score over ordinals
     ``<= early`` of players with ``n >= min_games``, cut into ``k`` NTILE tiers
     (ties broken by player)."""
-    e = seq.filter((F.col("n") >= min_games) & is_valid())
-    em = e.filter(F.col("game_no") <= early) \
-        .groupBy(F.col("owner").alias("player")).agg(median_of("sc").alias("e10"))
-    return quantile_tiers(em, k, ["e10"], ["player"], tier="skill_tier")
+    return _skill_tiers(_persistence_base(seq, min_games), early, k)
 
 
 def skill_persistence(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
                       early: int = K.PERSISTENCE_EARLY_GAMES, k: int = K.PERSISTENCE_TIERS,
-                      windows=K.PERSISTENCE_WINDOWS) -> DataFrame:
-    """Median valid score per (early-skill tier, later window of ordinals)."""
-    tiers = skill_tiers(seq, min_games, early, k).select(F.col("player").alias("owner"), "skill_tier")
-    later = seq.filter((F.col("n") >= min_games) & is_valid()
-                       & (F.col("game_no") > early) & (F.col("game_no") <= windows[-1]))
+                      windows=K.PERSISTENCE_WINDOWS, reuse: str = "persist") -> DataFrame:
+    """Median valid score per (early-skill tier, later window of ordinals).
+
+    The filtered, narrow game rows feed both the tiers and the later windows;
+    they are materialised once (``reuse``) so the joins and the numbering
+    window run once. Only ordinals up to the last window are kept, so the
+    cached rows are bounded by ``windows[-1]`` per player."""
+    e = materialize(_persistence_base(seq, min_games, windows[-1]), reuse)
+    tiers = _skill_tiers(e, early, k).select(F.col("player").alias("owner"), "skill_tier")
+    later = e.filter((F.col("game_no") > early) & (F.col("game_no") <= windows[-1]))
     win, _ = bucketize("game_no", [(w, str(w)) for w in windows[:-1]], str(windows[-1]))
     # Plain join: the numbered rows are already partitioned by owner, so only
     # the per-player tier table moves (AQE broadcasts it when it is small).
