@@ -71,7 +71,10 @@ def normalise_address(col: Column | str) -> Column:
     same integer, so an equi-join on the result is numeric address matching.
     Digits beyond 64 are kept (never truncated).
     """
-    stripped = F.regexp_replace(F.lower(F.trim(_c(col))), r"^(0x)?0*", "")
+    s = F.lower(F.trim(_c(col)))
+    # plain string functions (no regex): drop the prefix, then leading zeros
+    body = F.when(s.startswith(F.lit("0x")), F.substring(s, 3, 1 << 30)).otherwise(s)
+    stripped = F.ltrim(body, F.lit("0"))
     padded = F.when(F.length(stripped) >= ADDRESS_HEX_DIGITS, stripped) \
         .otherwise(F.lpad(stripped, ADDRESS_HEX_DIGITS, "0"))
     return F.concat(F.lit("0x"), padded)

@@ -75,9 +75,18 @@ def valid(df: DataFrame, sc: str = "sc", lo: int = VALID_SCORE_MIN,
 
 
 def sequenced_games(tables, heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOLD,
-                    total: str | None = "n", **scope) -> DataFrame:
-    """official_games + game_sequence, with heavy candidates from the owners table."""
+                    total: str | None = "n", before_numbering=None, **scope) -> DataFrame:
+    """official_games + game_sequence, with heavy candidates from the owners table.
+
+    ``before_numbering``: optional ``DataFrame -> DataFrame`` applied to the
+    game rows before they are numbered (e.g. removing whole owners)."""
     g = official_games(tables.metadata, tables.scores, tables.owners, **scope)
+    if before_numbering is not None:
+        g = before_numbering(g)
+    if heavy_threshold is not None and tables.owners.count() <= heavy_threshold:
+        # no owner can exceed the threshold (a row count is answered from file
+        # metadata): the plain window is exact and needs no key check
+        heavy_threshold = None
     hk = owner_heavy_keys(tables.owners, heavy_threshold) if heavy_threshold else None
     return game_sequence(g, heavy_threshold=heavy_threshold, heavy_keys=hk, total=total)
 

@@ -62,7 +62,8 @@ def sequence(df: DataFrame, entity: str, order: list[str], tiebreak: list[str],
     if heavy_threshold is None:
         return _plain(df, entity, keys, ordinal, total)
     cand = heavy_keys if heavy_keys is not None else heavy_candidates(df, entity, heavy_threshold)
-    cand = cand.select(entity).distinct()
+    # duplicates are harmless: the keys only feed a semi and an anti join
+    cand = cand.select(entity)
     side, n_heavy = maybe_broadcast(cand, max_broadcast_rows)
     if n_heavy == 0:
         return _plain(df, entity, keys, ordinal, total)

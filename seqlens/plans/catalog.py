@@ -58,7 +58,7 @@ def cohort_first_games(spark, d):
 
 
 def cohort_learning_curve(spark, d):
-    return reports.cohort_learning_curve(_games(spark, d), fixture.members(spark, d))
+    return reports.cohort_learning_curve(fixture.token_tables(spark, d), fixture.members(spark, d))
 
 
 def skill_persistence(spark, d):

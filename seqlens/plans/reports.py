@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from seqlens.functions import constants as K
 from seqlens.functions.scalars import bucketize
 from seqlens.operators.cohorts import drop_members, tag_members
-from seqlens.operators.games import game_sequence, is_valid
+from seqlens.operators.games import is_valid, sequenced_games
 from seqlens.operators.median import median_of
 from seqlens.operators.ranking import quantile_tiers
 from seqlens.operators.reuse import materialize
@@ -55,12 +55,14 @@ def learning_curve(seq: DataFrame, min_players: int = K.LEARNING_CURVE_MIN_PLAYE
     return r.filter(F.col("players") >= min_players).orderBy("game_no")
 
 
-def cohort_learning_curve(games: DataFrame, members: DataFrame,
+def cohort_learning_curve(tables, members: DataFrame,
                           min_players: int = K.LEARNING_CURVE_MIN_PLAYERS,
                           **sequence_args) -> DataFrame:
     """The learning curve of non-members only. Membership depends only on the
     owner, so members are removed before numbering (fewer rows sorted)."""
-    seq = game_sequence(drop_members(games, "owner", members), total=None, **sequence_args)
+    seq = sequenced_games(tables, total=None,
+                          before_numbering=lambda g: drop_members(g, "owner", members),
+                          **sequence_args)
     return learning_curve(seq, min_players)
 
 
@@ -152,8 +154,9 @@ def skill_persistence(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
     tiers = _skill_tiers(e, early, k).select(F.col("player").alias("owner"), "skill_tier")
     later = e.filter((F.col("game_no") > early) & (F.col("game_no") <= windows[-1]))
     win, _ = bucketize("game_no", [(w, str(w)) for w in windows[:-1]], str(windows[-1]))
-    # Plain join: the numbered rows are already partitioned by owner, so only
-    # the per-player tier table moves (AQE broadcasts it when it is small).
+    # Plain join on owner: both sides are per-player bounded (at most
+    # windows[-1] rows per player on the left); AQE broadcasts the tier table
+    # when it is small and splits skewed partitions otherwise.
     j = later.join(tiers, "owner").withColumn("later_window", win.cast("bigint"))
     return _median_report(j, ["skill_tier", "later_window"], "games") \
         .orderBy("skill_tier", "later_window")

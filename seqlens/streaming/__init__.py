@@ -1,6 +1,7 @@
 """Streaming.
 
-The analysis has no streaming reports: every report is a one-shot batch over
-the landed tables. This package only lands new token rows incrementally
-(``landing``) so the batch reports can be re-run over a growing table.
+Nothing is built here: the analysis has no streaming work. Every report is a
+one-shot batch query over landed tables (no watermark, window, session or
+state appears in it), so the reports run as batch DataFrame plans and are
+simply re-run when new data has landed.
 """
