@@ -25,9 +25,11 @@ def test_experience_tier_edges(spark):
 
 
 def test_invalid_scores_keep_ordinals(spark):
+    # ordinals 1..6; games 1 (score 0) and 2 (3001) are invalid but keep their
+    # ordinals: tier 2-5 holds the valid 7, 8, 9 and tier 6-20 holds 10
     seq = _games(spark, {"p": [0, 3001, 7, 8, 9, 10]})
     out = {r.experience: (r.games, r.median_score) for r in reports.experience_tiers(seq).collect()}
-    assert out == {"2nd-5th game": (2, 7.5), "6th-20th game": (2, 9.5)}
+    assert out == {"2nd-5th game": (3, 8.0), "6th-20th game": (1, 10.0)}
 
 
 def test_learning_curve_support(spark):
