@@ -42,3 +42,14 @@ def test_median_is_an_aggregate(spark):
     # one per-owner window for the ordinal; medians are partial aggregates
     assert p.count("Window [") + p.count("Window(") <= 2 or "percentile" in p
     assert "percentile" in p
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_single_partition_exchanges_only_carry_aggregates(spark, name):
+    """A SinglePartition exchange may only move partial aggregates or the
+    per-range size table, never row-level or per-player data."""
+    lines = _plan(E.queries()[name](spark, SF001)).splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            child = lines[i + 1]
+            assert "Aggregate" in child, (name, line, child)
