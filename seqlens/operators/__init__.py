@@ -4,7 +4,7 @@ from seqlens.operators.games import (game_sequence, is_valid, official_games, ow
                                      scoped_metadata, sequenced_games, valid)
 from seqlens.operators.joins import join_checked, maybe_broadcast
 from seqlens.operators.median import grouped_median, median_of
-from seqlens.operators.quality import key_uniqueness, score_quality
+from seqlens.operators.quality import key_uniqueness, score_quality, sequence_load
 from seqlens.operators.ranking import global_positions, quantile_tiers
 from seqlens.operators.sequence import sequence
 
@@ -12,4 +12,4 @@ __all__ = ["drop_members", "mint_players", "mint_summary", "overlap", "overlap_c
            "scope_players", "tag_members", "game_sequence", "is_valid", "official_games",
            "owner_heavy_keys", "scoped_metadata", "sequenced_games", "valid", "join_checked",
            "maybe_broadcast", "grouped_median", "median_of", "key_uniqueness",
-           "score_quality", "global_positions", "quantile_tiers", "sequence"]
+           "score_quality", "sequence_load", "global_positions", "quantile_tiers", "sequence"]

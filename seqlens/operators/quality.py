@@ -40,3 +40,15 @@ def score_quality(games: DataFrame, lo: int = VALID_SCORE_MIN, hi: int = VALID_S
     """Rows per score class over in-scope games: ``score_class, games``."""
     return games.groupBy(score_class(lo=lo, hi=hi).alias("score_class")) \
         .agg(F.count(F.lit(1)).alias("games"))
+
+
+def sequence_load(games: DataFrame, entity: str = "owner") -> DataFrame:
+    """One row: entities, rows, the largest entity's rows and its share.
+
+    The largest share shows whether the per-entity numbering needs the
+    heavy-entity route (``operators.sequence``)."""
+    per = games.groupBy(entity).agg(F.count(F.lit(1)).alias("_c"))
+    return per.agg(F.count(F.lit(1)).alias("players"),
+                   F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("games"),
+                   F.max("_c").alias("max_games"),
+                   F.round(F.try_divide(F.max("_c"), F.sum("_c")), 6).alias("max_share"))

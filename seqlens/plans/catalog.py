@@ -17,7 +17,7 @@ from seqlens.operators.cohorts import (mint_players, mint_summary, overlap, over
                                        scope_players, tag_members)
 from seqlens.operators.games import (official_games, scoped_metadata, sequenced_games, valid)
 from seqlens.operators.median import grouped_median
-from seqlens.operators.quality import key_uniqueness, score_quality
+from seqlens.operators.quality import key_uniqueness, score_quality, sequence_load
 from seqlens.functions.scalars import decode_hex_score, normalise_address
 from seqlens.plans import reports
 from seqlens.sources import fixture
@@ -76,9 +76,15 @@ def mint_event_players(spark, d):
 
 def veteran_overlap(spark, d):
     t = fixture.token_tables(spark, d)
-    players = scope_players(scoped_metadata(t.metadata), t.owners)
-    og = mint_players(fixture.mint_events(spark, d))
-    return overlap(players, og).select(F.col("owner").alias("addr")).orderBy("addr")
+    return reports.derived_members(t, fixture.mint_events(spark, d)).orderBy("addr")
+
+
+def cohort_first_games_derived(spark, d):
+    """The cohort report with members taken from the event-log overlap."""
+    t = fixture.token_tables(spark, d)
+    members = reports.derived_members(t, fixture.mint_events(spark, d))
+    seq = sequenced_games(t, total=None)
+    return reports.cohort_first_games(seq, members)
 
 
 def veteran_overlap_counts(spark, d):
@@ -181,6 +187,10 @@ def score_quality_q(spark, d):
     return score_quality(_games(spark, d))
 
 
+def sequence_load_q(spark, d):
+    return sequence_load(_games(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     "experience_tiers": experience_tiers,
     "learning_curve": learning_curve,
@@ -192,6 +202,7 @@ QUERIES: dict[str, Query] = {
     "mint_event_players": mint_event_players,
     "veteran_overlap": veteran_overlap,
     "veteran_overlap_counts": veteran_overlap_counts,
+    "cohort_first_games_derived": cohort_first_games_derived,
     "decode_hex_score": decode_hex_score_q,
     "official_games": official_games_q,
     "game_sequence": game_sequence_q,
@@ -211,4 +222,5 @@ QUERIES: dict[str, Query] = {
     "tiers_ordered": tiers_ordered,
     "key_uniqueness": key_uniqueness_q,
     "score_quality": score_quality_q,
+    "sequence_load": sequence_load_q,
 }

@@ -128,6 +128,15 @@ SELECT count(*) AS players,
        count(*) FILTER (WHERE addr_norm IN (SELECT addr_norm FROM mp)) AS veterans,
        count(*) - count(*) FILTER (WHERE addr_norm IN (SELECT addr_norm FROM mp)) AS genuinely_new
 FROM np"""),
+    "cohort_first_games_derived": _q(f"""
+SELECT CASE WHEN owner IN (SELECT owner FROM np WHERE addr_norm IN (SELECT addr_norm FROM mp))
+            THEN '{K.COHORT_MEMBER}' ELSE '{K.COHORT_OTHER}' END AS cohort,
+       count(*) AS first3_games, round(CAST(median(sc) AS DOUBLE), 1) AS median_score_first_3_games
+FROM v WHERE game_no <= {K.COHORT_FIRST_K} GROUP BY 1"""),
+    "sequence_load": _q("""
+SELECT count(*) AS players, CAST(sum(c) AS BIGINT) AS games, max(c) AS max_games,
+       round(max(c) / sum(c), 6) AS max_share
+FROM (SELECT owner, count(*) AS c FROM games GROUP BY owner)"""),
     "decode_hex_score": _q(
         "SELECT id, score, CAST('0x' || substr(score, 7, 12) AS BIGINT) AS sc FROM token_scores"),
     "official_games": _q("SELECT id, owner, sc FROM games"),

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from seqlens.functions import constants as K
 from seqlens.functions.scalars import bucketize
-from seqlens.operators.cohorts import drop_members, tag_members
-from seqlens.operators.games import is_valid, sequenced_games
+from seqlens.operators.cohorts import (drop_members, mint_players, overlap, scope_players,
+                                      tag_members)
+from seqlens.operators.games import is_valid, scoped_metadata, sequenced_games
 from seqlens.operators.median import median_of
 from seqlens.operators.ranking import quantile_tiers
 from seqlens.operators.reuse import materialize
@@ -235,3 +236,13 @@ def lifetime_total_tiers(seq: DataFrame, buckets=LIFETIME_BUCKETS, rest: str = L
     order, label = bucketize("n", buckets, rest)
     b = seq.filter(is_valid()).select(order.alias("_ord"), label.alias("lifetime"), "sc")
     return _median_report(b, ["_ord", "lifetime"], "games").orderBy("_ord").drop("_ord")
+
+
+# --- member list derived from the event log -------------------------------------
+
+def derived_members(tables, mint_events: DataFrame, **mint_args) -> DataFrame:
+    """``addr``: in-scope players who also received a mint of the earlier
+    contract (matched on the normalised address), in the players' own
+    spelling. This is the list the cohort reports take as members."""
+    players = scope_players(scoped_metadata(tables.metadata), tables.owners)
+    return overlap(players, mint_players(mint_events, **mint_args)).select(F.col("owner").alias("addr"))
