@@ -17,7 +17,9 @@ whose row count exceeds ``heavy_threshold`` therefore take another route:
    hot key costs one partial row per task).
 
 The two parts are unioned. When no entity is heavy the plan is exactly the
-plain window.
+plain window. When some are, the input is read by both routes, so it is
+materialised once first (``reuse``: persist, or checkpoint to the session's
+shared checkpoint folder) instead of recomputing its joins twice.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from seqlens.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast
 from seqlens.operators.ranking import global_positions
+from seqlens.operators.reuse import materialize
 
 # One task comfortably sorts a few million narrow rows; above this an entity
 # is numbered by the range-partitioned route.
@@ -54,7 +57,7 @@ def sequence(df: DataFrame, entity: str, order: list[str], tiebreak: list[str],
              heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOLD,
              heavy_keys: DataFrame | None = None,
              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-             num_partitions: int | None = None) -> DataFrame:
+             num_partitions: int | None = None, reuse: str = "persist") -> DataFrame:
     """Add ``ordinal`` (1-based position of the row in its entity's
     ``order, tiebreak`` sequence, NULLs first) and ``total`` (rows of the
     entity). ``order + tiebreak`` must be unique within an entity."""
@@ -68,6 +71,7 @@ def sequence(df: DataFrame, entity: str, order: list[str], tiebreak: list[str],
     if n_heavy == 0:
         return _plain(df, entity, keys, ordinal, total)
 
+    df = materialize(df, reuse)
     hk = side.withColumnRenamed(entity, "_hk")
     match = F.col(entity).eqNullSafe(F.col("_hk"))
     light = _plain(df.join(hk, match, "left_anti"), entity, keys, ordinal, total)

@@ -173,3 +173,11 @@ def test_overlap(spark):
     assert [r.owner for r in overlap(players, other).collect()] == ["0xA"]
     c = overlap_counts(players, other).collect()[0]
     assert (c.players, c.veterans, c.genuinely_new) == (2, 1, 1)
+
+
+def test_heavy_path_with_checkpoint(spark, games):
+    cols = ["owner", "id", "game_no", "n"]
+    plain = _rows(game_sequence(games, heavy_threshold=None), cols)
+    split = _rows(sequence(games, "owner", ["executed_at"], ["id"], ordinal="game_no",
+                           heavy_threshold=50, reuse="checkpoint"), cols)
+    assert split == plain
