@@ -33,6 +33,12 @@ def decode_hex_score(col: Column | str, mode: str = "reference",
     s = _c(col)
     if mode == "reference":
         last = first + digits - 1
+        if isinstance(col, str):
+            # same expression, sent to the JVM as one SQL string
+            name = "`" + col.replace("`", "``") + "`"
+            terms = [f"(CAST(instr('{HEX_ALPHABET}', substring({name}, {pos}, 1)) AS BIGINT) - 1)"
+                     f" * {16 ** (last - pos)}" for pos in range(first, last + 1)]
+            return F.expr(" + ".join(terms))
         total = None
         for pos in range(first, last + 1):
             digit = F.instr(F.lit(HEX_ALPHABET), F.substring(s, pos, 1)).cast("bigint") - F.lit(1)
@@ -69,15 +75,12 @@ def normalise_address(col: Column | str) -> Column:
 
     Two spellings normalise to the same string exactly when they denote the
     same integer, so an equi-join on the result is numeric address matching.
-    Digits beyond 64 are kept (never truncated).
+    ``ltrim(.., '0x')`` drops the prefix and the leading zeros in one pass
+    (``x`` is not a hex digit); digits beyond 64 are kept, never truncated.
     """
-    s = F.lower(F.trim(_c(col)))
-    # plain string functions (no regex): drop the prefix, then leading zeros
-    body = F.when(s.startswith(F.lit("0x")), F.substring(s, 3, 1 << 30)).otherwise(s)
-    stripped = F.ltrim(body, F.lit("0"))
-    padded = F.when(F.length(stripped) >= ADDRESS_HEX_DIGITS, stripped) \
-        .otherwise(F.lpad(stripped, ADDRESS_HEX_DIGITS, "0"))
-    return F.concat(F.lit("0x"), padded)
+    digits = F.ltrim(F.lower(F.trim(_c(col))), F.lit("0x"))
+    width = F.greatest(F.length(digits), F.lit(ADDRESS_HEX_DIGITS))
+    return F.concat(F.lit("0x"), F.lpad(digits, width, F.lit("0")))
 
 
 def bucketize(col: Column | str, bounds: Sequence[tuple[int, str]], otherwise: str

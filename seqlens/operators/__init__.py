@@ -1,5 +1,5 @@
-from seqlens.operators.cohorts import (drop_members, mint_players, mint_summary, overlap,
-                                      overlap_counts, scope_players, tag_members)
+from seqlens.operators.cohorts import (drop_members, mint_players, mint_receivers, mint_summary,
+                                      overlap, overlap_counts, scope_players, tag_members)
 from seqlens.operators.games import (game_sequence, is_valid, official_games, owner_heavy_keys,
                                      scoped_metadata, sequenced_games, valid)
 from seqlens.operators.joins import join_checked, maybe_broadcast
@@ -8,7 +8,7 @@ from seqlens.operators.quality import key_uniqueness, score_quality, sequence_lo
 from seqlens.operators.ranking import global_positions, quantile_tiers
 from seqlens.operators.sequence import sequence
 
-__all__ = ["drop_members", "mint_players", "mint_summary", "overlap", "overlap_counts",
+__all__ = ["drop_members", "mint_players", "mint_receivers", "mint_summary", "overlap", "overlap_counts",
            "scope_players", "tag_members", "game_sequence", "is_valid", "official_games",
            "owner_heavy_keys", "scoped_metadata", "sequenced_games", "valid", "join_checked",
            "maybe_broadcast", "grouped_median", "median_of", "key_uniqueness",

@@ -36,38 +36,55 @@ def drop_members(df: DataFrame, key: str, members: DataFrame, member_col: str =
     return df.join(side, df[key] == side["_member"], "left_anti")
 
 
-def mint_players(events: DataFrame, contract: str = OG_CONTRACT, selector: str = TRANSFER_SELECTOR,
-                 from_block: int = MINT_FROM_BLOCK, to_block: int = MINT_TO_BLOCK,
-                 mint_from: str = MINT_FROM) -> DataFrame:
-    """Mint events (transfer from ``mint_from``) of ``contract`` in the block
-    window (inclusive), one row per event: ``addr_norm`` of the receiver
-    (``keys[2]``). Contract and block predicates are pushed to the scan."""
+def mint_receivers(events: DataFrame, contract: str = OG_CONTRACT,
+                   selector: str = TRANSFER_SELECTOR, from_block: int = MINT_FROM_BLOCK,
+                   to_block: int = MINT_TO_BLOCK, mint_from: str = MINT_FROM) -> DataFrame:
+    """One row per mint event (transfer from ``mint_from``) of ``contract`` in
+    the block window (inclusive): ``receiver`` = ``keys[2]`` as written.
+    Contract and block predicates are pushed to the scan."""
     ev = events.filter((F.col("address") == contract)
                        & F.col("block_number").between(from_block, to_block)
                        & (F.get(F.col("keys"), 0) == selector)
                        & (F.get(F.col("keys"), 1) == mint_from))
-    return ev.select(normalise_address(F.get(F.col("keys"), 2)).alias("addr_norm"))
+    return ev.select(F.get(F.col("keys"), 2).alias("receiver"))
 
 
-def mint_summary(mints: DataFrame) -> DataFrame:
-    """``mints`` (events) and ``players`` (distinct receivers)."""
-    return mints.agg(F.count(F.lit(1)).alias("mints"),
-                     F.count_distinct("addr_norm").alias("players"))
+def mint_players(events: DataFrame, **filters) -> DataFrame:
+    """Distinct receivers of mints: ``addr_norm, mints``.
+
+    Events are first counted per receiver spelling (map-side combined, so a
+    receiver with a huge share of the events costs one row per task); only
+    the distinct spellings are normalised and merged."""
+    per_spelling = mint_receivers(events, **filters).groupBy("receiver") \
+        .agg(F.count(F.lit(1)).alias("_n"))
+    return per_spelling.groupBy(normalise_address("receiver").alias("addr_norm")) \
+        .agg(F.sum("_n").alias("mints"))
+
+
+def mint_summary(players: DataFrame) -> DataFrame:
+    """``mints`` (events) and ``players`` (distinct receivers; a missing
+    receiver is not a player) from ``mint_players``."""
+    return players.agg(F.coalesce(F.sum("mints"), F.lit(0)).cast("bigint").alias("mints"),
+                       F.count("addr_norm").alias("players"))
 
 
 def scope_players(scoped_ids: DataFrame, owners: DataFrame) -> DataFrame:
     """Distinct owners of in-scope tokens, de-duplicated on the normalised
     address; one spelling is kept per address (the greatest, so it is
-    deterministic). Columns ``addr_norm, owner``."""
+    deterministic). Columns ``addr_norm, owner``.
+
+    Owners are made distinct first (map-side combined), so the address is
+    normalised once per spelling, not once per token."""
     o = owners.select(F.col("token_id").alias("id"), "owner")
-    return scoped_ids.join(o, "id") \
-        .groupBy(normalise_address("owner").alias("addr_norm")) \
+    spellings = scoped_ids.join(o, "id").select("owner").distinct()
+    return spellings.groupBy(normalise_address("owner").alias("addr_norm")) \
         .agg(F.max("owner").alias("owner"))
 
 
 def overlap(players: DataFrame, other: DataFrame, key: str = "addr_norm") -> DataFrame:
-    """Rows of ``players`` whose normalised key also occurs in ``other``."""
-    return players.join(other.select(key).distinct(), key, "left_semi")
+    """Rows of ``players`` whose normalised key also occurs in ``other``
+    (a semi join: duplicates in ``other`` do not multiply rows)."""
+    return players.join(other.select(key), key, "left_semi")
 
 
 def overlap_counts(players: DataFrame, other: DataFrame, key: str = "addr_norm") -> DataFrame:

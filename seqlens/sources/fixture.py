@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from seqlens.functions.constants import (MINT_FROM, OFFICIAL_MINTER, OG_CONTRACT,
                                          TRANSFER_SELECTOR)
 from seqlens.functions.scalars import encode_address, encode_hex_score, short_hex
+from seqlens.sources.schemas import TEST_TABLES
 
 OTHER_MINTER = "0x0000000000000007"
 MEMBER_SEGMENT = "BUILDING"
@@ -51,7 +52,7 @@ class TokenTables:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(TEST_TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def token_tables(spark: SparkSession, sf_dir: str) -> TokenTables:

@@ -31,3 +31,29 @@ MINT_EVENTS = T.StructType([
     T.StructField("block_number", T.LongType(), True),
     T.StructField("keys", T.ArrayType(T.StringType()), True),
 ])
+
+# Generated test tables: the columns the adapter reads (a partial schema reads
+# only these columns and skips schema inference).
+TEST_TABLES = {
+    "events": T.StructType([
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+    ]),
+    "orders": T.StructType([
+        T.StructField("o_orderkey", T.LongType()),
+        T.StructField("o_custkey", T.LongType()),
+        T.StructField("o_orderstatus", T.StringType()),
+        T.StructField("o_orderdate", T.TimestampNTZType()),
+    ]),
+    "customer": T.StructType([
+        T.StructField("c_custkey", T.LongType()),
+        T.StructField("c_mktsegment", T.StringType()),
+    ]),
+    "lineitem": T.StructType([
+        T.StructField("l_orderkey", T.LongType()),
+        T.StructField("l_linenumber", T.IntegerType()),
+    ]),
+}

@@ -78,3 +78,11 @@ def test_ntile_formula_matches_ntile(spark, n):
     out = df.select(F.ntile(4).over(w).alias("a"),
                     ntile_of_position(F.col("i"), F.lit(n), 4).alias("b")).collect()
     assert all(r.a == r.b for r in out)
+
+
+def test_decode_column_and_name_agree(spark):
+    rows = [("0x00000000000001bb",), ("0xffff0000000001bb",), ("0x00000000000001BB",),
+            ("0x01bb",), ("",), ("00000000000001bb",), ("0x00000000000zz1bb",), (None,)]
+    df = spark.createDataFrame(rows, "s string")
+    out = df.select(decode_hex_score("s").alias("a"), decode_hex_score(F.col("s")).alias("b")).collect()
+    assert all(r.a == r.b for r in out)
