@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast at most this many rows of a key table (a few MB to tens of MB of
-# short keys). Above it the join falls back to a shuffle join, where AQE's
-# skew-join handling splits hot keys.
-DEFAULT_MAX_BROADCAST_ROWS = 500_000
+# Broadcast at most this many rows of a key table: with 66-character address
+# keys that is about 18 MB per executor. Above it the join falls back to a
+# shuffle join, where AQE's skew-join handling splits hot keys.
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 
 def maybe_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
