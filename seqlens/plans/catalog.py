@@ -25,10 +25,13 @@ from seqlens.operators.sequence import DEFAULT_HEAVY_THRESHOLD
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Owners with more rows than this are numbered by the range-partitioned route
+# (read at call time, so tests can force that route on small tables).
+HEAVY_THRESHOLD: int | None = DEFAULT_HEAVY_THRESHOLD
 
-def _seq(spark: SparkSession, sf_dir: str, heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOLD,
-         total: str | None = "n") -> DataFrame:
-    return sequenced_games(fixture.token_tables(spark, sf_dir), heavy_threshold=heavy_threshold,
+
+def _seq(spark: SparkSession, sf_dir: str, total: str | None = "n") -> DataFrame:
+    return sequenced_games(fixture.token_tables(spark, sf_dir), heavy_threshold=HEAVY_THRESHOLD,
                            total=total)
 
 
@@ -58,7 +61,8 @@ def cohort_first_games(spark, d):
 
 
 def cohort_learning_curve(spark, d):
-    return reports.cohort_learning_curve(fixture.token_tables(spark, d), fixture.members(spark, d))
+    return reports.cohort_learning_curve(fixture.token_tables(spark, d), fixture.members(spark, d),
+                                         heavy_threshold=HEAVY_THRESHOLD)
 
 
 def skill_persistence(spark, d):
@@ -83,7 +87,7 @@ def cohort_first_games_derived(spark, d):
     """The cohort report with members taken from the event-log overlap."""
     t = fixture.token_tables(spark, d)
     members = reports.derived_members(t, fixture.mint_events(spark, d))
-    seq = sequenced_games(t, total=None)
+    seq = sequenced_games(t, heavy_threshold=HEAVY_THRESHOLD, total=None)
     return reports.cohort_first_games(seq, members)
 
 

@@ -52,3 +52,24 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["skill_tier", "later_window", "games", "median_score"]
     assert df.count() >= 0
+
+
+SEQUENCED = ["experience_tiers", "learning_curve", "within_player_improvement",
+             "cohort_first_games", "cohort_learning_curve", "skill_persistence",
+             "game_sequence", "half_medians", "first_k_games", "cohort_first_games_derived"]
+
+
+@pytest.mark.parametrize("name", SEQUENCED)
+def test_reports_on_the_heavy_owner_route(spark, duck, name, monkeypatch):
+    """Owners with more than 50 games (a good share of them at sf0.01) are
+    numbered by the range-partitioned route; results stay equal to the oracle."""
+    from seqlens.plans import catalog
+    monkeypatch.setattr(catalog, "HEAVY_THRESHOLD", 50)
+    test_query_matches_oracle(spark, duck, name)
+
+
+def test_heavy_route_is_really_taken(spark, monkeypatch):
+    from seqlens.plans import catalog
+    monkeypatch.setattr(catalog, "HEAVY_THRESHOLD", 50)
+    plan = E.queries()["game_sequence"](spark, SF01)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(owner" in plan and "Union" in plan
