@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqlens.functions.constants import (OFFICIAL_MINTER, OFFICIAL_SETTINGS_ID,
                                          VALID_SCORE_MAX, VALID_SCORE_MIN)
 from seqlens.functions.scalars import decode_hex_score, normalise_address
-from seqlens.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast
+from seqlens.operators.joins import maybe_broadcast
 from seqlens.operators.sequence import DEFAULT_HEAVY_THRESHOLD, heavy_candidates, sequence
 
 
@@ -92,4 +92,4 @@ def sequenced_games(tables, heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOL
 
 
 __all__ = ["scoped_metadata", "official_games", "game_sequence", "owner_heavy_keys",
-           "is_valid", "valid", "sequenced_games", "DEFAULT_MAX_BROADCAST_ROWS"]
+           "is_valid", "valid", "sequenced_games"]

@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.operators.cohorts import (mint_players, mint_summary, overlap, overlap_counts,
-                                       scope_players, tag_members)
+from seqlens.operators.cohorts import (mint_players, mint_summary, overlap_counts, scope_players,
+                                       tag_members)
 from seqlens.operators.games import (official_games, scoped_metadata, sequenced_games, valid)
 from seqlens.operators.median import grouped_median
 from seqlens.operators.quality import key_uniqueness, score_quality, sequence_load
