@@ -38,10 +38,17 @@ def drop_members(df: DataFrame, key: str, members: DataFrame, member_col: str =
 
 def mint_receivers(events: DataFrame, contract: str = OG_CONTRACT,
                    selector: str = TRANSFER_SELECTOR, from_block: int = MINT_FROM_BLOCK,
-                   to_block: int = MINT_TO_BLOCK, mint_from: str = MINT_FROM) -> DataFrame:
+                   to_block: int = MINT_TO_BLOCK, mint_from: str = MINT_FROM,
+                   block_range: int | None = None) -> DataFrame:
     """One row per mint event (transfer from ``mint_from``) of ``contract`` in
     the block window (inclusive): ``receiver`` = ``keys[2]`` as written.
-    Contract and block predicates are pushed to the scan."""
+    Contract and block predicates are pushed to the scan. Events landed by
+    ``sinks.land_mint_events`` carry a ``block_range`` partition column;
+    with ``block_range`` (the landing's range size) the window also prunes
+    partition folders."""
+    if block_range is not None and "block_range" in events.columns:
+        events = events.filter(F.col("block_range").between(from_block // block_range,
+                                                             to_block // block_range))
     ev = events.filter((F.col("address") == contract)
                        & F.col("block_number").between(from_block, to_block)
                        & (F.get(F.col("keys"), 0) == selector)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
@@ -21,3 +22,26 @@ def write_sorted_list(df: DataFrame, column: str, path: str, fmt: str = "json",
     shuffle, so a list of any size is written in parallel, in order across
     the part files."""
     df.select(column).orderBy(column).write.mode(mode).format(fmt).save(path)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str,
+                   mode: str = "overwrite") -> None:
+    """Land a token table bucketed and sorted by its join key, as an external
+    table at ``path``. Token tables landed with the same key and bucket count
+    join on the token id with no exchange at all."""
+    df.write.bucketBy(buckets, key).sortBy(key).mode(mode).format("parquet") \
+        .option("path", path).saveAsTable(table)
+
+
+# Mint events are landed in folders of this many blocks, so a block window
+# reads only the folders it overlaps.
+BLOCK_RANGE = 100_000
+
+
+def land_mint_events(events: DataFrame, path: str, block_range: int = BLOCK_RANGE,
+                     mode: str = "overwrite") -> None:
+    """Land contract events partitioned by ``block_range = block_number div
+    block_range``; ``cohorts.mint_receivers`` turns its block window into a
+    partition filter on that column."""
+    out = events.withColumn("block_range", F.floor(F.col("block_number") / block_range).cast("bigint"))
+    out.write.mode(mode).partitionBy("block_range").parquet(path)

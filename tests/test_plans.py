@@ -71,3 +71,40 @@ def test_scope_filter_reaches_landed_parquet(spark, tmp_path):
     assert "EqualTo(minted_by,0x" in p      # the plan string shortens the literal
     assert "ReadSchema: struct<id:bigint,settings_id:int,minted_by:string>" in p
     assert g.count() == g.filter("sc is not null").count() > 0
+
+
+def test_bucketed_token_tables_join_without_exchange(spark, tmp_path):
+    from seqlens.operators.games import official_games
+    from seqlens.sources import fixture, sinks
+    t = fixture.token_tables(spark, SF001)
+    names = {}
+    for name, df, key in (("meta", t.metadata, "id"), ("scores", t.scores, "id"),
+                          ("owners", t.owners, "token_id")):
+        names[name] = f"bucket_test_{name}"
+        sinks.write_bucketed(df, names[name], key, 4, str(tmp_path / name))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = official_games(spark.table(names["meta"]), spark.table(names["scores"]),
+                           spark.table(names["owners"]))
+        p = _plan(g)
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        assert g.count() == official_games(t.metadata, t.scores, t.owners).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for n in names.values():
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
+def test_block_window_prunes_landed_partitions(spark, tmp_path):
+    from seqlens.operators.cohorts import mint_players
+    from seqlens.sources import fixture, readers, sinks
+    sinks.land_mint_events(fixture.mint_events(spark, SF001), str(tmp_path / "ev"))
+    ev = readers.read_mint_events(spark, str(tmp_path / "ev"))
+    pruned = mint_players(ev, block_range=sinks.BLOCK_RANGE)
+    p = _plan(pruned)
+    assert "PartitionFilters: [isnotnull(block_range" in p and "block_range" in p.split("PartitionFilters")[1][:200]
+    direct = mint_players(fixture.mint_events(spark, SF001))
+    cols = ["addr_norm", "mints"]
+    assert sorted(tuple(r) for r in pruned.select(cols).collect()) == \
+        sorted(tuple(r) for r in direct.select(cols).collect())
