@@ -96,3 +96,19 @@ def test_correlation_and_distribution(spark):
     assert (r.players, r.r) == (5, 1.0)
     d = reports.score_distribution(seq).collect()[0]
     assert d.max_score == 10
+
+
+def test_valid_score_boundaries(spark):
+    seq = _games(spark, {"p": [0, 1, 3000, 3001]})
+    d = reports.score_distribution(seq).collect()[0]
+    assert d.max_score == 3000
+    pop = reports.population_summary(seq).collect()[0]
+    assert (pop.games, pop.players) == (2, 1)
+
+
+def test_later_window_last_edge(spark):
+    # ordinals 120 and 121: 120 is in window 4, 121 is outside every window
+    scores = [50] * 10 + [60] * 109 + [70, 999]
+    seq = _games(spark, {"p": scores})
+    out = {r.later_window: r.games for r in reports.skill_persistence(seq).collect()}
+    assert out == {1: 10, 2: 20, 3: 30, 4: 50}
