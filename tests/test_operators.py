@@ -181,3 +181,22 @@ def test_heavy_path_with_checkpoint(spark, games):
     split = _rows(sequence(games, "owner", ["executed_at"], ["id"], ordinal="game_no",
                            heavy_threshold=50, reuse="checkpoint"), cols)
     assert split == plain
+
+
+def test_hot_owner_is_spread_over_ranges(spark):
+    """The heavy route's range partitioning on (owner, time, id) splits an
+    owner holding a third of all rows over several tasks."""
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [("hot", i, t0 + dt.timedelta(seconds=i)) for i in range(3000)]
+    rows += [(f"o{i % 300:03d}", 10_000 + i, t0 + dt.timedelta(seconds=i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "owner string, id long, ts timestamp_ntz")
+    ranged = df.repartitionByRange(8, "owner", "ts", "id") \
+        .withColumn("pid", F.spark_partition_id())
+    sizes = dict((r.pid, r["count"]) for r in ranged.groupBy("pid").count().collect())
+    hot_parts = ranged.filter(F.col("owner") == "hot").select("pid").distinct().count()
+    assert hot_parts >= 2
+    assert max(sizes.values()) <= 2 * (9000 / 8)
+    out = sequence(df, "owner", ["ts"], ["id"], heavy_threshold=100, num_partitions=8)
+    hot = out.filter(F.col("owner") == "hot").agg(F.min("ordinal"), F.max("ordinal"),
+                                                 F.max("n")).first()
+    assert tuple(hot) == (1, 3000, 3000)
