@@ -108,3 +108,12 @@ def test_block_window_prunes_landed_partitions(spark, tmp_path):
     cols = ["addr_norm", "mints"]
     assert sorted(tuple(r) for r in pruned.select(cols).collect()) == \
         sorted(tuple(r) for r in direct.select(cols).collect())
+
+
+@pytest.mark.parametrize("name", ["half_medians", "within_player_improvement",
+                                  "persistence_correlation", "early_vs_later_improvement"])
+def test_per_player_aggregates_reuse_the_window_exchange(spark, name):
+    import re
+    p = _plan(E.queries()[name](spark, SF001))
+    hashed = re.findall(r"Exchange hashpartitioning\(([a-z_]+)#", p)
+    assert hashed == ["owner"]
