@@ -1,3 +1,3 @@
-from seqlens.plans import catalog, reports
+from seqlens.plans import catalog, export, reports
 
-__all__ = ["catalog", "reports"]
+__all__ = ["catalog", "export", "reports"]

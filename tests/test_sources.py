@@ -88,3 +88,13 @@ def test_fixture_shapes(spark):
     ev = fixture.mint_events(spark, SF001)
     lo, hi = ev.selectExpr("min(block_number)", "max(block_number)").first()
     assert lo >= MINT_FROM_BLOCK and hi > MINT_TO_BLOCK   # the upper bound cuts some events
+
+
+def test_export_reports(spark):
+    from seqlens.plans.export import export_reports
+    d = _tmp()
+    paths = export_reports(spark, SF001, d, ["experience_tiers", "skill_persistence"])
+    rows = [json.loads(l) for p in sorted(glob.glob(os.path.join(paths["experience_tiers"], "part-*")))
+            for l in open(p)]
+    assert rows and all(list(r) == ["experience", "games", "median_score"] for r in rows)
+    assert sum(r["games"] for r in rows) > 0
