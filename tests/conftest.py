@@ -13,7 +13,10 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from seqlens.session import get_session
-    s = get_session(master="local[*]", shuffle_partitions=8)
+    warehouse = tempfile.mkdtemp(prefix="seqlens-warehouse-")
+    s = get_session(master="local[*]", shuffle_partitions=8,
+                    extra={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
