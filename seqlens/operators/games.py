@@ -80,7 +80,9 @@ def sequenced_games(tables, heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOL
 
     ``before_numbering``: optional ``DataFrame -> DataFrame`` applied to the
     game rows before they are numbered (e.g. removing whole owners)."""
-    g = official_games(tables.metadata, tables.scores, tables.owners, **scope)
+    # the raw score text is not needed after decoding; dropping it keeps the
+    # numbering shuffle (and any cached copy) narrow
+    g = official_games(tables.metadata, tables.scores, tables.owners, **scope).drop("score")
     if before_numbering is not None:
         g = before_numbering(g)
     if heavy_threshold is not None and tables.owners.count() <= heavy_threshold:

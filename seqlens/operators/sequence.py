@@ -17,9 +17,12 @@ whose row count exceeds ``heavy_threshold`` therefore take another route:
    hot key costs one partial row per task).
 
 The two parts are unioned. When no entity is heavy the plan is exactly the
-plain window. When some are, the input is read by both routes, so it is
-materialised once first (``reuse``: persist, or checkpoint to the session's
-shared checkpoint folder) instead of recomputing its joins twice.
+plain window. When some are, both routes read the input. By default it is
+recomputed for each (``reuse="none"``): on 10M token rows with a third on one
+owner that took 41 s against 59 s for caching the full input first, and it
+puts no large cache on the executors. ``reuse="persist"`` or
+``"checkpoint"`` (to the session's shared checkpoint folder) materialises it
+once instead, for inputs that are expensive to recompute.
 """
 
 from __future__ import annotations
@@ -57,7 +60,7 @@ def sequence(df: DataFrame, entity: str, order: list[str], tiebreak: list[str],
              heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOLD,
              heavy_keys: DataFrame | None = None,
              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-             num_partitions: int | None = None, reuse: str = "persist") -> DataFrame:
+             num_partitions: int | None = None, reuse: str = "none") -> DataFrame:
     """Add ``ordinal`` (1-based position of the row in its entity's
     ``order, tiebreak`` sequence, NULLs first) and ``total`` (rows of the
     entity). ``order + tiebreak`` must be unique within an entity."""

@@ -1,7 +1,7 @@
 """User-level reports over the numbered game fact.
 
 Input of most reports: the output of ``operators.games.sequenced_games`` —
-``owner, id, executed_at, score, sc, game_no, n`` with ``game_no``/``n``
+``owner, id, executed_at, sc, game_no, n`` with ``game_no``/``n``
 counted over all in-scope games (invalid scores included). Validity is
 applied here, after numbering.
 
