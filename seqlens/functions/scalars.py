@@ -31,21 +31,33 @@ def decode_hex_score(col: Column | str, mode: str = "reference",
     * ``"full"`` — all 16 digits as ``DECIMAL(20,0)`` (canonical input only).
     """
     s = _c(col)
+    canonical_pattern = f"^0x[0-9a-f]{{{SCORE_HEX_DIGITS}}}$"
     if mode == "reference":
         last = first + digits - 1
+        # On canonical text the positional sum equals conv() of the digit
+        # window, which is much cheaper; only other text takes the sum.
+        fast = 3 <= first and last <= SCORE_HEX_DIGITS + 2
         if isinstance(col, str):
             # same expression, sent to the JVM as one SQL string
             name = "`" + col.replace("`", "``") + "`"
             terms = [f"(CAST(instr('{HEX_ALPHABET}', substring({name}, {pos}, 1)) AS BIGINT) - 1)"
                      f" * {16 ** (last - pos)}" for pos in range(first, last + 1)]
-            return F.expr(" + ".join(terms))
+            positional = " + ".join(terms)
+            if not fast:
+                return F.expr(positional)
+            return F.expr(f"CASE WHEN {name} RLIKE '{canonical_pattern}' "
+                          f"THEN CAST(conv(substring({name}, {first}, {digits}), 16, 10) AS BIGINT) "
+                          f"ELSE {positional} END")
         total = None
         for pos in range(first, last + 1):
             digit = F.instr(F.lit(HEX_ALPHABET), F.substring(s, pos, 1)).cast("bigint") - F.lit(1)
             term = digit * F.lit(16 ** (last - pos))
             total = term if total is None else total + term
-        return total
-    canonical = s.rlike(f"^0x[0-9a-f]{{{SCORE_HEX_DIGITS}}}$")
+        if not fast:
+            return total
+        return F.when(s.rlike(canonical_pattern),
+                      F.conv(F.substring(s, first, digits), 16, 10).cast("bigint")).otherwise(total)
+    canonical = s.rlike(canonical_pattern)
     if mode == "strict":
         window = F.substring(s, first, digits)
         return F.when(canonical, F.conv(window, 16, 10).cast("bigint"))

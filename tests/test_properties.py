@@ -57,3 +57,38 @@ def test_median_methods_and_partitioning(spark, rows, parts):
         vals = sorted(sc for gg, sc in rows if gg == g)
         assert c == len(vals)
         assert m == (vals[(c + 1) // 2 - 1] + vals[(c + 2) // 2 - 1]) / 2
+
+
+HEX = "0123456789abcdef"
+
+
+def _positional(s):
+    """The positional decode evaluated in Python (characters 7..18)."""
+    if s is None:
+        return None
+    total = 0
+    for pos in range(7, 19):
+        ch = s[pos - 1:pos]
+        digit = 0 if ch == "" else HEX.find(ch)     # unknown character -> -1
+        total += digit * 16 ** (18 - pos)
+    return total
+
+
+texts = st.one_of(
+    st.none(),
+    st.text(alphabet=HEX, min_size=16, max_size=16).map(lambda t: "0x" + t),      # canonical
+    st.text(alphabet=HEX + "ABCDEFxz ", min_size=0, max_size=20).map(lambda t: "0x" + t),
+    st.text(alphabet=HEX + "X", min_size=0, max_size=20),
+)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(texts, min_size=1, max_size=40))
+def test_decode_fast_path_equals_positional(spark, values):
+    from pyspark.sql import functions as F
+    from seqlens.functions import decode_hex_score
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = [r.d for r in df.select(decode_hex_score("s").alias("d")).collect()]
+    got_col = [r.d for r in df.select(decode_hex_score(F.col("s")).alias("d")).collect()]
+    want = [_positional(v) for v in values]
+    assert got == want and got_col == want
