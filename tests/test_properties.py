@@ -23,7 +23,9 @@ def _rows(df, cols):
 @settings(max_examples=8, deadline=None)
 @given(players, st.integers(0, 6), st.integers(1, 6))
 def test_sequence_routes_agree(spark, rows, threshold, parts):
-    data = [(o, i, T0 + dt.timedelta(minutes=m), sc) for i, (o, m, sc) in enumerate(rows)]
+    # minute 0 stands for a missing time (NULLs sort first)
+    data = [(o, i, None if m == 0 else T0 + dt.timedelta(minutes=m), sc)
+            for i, (o, m, sc) in enumerate(rows)]
     df = spark.createDataFrame(data, "owner string, id long, ts timestamp_ntz, sc long")
     cols = ["owner", "id", "ordinal", "n"]
     plain = _rows(sequence(df, "owner", ["ts"], ["id"], heavy_threshold=None), cols)
