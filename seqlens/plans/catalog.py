@@ -109,6 +109,14 @@ def official_games_q(spark, d):
     return _games(spark, d).select("id", "owner", "sc")
 
 
+def registry_scope(spark, d):
+    """The game fact with the minter given by address, resolved through the registry."""
+    t = fixture.token_tables(spark, d)
+    g = official_games(t.metadata, t.scores, t.owners, registry=fixture.registry(spark, d),
+                       minter_address=fixture.REGISTRY_MINTER_ADDRESS)
+    return g.select("id", "owner", "sc")
+
+
 def game_sequence_q(spark, d):
     return _seq(spark, d).select("owner", "id", "game_no", "n")
 
@@ -209,6 +217,7 @@ QUERIES: dict[str, Query] = {
     "cohort_first_games_derived": cohort_first_games_derived,
     "decode_hex_score": decode_hex_score_q,
     "official_games": official_games_q,
+    "registry_scope": registry_scope,
     "game_sequence": game_sequence_q,
     "valid_scores": valid_scores,
     "grouped_median": grouped_median_q,

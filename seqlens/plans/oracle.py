@@ -140,6 +140,13 @@ FROM (SELECT owner, count(*) AS c FROM games GROUP BY owner)"""),
     "decode_hex_score": _q(
         "SELECT id, score, CAST('0x' || substr(score, 7, 12) AS BIGINT) AS sc FROM token_scores"),
     "official_games": _q("SELECT id, owner, sc FROM games"),
+    "registry_scope": _q(f"""
+, reg AS (SELECT printf('0x%016x', s_suppkey) AS idx, printf('0x%064x', s_suppkey) AS address
+          FROM supplier)
+SELECT s.id, o.owner, CAST('0x' || substr(s.score, 7, 12) AS BIGINT) AS sc
+FROM token_metadata m JOIN token_scores s ON s.id = m.id JOIN token_owners o ON o.token_id = m.id
+WHERE m.settings_id = {K.OFFICIAL_SETTINGS_ID}
+  AND m.minted_by IN (SELECT idx FROM reg WHERE address = printf('0x%064x', 6))"""),
     "game_sequence": _q("SELECT owner, id, CAST(game_no AS BIGINT) AS game_no, n FROM seq"),
     "valid_scores": _q("SELECT owner, id, CAST(game_no AS BIGINT) AS game_no, sc FROM v"),
     "grouped_median": _q(f"""

@@ -15,6 +15,8 @@ token_owners       events: token_id = event_id; owner = 64-digit hex
                    address of user_id
 members            customer rows in segment BUILDING: 64-digit address of
                    c_custkey (same id range as user_id)
+registry           supplier: index = 16-digit hex of s_suppkey (the form of
+                   minted_by), address = 64-digit hex address of s_suppkey
 mint_events        orders: contract = the earlier game's contract;
                    block_number = days since 1970 of o_orderdate * 150;
                    keys = [transfer selector, ``0x0`` (mint) when
@@ -40,6 +42,9 @@ from seqlens.functions.scalars import encode_address, encode_hex_score, short_he
 from seqlens.sources.schemas import TEST_TABLES
 
 OTHER_MINTER = "0x0000000000000007"
+# In the derived registry the official index 0x...06 belongs to address 6;
+# written unpadded so the lookup also exercises address normalisation.
+REGISTRY_MINTER_ADDRESS = "0x6"
 MEMBER_SEGMENT = "BUILDING"
 BLOCKS_PER_DAY = 150
 
@@ -81,6 +86,12 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(encode_address("c_custkey").alias("addr"))
 
 
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sup = _table(spark, sf_dir, "supplier")
+    return sup.select(encode_hex_score("s_suppkey").alias("index"),
+                      encode_address("s_suppkey").alias("address"))
+
+
 def mint_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
     days = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))

@@ -52,6 +52,9 @@ TEST_TABLES = {
         T.StructField("c_custkey", T.LongType()),
         T.StructField("c_mktsegment", T.StringType()),
     ]),
+    "supplier": T.StructType([
+        T.StructField("s_suppkey", T.LongType()),
+    ]),
     "lineitem": T.StructType([
         T.StructField("l_orderkey", T.LongType()),
         T.StructField("l_linenumber", T.IntegerType()),

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF001, SF01
 
-TABLES = ["customer", "orders", "lineitem", "events"]
+TABLES = ["customer", "orders", "lineitem", "events", "supplier"]
 NAMES = sorted(E.queries())
 
 
