@@ -7,7 +7,7 @@ Layers:
 * ``operators`` — DataFrame operators (game fact, skew-aware sequencing, exact
   grouped medians, distributed quantile tiers, cohorts, quality checks)
 * ``plans``     — the user-level reports built from the operators
-* ``streaming`` — incremental landing of the game fact (no streaming reports)
+* ``streaming`` — empty: the analysis has no streaming work
 
 Everything is expressed with the DataFrame API and built-in functions; there
 are no Python UDFs anywhere in the library.
