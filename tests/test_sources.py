@@ -98,3 +98,24 @@ def test_export_reports(spark):
             for l in open(p)]
     assert rows and all(list(r) == ["experience", "games", "median_score"] for r in rows)
     assert sum(r["games"] for r in rows) > 0
+
+
+def test_reports_on_landed_tables_equal_the_registered_queries(spark):
+    import __spark_entry__ as E
+    from seqlens.plans.landed import read_landed, report_set
+    d = _tmp()
+    t = fixture.token_tables(spark, SF001)
+    for name, df in (("m", t.metadata), ("s", t.scores), ("o", t.owners)):
+        df.write.parquet(os.path.join(d, name))
+    fixture.members(spark, SF001).write.json(os.path.join(d, "members"))
+    fixture.mint_events(spark, SF001).write.parquet(os.path.join(d, "mints"))
+    tables = read_landed(spark, os.path.join(d, "m"), os.path.join(d, "s"), os.path.join(d, "o"))
+    out = report_set(tables, readers.read_members(spark, os.path.join(d, "members")),
+                     readers.read_mint_events(spark, os.path.join(d, "mints")))
+    for name in ("experience_tiers", "within_player_improvement", "skill_persistence",
+                 "cohort_first_games", "cohort_learning_curve", "mint_event_players",
+                 "veteran_overlap", "retention_split"):
+        want = E.queries()[name](spark, SF001)
+        cols = sorted(want.columns)
+        assert sorted(map(tuple, out[name].select(cols).collect())) == \
+            sorted(map(tuple, want.select(cols).collect())), name
