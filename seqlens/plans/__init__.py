@@ -1,3 +1,3 @@
-from seqlens.plans import catalog, export, reports
+from seqlens.plans import catalog, export, landed, reports
 
-__all__ = ["catalog", "export", "reports"]
+__all__ = ["catalog", "export", "landed", "reports"]
