@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqlens.operators.cohorts import mint_players, mint_summary
 from seqlens.operators.games import sequenced_games
+from seqlens.operators.reuse import materialize
 from seqlens.plans import reports
 from seqlens.sources.fixture import TokenTables
 from seqlens.sources.readers import (read_token_metadata, read_token_owners,
@@ -25,12 +26,19 @@ def read_landed(spark: SparkSession, metadata: str, scores: str, owners: str,
 
 
 def report_set(tables: TokenTables, members: DataFrame | None = None,
-               mint_events: DataFrame | None = None, **scope) -> dict[str, DataFrame]:
+               mint_events: DataFrame | None = None, reuse: str = "persist",
+               **scope) -> dict[str, DataFrame]:
     """Every report as a lazy DataFrame. ``members`` (``addr``) feeds the
     cohort reports; without it, and with ``mint_events``, the member list is
-    derived from the event log (players who also received a mint)."""
-    seq = sequenced_games(tables, **scope)
-    firsts = sequenced_games(tables, total=None, **scope)
+    derived from the event log (players who also received a mint).
+
+    The numbered game fact feeds about ten reports, so it is materialised
+    once (``reuse``: persist, or checkpoint to the shared checkpoint folder;
+    ``"none"`` recomputes it per report)."""
+    seq = sequenced_games(tables, **scope).select("owner", "id", "executed_at", "sc",
+                                                  "game_no", "n")
+    seq = materialize(seq, reuse)
+    firsts = seq if reuse != "none" else sequenced_games(tables, total=None, **scope)
     if members is None and mint_events is not None:
         members = reports.derived_members(tables, mint_events)
     out = {
