@@ -119,3 +119,15 @@ def test_reports_on_landed_tables_equal_the_registered_queries(spark):
         cols = sorted(want.columns)
         assert sorted(map(tuple, out[name].select(cols).collect())) == \
             sorted(map(tuple, want.select(cols).collect())), name
+
+
+def test_report_set_reuse_modes_agree(spark):
+    from seqlens.plans.landed import report_set
+    t = fixture.token_tables(spark, SF001)
+    members = fixture.members(spark, SF001)
+    a = report_set(t, members, reuse="persist")
+    b = report_set(t, members, reuse="none")
+    for name in ("experience_tiers", "cohort_first_games", "skill_persistence"):
+        cols = sorted(a[name].columns)
+        assert sorted(map(tuple, a[name].select(cols).collect())) == \
+            sorted(map(tuple, b[name].select(cols).collect())), name
