@@ -14,6 +14,8 @@ from seqlens.functions import constants as K
 from seqlens.sources.fixture import BLOCKS_PER_DAY, MEMBER_SEGMENT, OTHER_MINTER
 
 _NORM = "('0x' || lpad(regexp_replace(lower({c}), '^(0x)?0*', ''), 64, '0'))"
+_WINDOW_CASES = " ".join(f"WHEN game_no <= {w} THEN {i}"
+                         for i, w in enumerate(K.PERSISTENCE_WINDOWS[:-1], start=1))
 
 _BASE = f"""
 token_metadata AS (
@@ -62,11 +64,10 @@ em AS (SELECT player, median(sc) AS e10 FROM e20 WHERE game_no <= {K.PERSISTENCE
 q AS (SELECT player, e10, ntile({K.PERSISTENCE_TIERS}) OVER (ORDER BY e10, player) AS skill_tier FROM em),
 persistence AS (
   SELECT CAST(q.skill_tier AS BIGINT) AS skill_tier,
-         CAST(CASE WHEN game_no <= 20 THEN 1 WHEN game_no <= 40 THEN 2
-                   WHEN game_no <= 70 THEN 3 ELSE 4 END AS BIGINT) AS later_window,
+         CAST(CASE {_WINDOW_CASES} ELSE {len(K.PERSISTENCE_WINDOWS)} END AS BIGINT) AS later_window,
          count(*) AS games, round(CAST(median(sc) AS DOUBLE), 1) AS median_score
   FROM e20 JOIN q USING (player)
-  WHERE game_no > {K.PERSISTENCE_EARLY_GAMES} AND game_no <= 120
+  WHERE game_no > {K.PERSISTENCE_EARLY_GAMES} AND game_no <= {K.PERSISTENCE_WINDOWS[-1]}
   GROUP BY 1, 2),
 halves AS (
   SELECT owner AS player,
