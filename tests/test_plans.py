@@ -117,3 +117,18 @@ def test_per_player_aggregates_reuse_the_window_exchange(spark, name):
     p = _plan(E.queries()[name](spark, SF001))
     hashed = re.findall(r"Exchange hashpartitioning\(([a-z_]+)#", p)
     assert hashed == ["owner"]
+
+
+def test_large_data_exchange_count(spark):
+    """Without broadcasts (the large-data shape) Q1 shuffles each token table
+    once on the id and the joined rows once on the owner, nothing else before
+    the partial aggregates."""
+    import re
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _plan(E.queries()["experience_tiers"](spark, SF001))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    hashed = re.findall(r"Exchange hashpartitioning\(([a-z_]+)#", p)
+    assert sorted(hashed) == ["_ord", "id", "id", "id", "owner"]
