@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqlens.operators.cohorts import mint_players, mint_summary
-from seqlens.operators.games import sequenced_games
+from seqlens.operators.games import official_games, sequenced_games
+from seqlens.operators.quality import key_uniqueness, score_quality, sequence_load
 from seqlens.operators.reuse import materialize
 from seqlens.plans import reports
 from seqlens.sources.fixture import TokenTables
@@ -53,6 +54,15 @@ def report_set(tables: TokenTables, members: DataFrame | None = None,
         "early_vs_later_improvement": reports.early_vs_later_improvement(seq),
         "lifetime_total_tiers": reports.lifetime_total_tiers(seq),
     }
+    # checks that tell whether the reports can be trusted and how skewed they are
+    games = official_games(tables.metadata, tables.scores, tables.owners, **scope)
+    out["key_uniqueness"] = key_uniqueness({
+        "token_metadata": (tables.metadata, ["id"]),
+        "token_scores": (tables.scores, ["id"]),
+        "token_owners": (tables.owners, ["token_id"]),
+    })
+    out["score_quality"] = score_quality(games)
+    out["sequence_load"] = sequence_load(games)
     if members is not None:
         out["cohort_first_games"] = reports.cohort_first_games(firsts, members)
         out["cohort_learning_curve"] = reports.cohort_learning_curve(tables, members, **scope)

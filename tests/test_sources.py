@@ -114,7 +114,7 @@ def test_reports_on_landed_tables_equal_the_registered_queries(spark):
                      readers.read_mint_events(spark, os.path.join(d, "mints")))
     for name in ("experience_tiers", "within_player_improvement", "skill_persistence",
                  "cohort_first_games", "cohort_learning_curve", "mint_event_players",
-                 "veteran_overlap", "retention_split"):
+                 "veteran_overlap", "retention_split", "score_quality", "sequence_load"):
         want = E.queries()[name](spark, SF001)
         cols = sorted(want.columns)
         assert sorted(map(tuple, out[name].select(cols).collect())) == \
@@ -131,3 +131,11 @@ def test_report_set_reuse_modes_agree(spark):
         cols = sorted(a[name].columns)
         assert sorted(map(tuple, a[name].select(cols).collect())) == \
             sorted(map(tuple, b[name].select(cols).collect())), name
+
+
+def test_report_set_key_check(spark):
+    from seqlens.plans.landed import report_set
+    t = fixture.token_tables(spark, SF001)
+    rows = {r.table_name: (r.rows, r.duplicate_keys)
+            for r in report_set(t, reuse="none")["key_uniqueness"].collect()}
+    assert rows == {"token_metadata": (1000, 0), "token_scores": (1000, 0), "token_owners": (1000, 0)}
