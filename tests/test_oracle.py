@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001, SF01
+from seqlens.plans.catalog import QUERIES
 
 TABLES = ["customer", "orders", "lineitem", "events", "supplier"]
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 def _norm(v):
@@ -32,7 +33,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(QUERIES) <= set(E.oracle_sql()) & set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -5,13 +5,14 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from seqlens.plans.catalog import QUERIES
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_in_plan(spark, name):
     p = _plan(E.queries()[name](spark, SF001))
     for op in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
@@ -44,7 +45,7 @@ def test_median_is_an_aggregate(spark):
     assert "percentile" in p
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_single_partition_exchanges_only_carry_aggregates(spark, name):
     """A SinglePartition exchange may only move partial aggregates or the
     per-range size table, never row-level or per-player data."""
