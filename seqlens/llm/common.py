@@ -51,15 +51,12 @@ def bit_filter(df: DataFrame, column: str, log2_bits: int = 26) -> np.ndarray:
     """
     mask, c = (1 << log2_bits) - 1, F.col(column)
     probes = F.array(c.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(c, 37).bitwiseAND(F.lit(mask)))
-    rows = (df.select(F.explode(probes).alias("p"))
+    rows = (df.select(F.explode(probes).alias("p")).withColumn("p", F.col("p") + 1)  # buckets of positive values start at 1
             .groupBy(F.bitmap_bucket_number("p").alias("b"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")))
-    out = np.zeros((1 << log2_bits) // 8 + 8192, np.uint8)
+    out = np.zeros(max((1 << log2_bits) // 8, 4096), np.uint8)
     for r in rows.toLocalIterator():
-        # bucket n holds the values (n - 1) * 32768 + position
-        at = (r.b - 1) * 4096
-        lo = max(at, 0)
-        out[lo:at + 4096] = np.frombuffer(bytes(r.m), np.uint8)[lo - at:]
+        out[(r.b - 1) * 4096:r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
     return out
 
 
@@ -160,15 +157,26 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table_=BYT
     return mix64(total + lens.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray, size: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text, and the words' row offsets."""
-    hashes, starts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+def words_of(buf: np.ndarray, off: np.ndarray, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every word of every text: hashes, starts, lengths, and row offsets."""
+    out = [[np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
     for at, stop in pieces(buf, off, size):
         s, e = word_spans(buf, off, at, stop)
-        hashes.append(hash_spans(buf, s, e))
-        starts.append(s)
-    starts = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(starts, off)
+        for o, x in zip(out, (hash_spans(buf, s, e), s, e - s)):
+            o.append(x)
+    hashes, starts, lens = map(np.concatenate, out)
+    return hashes, starts, lens, np.searchsorted(starts, off)
+
+
+def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every text, and the words' row offsets."""
+    hashes, _, _, bounds = words_of(buf, off)
+    return hashes, bounds
+
+
+def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Indices of consecutive runs ``start .. start + len``."""
+    return np.arange(int(lens.sum())) + np.repeat(starts - (np.cumsum(lens) - lens), lens)
 
 
 def row_ids(off: np.ndarray) -> np.ndarray:

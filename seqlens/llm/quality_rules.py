@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.common import U64, hash_spans, mix64, pieces, raw_text, row_ids, table, word_spans
+from seqlens.llm.common import U64, hash_spans, mix64, pieces, ragged, raw_text, row_ids, table, word_spans
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -90,11 +90,6 @@ class Encoder:
         return np.fromiter((i for ids in found for i in ids), np.int64, int(lens.sum())), lens
 
 
-def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Indices of consecutive runs ``start .. start + len``."""
-    return np.arange(int(lens.sum())) + np.repeat(starts - (np.cumsum(lens) - lens), lens)
-
-
 def repeated_windows(words: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
     """Per row, words inside 3-word windows that occur twice or more in it."""
     if len(words) < 3:

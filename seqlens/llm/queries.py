@@ -3,12 +3,32 @@ express them."""
 
 from __future__ import annotations
 
+import corpus_pipeline
+from seqlens.llm.jaccard_join import op1_ngram_jaccard_join
 from seqlens.llm.decontaminate import op2_benchmark_decontamination
+from seqlens.llm.language_id import op9_language_id
+from seqlens.llm.licence_scan import op7_licence_scan
+from seqlens.llm.mixing import op4_source_mixing
+from seqlens.llm.quality_classifier import op10_quality_classifier
 from seqlens.llm.quality_rules import op3_quality_rules
+from seqlens.llm.repeated_substrings import op8_repeated_substrings
+from seqlens.llm.secret_scan import op6_secret_scan
+from seqlens.llm.token_rollup import op5_token_counts
 
 QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard_join,
     op2_benchmark_decontamination,
     op3_quality_rules,
+    op4_source_mixing,
+    op5_token_counts,
+    op6_secret_scan,
+    op7_licence_scan,
+    op8_repeated_substrings,
+    op9_language_id,
+    op10_quality_classifier,
 )}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
