@@ -30,8 +30,8 @@ from seqlens.llm.common import U64, hash_spans, mix64, pieces, ragged, raw_text,
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-PIECE_BYTES = 8 << 20
-CACHE_WORDS = 400_000
+PIECE_BYTES = 1 << 20
+CACHE_WORDS = 200_000
 #: Words longer than this are encoded, but not kept in the worker's cache.
 CACHE_WORD_BYTES = 64
 VOCABULARY = "piece_bpe_32k.model"
