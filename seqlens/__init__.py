@@ -7,10 +7,10 @@ Layers:
 * ``operators`` — DataFrame operators (game fact, skew-aware sequencing, exact
   grouped medians, distributed quantile tiers, cohorts, quality checks)
 * ``plans``     — the user-level reports built from the operators
-* ``streaming`` — empty: the analysis has no streaming work
+* ``llm``       — operators for training-data corpora; nothing else imports it
 
-Everything is expressed with the DataFrame API and built-in functions; there
-are no Python UDFs anywhere in the library.
+The cohort analytics are DataFrame API and built-in functions without Python
+UDFs; some corpus operators use Arrow functions.
 """
 
 from seqlens.session import get_session, ensure_checkpoint_dir

@@ -34,27 +34,15 @@ def decode_hex_score(col: Column | str, mode: str = "reference",
     canonical_pattern = f"^0x[0-9a-f]{{{SCORE_HEX_DIGITS}}}$"
     if mode == "reference":
         last = first + digits - 1
-        # On canonical text the positional sum equals conv() of the digit
-        # window, which is much cheaper; only other text takes the sum.
-        fast = 3 <= first and last <= SCORE_HEX_DIGITS + 2
-        if isinstance(col, str):
-            # same expression, sent to the JVM as one SQL string
-            name = "`" + col.replace("`", "``") + "`"
-            terms = [f"(CAST(instr('{HEX_ALPHABET}', substring({name}, {pos}, 1)) AS BIGINT) - 1)"
-                     f" * {16 ** (last - pos)}" for pos in range(first, last + 1)]
-            positional = " + ".join(terms)
-            if not fast:
-                return F.expr(positional)
-            return F.expr(f"CASE WHEN {name} RLIKE '{canonical_pattern}' "
-                          f"THEN CAST(conv(substring({name}, {first}, {digits}), 16, 10) AS BIGINT) "
-                          f"ELSE {positional} END")
         total = None
         for pos in range(first, last + 1):
             digit = F.instr(F.lit(HEX_ALPHABET), F.substring(s, pos, 1)).cast("bigint") - F.lit(1)
             term = digit * F.lit(16 ** (last - pos))
             total = term if total is None else total + term
-        if not fast:
+        if first < 3 or last > SCORE_HEX_DIGITS + 2:
             return total
+        # On canonical text the positional sum equals conv() of the digit
+        # window, which is much cheaper; only other text takes the sum.
         return F.when(s.rlike(canonical_pattern),
                       F.conv(F.substring(s, first, digits), 16, 10).cast("bigint")).otherwise(total)
     canonical = s.rlike(canonical_pattern)
@@ -87,12 +75,19 @@ def normalise_address(col: Column | str) -> Column:
 
     Two spellings normalise to the same string exactly when they denote the
     same integer, so an equi-join on the result is numeric address matching.
-    ``ltrim(.., '0x')`` drops the prefix and the leading zeros in one pass
-    (``x`` is not a hex digit); digits beyond 64 are kept, never truncated.
+    Text that is no hex number (also ``''`` and ``'0x'``) gives NULL. Digits
+    beyond 64 are kept, never truncated.
     """
-    digits = F.ltrim(F.lower(F.trim(_c(col))), F.lit("0x"))
+    text = F.lower(F.trim(_c(col)))
+    # drops the prefix and the leading zeros in one pass (x is not a hex digit)
+    digits = F.ltrim(text, F.lit("0x"))
     width = F.greatest(F.length(digits), F.lit(ADDRESS_HEX_DIGITS))
-    return F.concat(F.lit("0x"), F.lpad(digits, width, F.lit("0")))
+    return F.when(text.rlike("^(0x)?[0-9a-f]+$"), F.concat(F.lit("0x"), F.lpad(digits, width, F.lit("0"))))
+
+
+def canonical_address(text: str) -> str:
+    """``normalise_address`` of a constant."""
+    return f"0x{int(text, 16):0{ADDRESS_HEX_DIGITS}x}"
 
 
 def bucketize(col: Column | str, bounds: Sequence[tuple[int, str]], otherwise: str

@@ -8,31 +8,27 @@ from pyspark.sql import functions as F
 from seqlens.functions.constants import (COHORT_MEMBER, COHORT_OTHER, MINT_FROM,
                                          MINT_FROM_BLOCK, MINT_TO_BLOCK, OG_CONTRACT,
                                          TRANSFER_SELECTOR)
-from seqlens.functions.scalars import normalise_address
-from seqlens.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast
+from seqlens.functions.scalars import canonical_address, normalise_address
 
 
-def _member_side(members: DataFrame, member_col: str, max_rows: int) -> DataFrame:
-    m = members.select(F.col(member_col).alias("_member")).filter(F.col("_member").isNotNull()).distinct()
-    side, _ = maybe_broadcast(m, max_rows)
-    return side
+def _member_side(members: DataFrame, member_col: str) -> DataFrame:
+    """Distinct members; Spark picks the join by the side's size at run time."""
+    return members.select(F.col(member_col).alias("_member")).filter(F.col("_member").isNotNull()).distinct()
 
 
 def tag_members(df: DataFrame, key: str, members: DataFrame, member_col: str = "addr",
-                out: str = "cohort", yes: str = COHORT_MEMBER, no: str = COHORT_OTHER,
-                max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                out: str = "cohort", yes: str = COHORT_MEMBER, no: str = COHORT_OTHER) -> DataFrame:
     """Add ``out`` = ``yes`` when ``key`` is in the member list, else ``no``
     (a NULL key is not a member). Exact string match, as in the original."""
-    side = _member_side(members, member_col, max_rows).withColumn("_is_member", F.lit(True))
+    side = _member_side(members, member_col).withColumn("_is_member", F.lit(True))
     tagged = df.join(side, df[key] == side["_member"], "left")
     return tagged.withColumn(out, F.when(F.col("_is_member"), F.lit(yes)).otherwise(F.lit(no))) \
         .drop("_member", "_is_member")
 
 
-def drop_members(df: DataFrame, key: str, members: DataFrame, member_col: str = "addr",
-                 max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def drop_members(df: DataFrame, key: str, members: DataFrame, member_col: str = "addr") -> DataFrame:
     """Rows whose ``key`` is not in the list (NULL keys are kept: not members)."""
-    side = _member_side(members, member_col, max_rows)
+    side = _member_side(members, member_col)
     return df.join(side, df[key] == side["_member"], "left_anti")
 
 
@@ -42,18 +38,22 @@ def mint_receivers(events: DataFrame, contract: str = OG_CONTRACT,
                    block_range: int | None = None) -> DataFrame:
     """One row per mint event (transfer from ``mint_from``) of ``contract`` in
     the block window (inclusive): ``receiver`` = ``keys[2]`` as written.
-    Contract and block predicates are pushed to the scan. Events landed by
-    ``sinks.land_mint_events`` carry a ``block_range`` partition column;
-    with ``block_range`` (the landing's range size) the window also prunes
-    partition folders."""
-    if block_range is not None and "block_range" in events.columns:
+
+    Contract, selector and sender are compared by value, whatever their
+    spelling. Events landed by ``sinks.land_mint_events`` (with a
+    ``block_range`` partition column) hold them in canonical text, so there the
+    predicates reach the scan as they are; with ``block_range`` (the landing's
+    range size) the window also prunes partition folders."""
+    wanted = [canonical_address(x) for x in (contract, selector, mint_from)]
+    landed = "block_range" in events.columns
+    if landed and block_range is not None:
         events = events.filter(F.col("block_range").between(from_block // block_range,
                                                              to_block // block_range))
-    ev = events.filter((F.col("address") == contract)
-                       & F.col("block_number").between(from_block, to_block)
-                       & (F.get(F.col("keys"), 0) == selector)
-                       & (F.get(F.col("keys"), 1) == mint_from))
-    return ev.select(F.get(F.col("keys"), 2).alias("receiver"))
+    columns = [F.col("address"), F.get(F.col("keys"), 0), F.get(F.col("keys"), 1)]
+    match = F.col("block_number").between(from_block, to_block)
+    for column, value in zip(columns, wanted):
+        match = match & ((column if landed else normalise_address(column)) == value)
+    return events.filter(match).select(F.get(F.col("keys"), 2).alias("receiver"))
 
 
 def mint_players(events: DataFrame, **filters) -> DataFrame:
@@ -78,14 +78,15 @@ def mint_summary(players: DataFrame) -> DataFrame:
 def scope_players(scoped_ids: DataFrame, owners: DataFrame) -> DataFrame:
     """Distinct owners of in-scope tokens, de-duplicated on the normalised
     address; one spelling is kept per address (the greatest, so it is
-    deterministic). Columns ``addr_norm, owner``.
+    deterministic). Text that is no address is no player
+    (``quality.address_quality`` counts it). Columns ``addr_norm, owner``.
 
     Owners are made distinct first (map-side combined), so the address is
     normalised once per spelling, not once per token."""
     o = owners.select(F.col("token_id").alias("id"), "owner")
     spellings = scoped_ids.join(o, "id").select("owner").distinct()
     return spellings.groupBy(normalise_address("owner").alias("addr_norm")) \
-        .agg(F.max("owner").alias("owner"))
+        .agg(F.max("owner").alias("owner")).filter(F.col("addr_norm").isNotNull())
 
 
 def overlap(players: DataFrame, other: DataFrame, key: str = "addr_norm") -> DataFrame:

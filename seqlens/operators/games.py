@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from seqlens.functions.constants import (OFFICIAL_MINTER, OFFICIAL_SETTINGS_ID,
                                          VALID_SCORE_MAX, VALID_SCORE_MIN)
 from seqlens.functions.scalars import decode_hex_score, normalise_address
-from seqlens.operators.joins import maybe_broadcast
-from seqlens.operators.sequence import DEFAULT_HEAVY_THRESHOLD, heavy_candidates, sequence
+from seqlens.operators.sequence import first_k, sequence
 
 
 def scoped_metadata(metadata: DataFrame, settings_id: int = OFFICIAL_SETTINGS_ID,
@@ -21,8 +20,7 @@ def scoped_metadata(metadata: DataFrame, settings_id: int = OFFICIAL_SETTINGS_ID
     m = metadata.filter(F.col("settings_id") == settings_id)
     if registry is not None and minter_address is not None:
         idx = registry.filter(normalise_address("address") == normalise_address(F.lit(minter_address))) \
-            .select(F.col("index").alias("_minter_index")).distinct()
-        idx, _ = maybe_broadcast(idx)
+            .select(F.col("index").alias("_minter_index"))
         m = m.join(idx, F.col("minted_by") == F.col("_minter_index"), "left_semi")
     else:
         m = m.filter(F.col("minted_by") == minter)
@@ -32,35 +30,31 @@ def scoped_metadata(metadata: DataFrame, settings_id: int = OFFICIAL_SETTINGS_ID
 def official_games(metadata: DataFrame, scores: DataFrame, owners: DataFrame,
                    settings_id: int = OFFICIAL_SETTINGS_ID, minter: str | None = OFFICIAL_MINTER,
                    registry: DataFrame | None = None, minter_address: str | None = None,
-                   decode_mode: str = "reference") -> DataFrame:
-    """``owner, id, executed_at, score, sc`` for every in-scope game.
+                   decode_mode: str = "reference", keep_text: bool = False) -> DataFrame:
+    """``owner, id, executed_at, sc`` for every in-scope game; with
+    ``keep_text`` also the score as written (``score``).
 
     Both joins are on the token id: all three inputs are hash-partitioned on
     it once, and the second join reuses the first join's partitioning. Tables
-    bucketed on the id join without any exchange.
+    bucketed on the id join without any exchange. Scores are decoded before the
+    joins, so the text is not shuffled.
     """
     m = scoped_metadata(metadata, settings_id, minter, registry, minter_address)
-    s = scores.select("id", "score", "executed_at")
+    text = ["score"] if keep_text else []
+    s = scores.select("id", "executed_at", *text, decode_hex_score("score", mode=decode_mode).alias("sc"))
     o = owners.select(F.col("token_id").alias("id"), "owner")
-    g = m.join(s, "id").join(o, "id")
-    return g.select("owner", "id", "executed_at", "score",
-                    decode_hex_score("score", mode=decode_mode).alias("sc"))
+    return m.join(s, "id").join(o, "id").select("owner", "id", "executed_at", *text, "sc")
 
 
-def game_sequence(games: DataFrame, heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOLD,
-                  heavy_keys: DataFrame | None = None, ordinal: str = "game_no",
-                  total: str | None = "n", num_partitions: int | None = None) -> DataFrame:
+def game_sequence(games: DataFrame, ordinal: str = "game_no", total: str | None = "n") -> DataFrame:
     """Number each owner's games by time (token id breaks ties) over all
     in-scope games — invalid scores included — and add the owner's total."""
-    return sequence(games, "owner", ["executed_at"], ["id"], ordinal=ordinal, total=total,
-                    heavy_threshold=heavy_threshold, heavy_keys=heavy_keys,
-                    num_partitions=num_partitions)
+    return sequence(games, "owner", ["executed_at"], ["id"], ordinal=ordinal, total=total)
 
 
-def owner_heavy_keys(owners: DataFrame, heavy_threshold: int = DEFAULT_HEAVY_THRESHOLD) -> DataFrame:
-    """Superset of the heavy players, counted on the owners table alone (no
-    join): an owner's in-scope games are at most its owned tokens."""
-    return heavy_candidates(owners, "owner", heavy_threshold)
+def first_games(games: DataFrame, k: int, ordinal: str = "game_no") -> DataFrame:
+    """Each owner's first ``k`` games, numbered (no owner total)."""
+    return first_k(games, "owner", ["executed_at"], ["id"], k, ordinal=ordinal)
 
 
 def is_valid(sc: Column | str = "sc", lo: int = VALID_SCORE_MIN, hi: int = VALID_SCORE_MAX) -> Column:
@@ -74,24 +68,19 @@ def valid(df: DataFrame, sc: str = "sc", lo: int = VALID_SCORE_MIN,
     return df.filter(is_valid(sc, lo, hi))
 
 
-def sequenced_games(tables, heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOLD,
-                    total: str | None = "n", before_numbering=None, **scope) -> DataFrame:
-    """official_games + game_sequence, with heavy candidates from the owners table.
+def scoped_games(tables, before_numbering=None, **scope) -> DataFrame:
+    """official_games of the three tables, without the score text.
 
     ``before_numbering``: optional ``DataFrame -> DataFrame`` applied to the
     game rows before they are numbered (e.g. removing whole owners)."""
-    # the raw score text is not needed after decoding; dropping it keeps the
-    # numbering shuffle (and any cached copy) narrow
-    g = official_games(tables.metadata, tables.scores, tables.owners, **scope).drop("score")
-    if before_numbering is not None:
-        g = before_numbering(g)
-    if heavy_threshold is not None and tables.owners.count() <= heavy_threshold:
-        # no owner can exceed the threshold (a row count is answered from file
-        # metadata): the plain window is exact and needs no key check
-        heavy_threshold = None
-    hk = owner_heavy_keys(tables.owners, heavy_threshold) if heavy_threshold else None
-    return game_sequence(g, heavy_threshold=heavy_threshold, heavy_keys=hk, total=total)
-
-
-__all__ = ["scoped_metadata", "official_games", "game_sequence", "owner_heavy_keys",
-           "is_valid", "valid", "sequenced_games"]
+    g = official_games(tables.metadata, tables.scores, tables.owners, **scope)
+    return g if before_numbering is None else before_numbering(g)
+
+
+def sequenced_games(tables, total: str | None = "n", before_numbering=None, **scope) -> DataFrame:
+    """scoped_games + game_sequence."""
+    return game_sequence(scoped_games(tables, before_numbering, **scope), total=total)
+
+
+__all__ = ["scoped_metadata", "official_games", "game_sequence", "first_games", "is_valid", "valid",
+           "scoped_games", "sequenced_games"]

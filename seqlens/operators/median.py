@@ -7,19 +7,24 @@ group, one task does 80 % of the work. Here the median is an aggregate:
 
 * ``method="exact"`` — ``percentile(value, 0.5)``: partial aggregation keeps
   a value -> count map per group and task, so the shuffle carries at most
-  one entry per distinct value per task; equal to the middle-rows mean.
-* ``method="histogram"`` — ``count`` per (group, value) first, then
-  ``percentile(value, 0.5, frequency)``; two combined shuffles, the first
-  collapsing repeated values. Same result.
+  one entry per distinct value per task; equal to the middle-rows mean. For
+  values from a bounded domain (scores).
+* ``method="histogram"`` — for values with unboundedly many distinct values:
+  rows are counted per (group, value), the counts are summed per value range,
+  running sums over the ranges find the one or two that hold the middle rows,
+  and only those ranges are numbered by value. No group is in one buffer.
 
 Both are exact; ``percentile_approx`` is not used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Width of a value range of the histogram method, in units of the value.
+RANGE_WIDTH = 64
+
 
 def median_of(value: str | Column) -> Column:
     """Exact median expression (NULLs ignored; NULL for no rows)."""
@@ -27,32 +32,44 @@ def median_of(value: str | Column) -> Column:
 
 
 def grouped_median(df: DataFrame, keys: list[str], value: str, median: str = "median",
-                   count: str | None = "rows", method: str = "exact") -> DataFrame:
-    """One row per group: ``keys``, ``count`` (non-NULL values) and ``median``."""
+                   count: str | None = "rows", method: str = "exact",
+                   range_width: float = RANGE_WIDTH) -> DataFrame:
+    """One row per group: ``keys``, ``count`` (non-NULL values) and ``median``.
+
+    A group without a value has a NULL median and count 0 by ``"exact"``, and
+    no row by ``"histogram"``."""
     if method == "exact":
         aggs = [median_of(value).alias(median)]
         if count:
             aggs.insert(0, F.count(value).alias(count))
         return df.groupBy(*keys).agg(*aggs)
     if method == "histogram":
-        hist = df.filter(F.col(value).isNotNull()) \
-            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_freq"))
-        aggs = [F.percentile(value, 0.5, F.col("_freq")).alias(median)]
-        if count:
-            aggs.insert(0, F.sum("_freq").alias(count))
-        return hist.groupBy(*keys).agg(*aggs)
+        out = _histogram_median(df, keys, value, median, count or "_count", range_width)
+        return out if count else out.drop("_count")
     raise ValueError(f"unknown median method {method!r}")
 
 
-def window_median(df: DataFrame, keys: list[str], value: str, median: str = "median",
-                  count: str = "rows") -> DataFrame:
-    """The middle-rows definition written with windows (tests only)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy(value)
-    r = df.filter(F.col(value).isNotNull()) \
-        .withColumn("_rn", F.row_number().over(w)) \
-        .withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    lo = F.floor((F.col("_c") + 1) / 2)
-    hi = F.floor((F.col("_c") + 2) / 2)
-    mid = F.when((F.col("_rn") == lo) | (F.col("_rn") == hi), F.col(value))
-    return r.groupBy(*keys).agg(F.max("_c").alias(count), F.avg(mid).alias(median))
+def _histogram_median(df: DataFrame, keys: list[str], value: str, median: str, count: str,
+                      range_width: float) -> DataFrame:
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    hist = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f")) \
+        .withColumn("_range", F.floor(F.col("_v") / F.lit(range_width)))
+    ranges = hist.groupBy(*keys, "_range").agg(F.sum("_f").alias("_rf"))
+    along = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumns({
+        "_before": F.coalesce(F.sum("_rf").over(along), F.lit(0)),
+        "_c": F.sum("_rf").over(Window.partitionBy(*keys))})
+    lo, hi = F.floor((F.col("_c") + 1) / 2), F.floor((F.col("_c") + 2) / 2)
+    middle = ranges.filter((F.col("_before") < hi) & (F.col("_before") + F.col("_rf") >= lo))
+    cond = F.col("h._range") == F.col("m._range")
+    for k in keys:
+        cond = cond & F.col(f"h.{k}").eqNullSafe(F.col(f"m.{k}"))
+    picked = hist.alias("h").join(middle.alias("m"), cond).select(
+        *[F.col(f"h.{k}").alias(k) for k in keys], "h._v", "h._f", "h._range", "m._before", "m._c")
+    inside = Window.partitionBy(*keys, "_range").orderBy("_v")
+    upto = F.col("_before") + F.sum("_f").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = picked.withColumn("_upto", upto)
+    first = F.col("_upto") - F.col("_f")
+    low = F.max(F.when((first < lo) & (F.col("_upto") >= lo), F.col("_v")))
+    high = F.max(F.when((first < hi) & (F.col("_upto") >= hi), F.col("_v")))
+    return picked.groupBy(*keys).agg(F.max("_c").alias(count), ((low + high) / 2).cast("double").alias(median))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.functions.constants import VALID_SCORE_MAX, VALID_SCORE_MIN
+from seqlens.functions.scalars import normalise_address
 
 
 def key_uniqueness(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
@@ -42,11 +43,24 @@ def score_quality(games: DataFrame, lo: int = VALID_SCORE_MIN, hi: int = VALID_S
         .agg(F.count(F.lit(1)).alias("games"))
 
 
+def address_class(address: str = "owner"):
+    a = F.col(address)
+    return (F.when(a.isNull(), F.lit("null"))
+             .when(normalise_address(a).isNull(), F.lit("malformed"))
+             .when(normalise_address(a) == a, F.lit("canonical"))
+             .otherwise(F.lit("other_spelling")))
+
+
+def address_quality(df: DataFrame, address: str = "owner") -> DataFrame:
+    """Rows per address class: ``address_class, rows``. Malformed addresses are
+    no players."""
+    return df.groupBy(address_class(address).alias("address_class")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def sequence_load(games: DataFrame, entity: str = "owner") -> DataFrame:
     """One row: entities, rows, the largest entity's rows and its share.
 
-    The largest share shows whether the per-entity numbering needs the
-    heavy-entity route (``operators.sequence``)."""
+    The largest share shows how skewed the per-entity numbering is."""
     per = games.groupBy(entity).agg(F.count(F.lit(1)).alias("_c"))
     return per.agg(F.count(F.lit(1)).alias("players"),
                    F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("games"),

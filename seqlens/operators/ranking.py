@@ -1,78 +1,70 @@
-"""Exact global positions and NTILE without a single-partition window.
+"""Exact NTILE without a single-partition window over the rows.
 
 ``Window.orderBy(...)`` with no partition key moves every row into one task.
-Here the rows are range-partitioned on the full (unique) sort key instead:
-Spark samples the key, cuts it into ``P`` contiguous ranges and sorts each
-range in its own task; a hot value is split across ranges by the tie-break
-columns. A row's global position is then
+Here a row's global position is put together from three counts:
 
-    rows in earlier ranges + its index inside its range
+    rows with a smaller value
+    + rows with its value in earlier slices of the tie-break
+    + its index inside its (value, slice)
 
-where the first term comes from a ``P``-row table of range sizes (bounded by
-the partition count, so safe to broadcast). The ranged rows are persisted so
-that the range sizes and the row indexes are read from the same copy; a lost
-block is recomputed from the same range boundaries, giving the same ranges.
+The first comes from the table of distinct values, the second from the table of
+(value, slice) counts; both are small aggregates. Only the third is a window over
+rows, dealt by (value, slice), so a value that very many rows share is split.
+
+Meant for values from a bounded domain (medians of scores from 1 to 3000 have
+fewer than 6,000 distinct values): the window over distinct values has one
+partition.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlens.functions.scalars import ntile_of_position
-from seqlens.session import shuffle_partitions
 
-_PID = "_range_id"
-_MID = "_range_row"
+# Leading characters of the tie-break text that make a slice: "0x" and four
+# digits of an address.
+SLICE_CHARS = 6
 
 
-def global_positions(df: DataFrame, order: list[str | Column], pos: str = "_pos",
-                     total: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Add ``pos``: the exact 0-based position of each row in ``order``.
+def global_positions(df: DataFrame, value: str, tiebreak: str, pos: str = "_pos",
+                     total: str | None = None, slice_of: Column | None = None) -> DataFrame:
+    """Add ``pos``: the exact 0-based position of each row by ``value``, then
+    ``tiebreak`` (unique), ascending, NULLs first; and the row count as ``total``.
 
-    ``order`` should be a unique key (add a tie-break column), ascending,
-    NULLs first. When ``total`` is given, the row count is added as well.
-    """
-    spark = df.sparkSession
-    parts = num_partitions or shuffle_partitions(spark)
-    ranged = (df.repartitionByRange(parts, *order)
-                .sortWithinPartitions(*order)
-                .withColumn(_PID, F.spark_partition_id())
-                .withColumn(_MID, F.monotonically_increasing_id())
-                .persist(StorageLevel.MEMORY_AND_DISK))
-    sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
-    every = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    # At most `parts` rows: the single-partition window here is over range sizes only.
-    offsets = sizes.select(
-        _PID,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(every).alias("_all"),
-    )
-    out = ranged.join(F.broadcast(offsets), _PID)
-    # monotonically_increasing_id = (partition index << 33) + index in partition
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
-    out = out.withColumn(pos, F.col("_before") + local)
+    ``slice_of`` must not decrease along ``tiebreak`` and never be NULL; by
+    default it is the leading characters of its text, for text tie-breaks."""
+    if slice_of is None:
+        slice_of = F.coalesce(F.substring(F.col(tiebreak), 1, SLICE_CHARS), F.lit(""))
+    # NULL-safe key of the value, with a flag that sorts NULL first
+    keyed = df.withColumns({"_known": F.col(value).isNotNull(),
+                            "_value": F.coalesce(F.col(value), F.lit(0).cast(df.schema[value].dataType)),
+                            "_slice": slice_of}).repartition("_known", "_value", "_slice")
+    sizes = keyed.groupBy("_known", "_value", "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    values = sizes.groupBy("_known", "_value").agg(F.sum("_rows").alias("_rows"))
+    # one row per distinct value: the only window without a partition key
+    below = Window.orderBy("_known", "_value").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_known", "_value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    values = values.select("_known", "_value", F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_below"),
+                           F.sum("_rows").over(every).alias("_all"))
+    earlier = Window.partitionBy("_known", "_value").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_known", "_value", "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_earlier")) \
+        .join(values, ["_known", "_value"])
+    inside = Window.partitionBy("_known", "_value", "_slice").orderBy(tiebreak)
+    out = keyed.withColumn("_index", F.row_number().over(inside) - 1).join(sizes, ["_known", "_value", "_slice"])
+    out = out.withColumn(pos, F.col("_below") + F.col("_earlier") + F.col("_index"))
     if total:
         out = out.withColumn(total, F.col("_all"))
-    return out.drop(_PID, _MID, "_before", "_all")
+    return out.drop("_known", "_value", "_slice", "_index", "_below", "_earlier", "_all")
 
 
-def quantile_tiers(df: DataFrame, k: int, order: list[str], tiebreak: list[str],
-                   tier: str = "tier", num_partitions: int | None = None) -> DataFrame:
-    """``NTILE(k) OVER (ORDER BY order..., tiebreak...)`` as a distributed plan.
+def quantile_tiers(df: DataFrame, k: int, value: str, tiebreak: str, tier: str = "tier",
+                   slice_of: Column | None = None) -> DataFrame:
+    """``NTILE(k) OVER (ORDER BY value, tiebreak)`` as a distributed plan.
 
     Equal to SQL NTILE: the first ``N mod k`` tiers get one row more.
     """
-    ranked = global_positions(df, [*order, *tiebreak], pos="_pos", total="_total",
-                              num_partitions=num_partitions)
+    ranked = global_positions(df, value, tiebreak, total="_total", slice_of=slice_of)
     return ranked.withColumn(tier, ntile_of_position(F.col("_pos"), F.col("_total"), k)) \
         .drop("_pos", "_total")
-
-
-def ntile_window(df: DataFrame, k: int, order: list[str], tiebreak: list[str],
-                 tier: str = "tier") -> DataFrame:
-    """Reference form (single-partition window) — for tests and small inputs only."""
-    w = Window.orderBy(*order, *tiebreak)
-    return df.withColumn(tier, F.ntile(k).over(w).cast("bigint"))

@@ -1,23 +1,18 @@
-"""Materialising an intermediate result that several branches read."""
+"""Writing out an intermediate result that several reports read."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame
 
 from seqlens.session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
-    """``"persist"``: cache in executor memory, spilling to disk; a lost block
-    is recomputed from lineage. ``"checkpoint"``: write to the session's
-    checkpoint folder (shared storage on a cluster) and cut the lineage.
-    ``"none"``: leave it to be recomputed by each reader."""
-    if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if how == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    if how == "none":
-        return df
-    raise ValueError(f"unknown materialisation {how!r}")
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once, as a parquet table in the session's shared folder, and
+    read it back. Every reader shares the one copy, it outlives lost executors,
+    and nothing stays in executor memory."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,96 +1,83 @@
 """Per-entity event ordinal and total (``ROW_NUMBER`` / ``COUNT(*)`` over entity).
 
-The plain plan is one hash exchange on the entity and one sort, shared by the
-ordinal and the total. A window partition cannot be split by AQE, so an
-entity holding a large share of all rows would land in one task. Entities
-whose row count exceeds ``heavy_threshold`` therefore take another route:
-
-1. candidate heavy keys = entities with more than ``heavy_threshold`` rows
-   (a pre-aggregated count, at most ``rows / heavy_threshold`` keys; the
-   caller may pass a cheaper superset, e.g. counted on one input table);
-2. light rows (anti-join with the candidates) -> the plain window;
-3. heavy rows (semi-join) -> exact global positions over
-   ``(entity, order..., tiebreak)`` with range partitioning, which splits one
-   entity across many tasks (``operators.ranking``); the ordinal is the row's
-   position minus the entity's first position, plus one; the first position
-   and the total come from a per-entity aggregate (partial aggregation, so a
-   hot key costs one partial row per task).
-
-The two parts are unioned. When no entity is heavy the plan is exactly the
-plain window. When some are, both routes read the input. By default it is
-recomputed for each (``reuse="none"``): on 10M token rows with a third on one
-owner that took 41 s against 59 s for caching the full input first, and it
-puts no large cache on the executors. ``reuse="persist"`` or
-``"checkpoint"`` (to the session's shared checkpoint folder) materialises it
-once instead, for inputs that are expensive to recompute.
+A window partition cannot be split, so a window over the whole entity would put
+an entity with a third of all rows into one task. Every entity is therefore
+numbered by slices of its first order column:
+
+1. rows are dealt by (entity, slice) once;
+2. that exchange feeds both the row number inside each slice and the count of
+   each slice;
+3. the slice counts, a small table, give each slice the rows before it and the
+   entity's total, and join back on (entity, slice) with no further exchange of
+   the rows.
+
+The same plan serves every entity and every size, and nothing runs while it is
+built. Where only the first k ordinals are needed, ``first_k`` keeps the plain
+window, whose per-entity limit is applied before the shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlens.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast
-from seqlens.operators.ranking import global_positions
-from seqlens.operators.reuse import materialize
-
-# One task sorts this many narrow (~100 byte) rows, about 2 GB, with spill;
-# an entity above it would make its task the stage's bottleneck, so it is
-# numbered by the range-partitioned route. Below it the plain window is
-# cheaper: on 10M rows with one 3.3M-row owner on one machine, the plain
-# route took 27 s and the split route 45 s.
-DEFAULT_HEAVY_THRESHOLD = 20_000_000
+# A slice is a week of the entity's history: an entity with a third of all rows
+# of three years is spread over some 150 slices.
+SLICE_SECONDS = 7 * 86_400
 
 
-def heavy_candidates(df: DataFrame, entity: str, heavy_threshold: int) -> DataFrame:
-    """Entities with more than ``heavy_threshold`` rows (map-side combined count)."""
-    return df.groupBy(entity).agg(F.count(F.lit(1)).alias("_rows")) \
-        .filter(F.col("_rows") > heavy_threshold).select(entity)
-
-
-def _plain(df: DataFrame, entity: str, order: list[str], ordinal: str,
-           total: str | None) -> DataFrame:
-    w = Window.partitionBy(entity).orderBy(*order)
-    out = df.withColumn(ordinal, F.row_number().over(w).cast("bigint"))
-    if total:
-        whole = Window.partitionBy(entity)
-        out = out.withColumn(total, F.count(F.lit(1)).over(whole))
-    return out
+def time_slice(column: str, seconds: int = SLICE_SECONDS) -> Column:
+    """Number of the ``seconds``-long slice; NULL times (which sort first) get
+    the least number."""
+    at = F.unix_timestamp(F.col(column).cast("timestamp"))
+    return F.coalesce(F.floor(at / F.lit(seconds)).cast("bigint"), F.lit(-(1 << 62)))
 
 
 def sequence(df: DataFrame, entity: str, order: list[str], tiebreak: list[str],
              ordinal: str = "ordinal", total: str | None = "n",
-             heavy_threshold: int | None = DEFAULT_HEAVY_THRESHOLD,
-             heavy_keys: DataFrame | None = None,
-             max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-             num_partitions: int | None = None, reuse: str = "none") -> DataFrame:
+             slice_of: Column | None = None) -> DataFrame:
     """Add ``ordinal`` (1-based position of the row in its entity's
     ``order, tiebreak`` sequence, NULLs first) and ``total`` (rows of the
-    entity). ``order + tiebreak`` must be unique within an entity."""
-    keys = [*order, *tiebreak]
-    if heavy_threshold is None:
-        return _plain(df, entity, keys, ordinal, total)
-    cand = heavy_keys if heavy_keys is not None else heavy_candidates(df, entity, heavy_threshold)
-    # duplicates are harmless: the keys only feed a semi and an anti join
-    cand = cand.select(entity)
-    side, n_heavy = maybe_broadcast(cand, max_broadcast_rows)
-    if n_heavy == 0:
-        return _plain(df, entity, keys, ordinal, total)
-
-    df = materialize(df, reuse)
-    hk = side.withColumnRenamed(entity, "_hk")
-    match = F.col(entity).eqNullSafe(F.col("_hk"))
-    light = _plain(df.join(hk, match, "left_anti"), entity, keys, ordinal, total)
-
-    heavy = df.join(hk, match, "left_semi")
-    ranked = global_positions(heavy, [entity, *keys], pos="_pos", num_partitions=num_partitions)
-    firsts = ranked.groupBy(entity).agg(F.min("_pos").alias("_first"),
-                                        F.count(F.lit(1)).alias("_total"))
-    fside, _ = maybe_broadcast(firsts, max_broadcast_rows)
-    fside = fside.withColumnRenamed(entity, "_fk")
-    numbered = ranked.join(fside, F.col(entity).eqNullSafe(F.col("_fk"))) \
-        .withColumn(ordinal, F.col("_pos") - F.col("_first") + F.lit(1))
+    entity). ``order + tiebreak`` must be unique within an entity.
+
+    ``slice_of`` must not decrease along ``order``; by default it is the time
+    slice of ``order[0]``. A NULL entity is an entity of its own."""
+    slice_of = time_slice(order[0]) if slice_of is None else slice_of
+    # NULL-safe keys that a hash partitioning can carry
+    keyed = df.withColumns({"_e": F.coalesce(F.col(entity).cast("string"), F.lit("")),
+                            "_e_null": F.col(entity).isNull(), "_slice": slice_of}) \
+        .repartition("_e", "_e_null", "_slice")
+    sizes = keyed.groupBy("_e", "_e_null", "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    along = Window.partitionBy("_e", "_e_null").orderBy("_slice")
+    whole = Window.partitionBy("_e", "_e_null")
+    sizes = sizes.select(
+        "_e", "_e_null", "_slice",
+        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(whole).alias("_total"))
+    inside = Window.partitionBy("_e", "_e_null", "_slice").orderBy(*order, *tiebreak)
+    out = keyed.withColumn("_rank", F.row_number().over(inside)).join(sizes, ["_e", "_e_null", "_slice"])
+    out = out.withColumn(ordinal, F.col("_before") + F.col("_rank"))
     if total:
-        numbered = numbered.withColumn(total, F.col("_total"))
-    numbered = numbered.drop("_pos", "_first", "_total", "_fk")
-    return light.unionByName(numbered)
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_e", "_e_null", "_slice", "_rank", "_before", "_total")
+
+
+def first_k(df: DataFrame, entity: str, order: list[str], tiebreak: list[str], k: int,
+            ordinal: str = "ordinal") -> DataFrame:
+    """The first ``k`` rows of each entity, numbered. The row-number filter is a
+    per-entity limit below the exchange (``WindowGroupLimit``), so an entity
+    sends at most ``k`` rows per task."""
+    w = Window.partitionBy(entity).orderBy(*order, *tiebreak)
+    return df.withColumn(ordinal, F.row_number().over(w).cast("bigint")).filter(F.col(ordinal) <= k)
+
+
+def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the one with the greatest ``order`` (NULLs least; end it
+    with a unique column to break ties). For tables that keep history, such as
+    past owners of a token, before they are joined.
+
+    A partial aggregate (``max_by`` over the row), not a window: a key with many
+    versions costs one row per task."""
+    rest = [c for c in df.columns if c not in keys]
+    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    return df.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*df.columns)

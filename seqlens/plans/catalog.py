@@ -13,31 +13,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlens.functions import constants as K
+from seqlens.functions.scalars import decode_hex_score, normalise_address
 from seqlens.operators.cohorts import (mint_players, mint_summary, overlap_counts, scope_players,
                                        tag_members)
-from seqlens.operators.games import (official_games, scoped_metadata, sequenced_games, valid)
+from seqlens.operators.games import (first_games, official_games, scoped_games, scoped_metadata,
+                                     sequenced_games, valid)
 from seqlens.operators.median import grouped_median
-from seqlens.operators.quality import key_uniqueness, score_quality, sequence_load
-from seqlens.functions.scalars import decode_hex_score, normalise_address
-from seqlens.plans import reports
+from seqlens.operators.quality import (address_quality, key_uniqueness, score_quality,
+                                       sequence_load)
+from seqlens.operators.sequence import latest_per_key
+from seqlens.plans import landing, reports
 from seqlens.sources import fixture
-from seqlens.operators.sequence import DEFAULT_HEAVY_THRESHOLD
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Owners with more rows than this are numbered by the range-partitioned route
-# (read at call time, so tests can force that route on small tables).
-HEAVY_THRESHOLD: int | None = DEFAULT_HEAVY_THRESHOLD
 
+def _seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequenced_games(fixture.token_tables(spark, sf_dir))
 
-def _seq(spark: SparkSession, sf_dir: str, total: str | None = "n") -> DataFrame:
-    return sequenced_games(fixture.token_tables(spark, sf_dir), heavy_threshold=HEAVY_THRESHOLD,
-                           total=total)
+
+def _firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_games(_games(spark, sf_dir), K.COHORT_FIRST_K)
 
 
 def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixture.token_tables(spark, sf_dir)
-    return official_games(t.metadata, t.scores, t.owners)
+    return scoped_games(fixture.token_tables(spark, sf_dir))
 
 
 # --- composite reports ----------------------------------------------------------
@@ -55,14 +56,11 @@ def within_player_improvement(spark, d):
 
 
 def cohort_first_games(spark, d):
-    # ordinal only (no total): the first-k filter becomes a per-owner limit
-    # applied before the shuffle (WindowGroupLimit)
-    return reports.cohort_first_games(_seq(spark, d, total=None), fixture.members(spark, d))
+    return reports.cohort_first_games(_firsts(spark, d), fixture.members(spark, d))
 
 
 def cohort_learning_curve(spark, d):
-    return reports.cohort_learning_curve(fixture.token_tables(spark, d), fixture.members(spark, d),
-                                         heavy_threshold=HEAVY_THRESHOLD)
+    return reports.cohort_learning_curve(fixture.token_tables(spark, d), fixture.members(spark, d))
 
 
 def skill_persistence(spark, d):
@@ -87,8 +85,7 @@ def cohort_first_games_derived(spark, d):
     """The cohort report with members taken from the event-log overlap."""
     t = fixture.token_tables(spark, d)
     members = reports.derived_members(t, fixture.mint_events(spark, d))
-    seq = sequenced_games(t, heavy_threshold=HEAVY_THRESHOLD, total=None)
-    return reports.cohort_first_games(seq, members)
+    return reports.cohort_first_games(_firsts(spark, d), members)
 
 
 def veteran_overlap_counts(spark, d):
@@ -150,7 +147,7 @@ def half_medians(spark, d):
 
 
 def first_k_games(spark, d):
-    return reports.first_k_games(_seq(spark, d, total=None)).select("owner", "id", "game_no", "sc")
+    return _firsts(spark, d).select("owner", "id", "game_no", "sc")
 
 
 # --- statistics stated in prose --------------------------------------------------
@@ -160,11 +157,11 @@ def persistence_correlation(spark, d):
 
 
 def population_summary(spark, d):
-    return reports.population_summary(_seq(spark, d))
+    return reports.population_summary(_games(spark, d))
 
 
 def score_distribution(spark, d):
-    return reports.score_distribution(_seq(spark, d))
+    return reports.score_distribution(_games(spark, d))
 
 
 def retention_split(spark, d):
@@ -196,7 +193,61 @@ def key_uniqueness_q(spark, d):
 
 
 def score_quality_q(spark, d):
-    return score_quality(_games(spark, d))
+    t = fixture.token_tables(spark, d)
+    return score_quality(official_games(t.metadata, t.scores, t.owners, keep_text=True))
+
+
+# --- text in every spelling ---------------------------------------------------------
+
+def decode_spellings(spark, d):
+    """The three decodes of damaged score text (as text: 64-bit unsigned values)."""
+    s = fixture.spelt_scores(spark, d)
+    return s.select("id", "score", *[decode_hex_score("score", mode=m).cast("string").alias(m)
+                                     for m in ("reference", "strict", "full")])
+
+
+def score_quality_spellings(spark, d):
+    t = fixture.token_tables(spark, d)
+    scores = fixture.spelt_scores(spark, d).join(t.scores.select("id", "executed_at"), "id")
+    return score_quality(official_games(t.metadata, scores, t.owners, keep_text=True))
+
+
+def address_quality_q(spark, d):
+    return address_quality(fixture.spelt_owners(spark, d))
+
+
+def distinct_players_spellings(spark, d):
+    """Players by address value, whatever the spelling; text that is no address
+    is no player."""
+    t = fixture.token_tables(spark, d)
+    return scope_players(scoped_metadata(t.metadata), fixture.spelt_owners(spark, d))
+
+
+# --- every branch of the bucketed reports -------------------------------------------
+
+def skill_persistence_short(spark, d):
+    """Persistence with windows that the test players' histories fill."""
+    return reports.skill_persistence(_seq(spark, d), windows=[15, 20, 30, 50])
+
+
+def retention_split_short(spark, d):
+    return reports.retention_split(_seq(spark, d), buckets=[(36, "up to 36"), (44, "37-44")], rest="45+")
+
+
+def lifetime_tiers_short(spark, d):
+    return reports.lifetime_total_tiers(_seq(spark, d), buckets=[(33, "up to 33"), (37, "34-37"), (41, "38-41"), (45, "42-45")], rest="46+")
+
+
+def histogram_median(spark, d):
+    """Exact medians per event type by running counts over value ranges."""
+    ev = fixture.events(spark, d)
+    return grouped_median(ev, ["event_type"], "value", median="median_value", count="rows", method="histogram", range_width=4)
+
+
+def latest_event(spark, d):
+    """Each user's latest event (the event id breaks ties)."""
+    ev = fixture.events(spark, d).select("user_id", "ts", "event_id", "event_type")
+    return latest_per_key(ev, ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
 def sequence_load_q(spark, d):
@@ -236,4 +287,15 @@ QUERIES: dict[str, Query] = {
     "key_uniqueness": key_uniqueness_q,
     "score_quality": score_quality_q,
     "sequence_load": sequence_load_q,
+    "decode_spellings": decode_spellings,
+    "score_quality_spellings": score_quality_spellings,
+    "address_quality": address_quality_q,
+    "distinct_players_spellings": distinct_players_spellings,
+    "skill_persistence_short": skill_persistence_short,
+    "retention_split_short": retention_split_short,
+    "lifetime_tiers_short": lifetime_tiers_short,
+    "histogram_median": histogram_median,
+    "latest_event": latest_event,
+    "landed_experience_tiers": landing.landed_experience_tiers,
+    "landed_counts": landing.landed_counts,
 }

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlens.operators.cohorts import mint_players, mint_summary
-from seqlens.operators.games import official_games, sequenced_games
-from seqlens.operators.quality import key_uniqueness, score_quality, sequence_load
-from seqlens.operators.reuse import materialize
+from seqlens.functions import constants as K
+from seqlens.operators.cohorts import drop_members, mint_players, mint_summary
+from seqlens.operators.games import first_games, game_sequence, official_games
+from seqlens.operators.quality import (address_quality, key_uniqueness, score_quality,
+                                       sequence_load)
+from seqlens.operators.reuse import shared_table
 from seqlens.plans import reports
 from seqlens.sources.fixture import TokenTables
 from seqlens.sources.readers import (read_token_metadata, read_token_owners,
@@ -27,46 +29,52 @@ def read_landed(spark: SparkSession, metadata: str, scores: str, owners: str,
 
 
 def report_set(tables: TokenTables, members: DataFrame | None = None,
-               mint_events: DataFrame | None = None, reuse: str = "persist",
-               **scope) -> dict[str, DataFrame]:
-    """Every report as a lazy DataFrame. ``members`` (``addr``) feeds the
-    cohort reports; without it, and with ``mint_events``, the member list is
-    derived from the event log (players who also received a mint).
+               mint_events: DataFrame | None = None, share: bool = True, decode_mode: str = "reference",
+               mints: dict | None = None, **scope) -> dict[str, DataFrame]:
+    """Every report. ``members`` (``addr``) feeds the cohort reports; without
+    it, and with ``mint_events``, the member list is derived from the event log
+    (players who also received a mint).
 
-    The numbered game fact feeds about ten reports, so it is materialised
-    once (``reuse``: persist, or checkpoint to the shared checkpoint folder;
-    ``"none"`` recomputes it per report)."""
-    seq = sequenced_games(tables, **scope).select("owner", "id", "executed_at", "sc",
-                                                  "game_no", "n")
-    seq = materialize(seq, reuse)
-    firsts = seq if reuse != "none" else sequenced_games(tables, total=None, **scope)
+    The numbered game fact feeds about ten reports: with ``share`` it is written
+    once to the session's shared folder (one job, now), otherwise every report
+    computes it. ``scope``: arguments of ``games.scoped_metadata``; ``mints``: of
+    ``cohorts.mint_receivers`` (give ``block_range`` for a landing that
+    ``sinks.land_mint_events`` wrote, and its folders are pruned)."""
+    mints = mints or {}
+    games = official_games(tables.metadata, tables.scores, tables.owners, decode_mode=decode_mode, keep_text=True, **scope)
+    fact = games.drop("score")
+    seq = game_sequence(fact)
+    if share:
+        seq = shared_table(seq, "numbered-games")
+    firsts = seq if share else first_games(fact, K.COHORT_FIRST_K)
     if members is None and mint_events is not None:
-        members = reports.derived_members(tables, mint_events)
+        members = reports.derived_members(tables, mint_events, mints, **scope)
     out = {
         "experience_tiers": reports.experience_tiers(seq),
         "learning_curve": reports.learning_curve(seq),
         "within_player_improvement": reports.within_player_improvement(seq),
         "skill_persistence": reports.skill_persistence(seq),
         "persistence_correlation": reports.persistence_correlation(seq),
-        "population_summary": reports.population_summary(seq),
-        "score_distribution": reports.score_distribution(seq),
+        "population_summary": reports.population_summary(seq if share else fact),
+        "score_distribution": reports.score_distribution(seq if share else fact),
         "retention_split": reports.retention_split(seq),
         "early_vs_later_improvement": reports.early_vs_later_improvement(seq),
         "lifetime_total_tiers": reports.lifetime_total_tiers(seq),
     }
     # checks that tell whether the reports can be trusted and how skewed they are
-    games = official_games(tables.metadata, tables.scores, tables.owners, **scope)
     out["key_uniqueness"] = key_uniqueness({
         "token_metadata": (tables.metadata, ["id"]),
         "token_scores": (tables.scores, ["id"]),
         "token_owners": (tables.owners, ["token_id"]),
     })
     out["score_quality"] = score_quality(games)
+    out["address_quality"] = address_quality(tables.owners)
     out["sequence_load"] = sequence_load(games)
     if members is not None:
         out["cohort_first_games"] = reports.cohort_first_games(firsts, members)
-        out["cohort_learning_curve"] = reports.cohort_learning_curve(tables, members, **scope)
+        # membership is by owner, so non-members keep their ordinals
+        out["cohort_learning_curve"] = reports.learning_curve(drop_members(seq, "owner", members))
     if mint_events is not None:
-        out["mint_event_players"] = mint_summary(mint_players(mint_events))
-        out["veteran_overlap"] = reports.derived_members(tables, mint_events).orderBy("addr")
+        out["mint_event_players"] = mint_summary(mint_players(mint_events, **mints))
+        out["veteran_overlap"] = reports.derived_members(tables, mint_events, mints, **scope).orderBy("addr")
     return out

@@ -5,11 +5,9 @@ Input of most reports: the output of ``operators.games.sequenced_games`` —
 counted over all in-scope games (invalid scores included). Validity is
 applied here, after numbering.
 
-Plan notes. After the per-owner window the rows are hash-partitioned by
-``owner``; every per-player aggregate below groups by ``owner`` alone so it
-runs without another exchange. Medians are partial aggregates (see
-``operators.median``), so the 80 %-of-rows tier costs one partial map per
-task, not one task.
+Plan notes. After numbering the rows are dealt by owner and slice of time.
+Medians are partial aggregates (see ``operators.median``): an owner or tier with
+most of the rows costs one partial map per task, not one task.
 """
 
 from __future__ import annotations
@@ -24,7 +22,6 @@ from seqlens.operators.cohorts import (drop_members, mint_players, overlap, scop
 from seqlens.operators.games import is_valid, scoped_metadata, sequenced_games
 from seqlens.operators.median import median_of
 from seqlens.operators.ranking import quantile_tiers
-from seqlens.operators.reuse import materialize
 
 
 def _r1(c: Column) -> Column:
@@ -58,12 +55,12 @@ def learning_curve(seq: DataFrame, min_players: int = K.LEARNING_CURVE_MIN_PLAYE
 
 def cohort_learning_curve(tables, members: DataFrame,
                           min_players: int = K.LEARNING_CURVE_MIN_PLAYERS,
-                          **sequence_args) -> DataFrame:
+                          **scope) -> DataFrame:
     """The learning curve of non-members only. Membership depends only on the
     owner, so members are removed before numbering (fewer rows sorted)."""
     seq = sequenced_games(tables, total=None,
                           before_numbering=lambda g: drop_members(g, "owner", members),
-                          **sequence_args)
+                          **scope)
     return learning_curve(seq, min_players)
 
 
@@ -107,14 +104,10 @@ def within_player_improvement(seq: DataFrame, min_games: int = K.WITHIN_PLAYER_M
 
 # --- Q4 ---------------------------------------------------------------------
 
-def first_k_games(seq: DataFrame, k: int = K.COHORT_FIRST_K) -> DataFrame:
-    return seq.filter(F.col("game_no") <= k)
-
-
-def cohort_first_games(seq: DataFrame, members: DataFrame, k: int = K.COHORT_FIRST_K) -> DataFrame:
-    """Median valid score over each player's first ``k`` games, members vs the rest."""
-    firsts = first_k_games(seq, k).filter(is_valid())
-    tagged = tag_members(firsts, "owner", members)
+def cohort_first_games(firsts: DataFrame, members: DataFrame, k: int = K.COHORT_FIRST_K) -> DataFrame:
+    """Median valid score over each player's first ``k`` games, members vs the
+    rest. ``firsts``: numbered games; those after the k-th are left out."""
+    tagged = tag_members(firsts.filter((F.col("game_no") <= k) & is_valid()), "owner", members)
     return _median_report(tagged, ["cohort"], f"first{k}_games", f"median_score_first_{k}_games")
 
 
@@ -130,7 +123,7 @@ def _persistence_base(seq: DataFrame, min_games: int, last: int | None = None) -
 def _skill_tiers(e: DataFrame, early: int, k: int) -> DataFrame:
     em = e.filter(F.col("game_no") <= early) \
         .groupBy(F.col("owner").alias("player")).agg(median_of("sc").alias("e10"))
-    return quantile_tiers(em, k, ["e10"], ["player"], tier="skill_tier")
+    return quantile_tiers(em, k, "e10", "player", tier="skill_tier")
 
 
 def skill_tiers(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
@@ -144,14 +137,12 @@ def skill_tiers(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
 
 def skill_persistence(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
                       early: int = K.PERSISTENCE_EARLY_GAMES, k: int = K.PERSISTENCE_TIERS,
-                      windows=K.PERSISTENCE_WINDOWS, reuse: str = "persist") -> DataFrame:
+                      windows=K.PERSISTENCE_WINDOWS) -> DataFrame:
     """Median valid score per (early-skill tier, later window of ordinals).
 
-    The filtered, narrow game rows feed both the tiers and the later windows;
-    they are materialised once (``reuse``) so the joins and the numbering
-    window run once. Only ordinals up to the last window are kept, so the
-    cached rows are bounded by ``windows[-1]`` per player."""
-    e = materialize(_persistence_base(seq, min_games, windows[-1]), reuse)
+    The numbered games feed both the tiers and the later windows; both branches
+    share the exchanges below the numbering."""
+    e = _persistence_base(seq, min_games, windows[-1])
     tiers = _skill_tiers(e, early, k).select(F.col("player").alias("owner"), "skill_tier")
     later = e.filter((F.col("game_no") > early) & (F.col("game_no") <= windows[-1]))
     win, _ = bucketize("game_no", [(w, str(w)) for w in windows[:-1]], str(windows[-1]))
@@ -185,8 +176,9 @@ def persistence_correlation(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_G
 
 # --- prose statistics ---------------------------------------------------------
 
-def population_summary(seq: DataFrame) -> DataFrame:
-    v = seq.filter(is_valid())
+def population_summary(games: DataFrame) -> DataFrame:
+    """``games`` need no numbering here."""
+    v = games.filter(is_valid())
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return v.agg(F.count(F.lit(1)).alias("games"),
                  F.count_distinct("owner").alias("players"),
@@ -194,8 +186,8 @@ def population_summary(seq: DataFrame) -> DataFrame:
                  F.date_format(F.max("executed_at"), fmt).alias("last_game"))
 
 
-def score_distribution(seq: DataFrame) -> DataFrame:
-    v = seq.filter(is_valid())
+def score_distribution(games: DataFrame) -> DataFrame:
+    v = games.filter(is_valid())
     return v.agg(F.round(F.percentile("sc", 0.5), 4).alias("median_score"),
                  F.round(F.percentile("sc", 0.99), 4).alias("p99_score"),
                  F.max("sc").alias("max_score"),
@@ -210,7 +202,7 @@ def retention_split(seq: DataFrame, k: int = K.COHORT_FIRST_K, buckets=RETENTION
                     rest: str = RETENTION_REST) -> DataFrame:
     """Median of the first ``k`` games by the player's eventual total."""
     order, label = bucketize("n", buckets, rest)
-    f = first_k_games(seq, k).filter(is_valid()).select(order.alias("_ord"),
+    f = seq.filter((F.col("game_no") <= k) & is_valid()).select(order.alias("_ord"),
                                                        label.alias("retention"), "sc")
     return _median_report(f, ["_ord", "retention"], f"first{k}_games").orderBy("_ord").drop("_ord")
 
@@ -240,9 +232,10 @@ def lifetime_total_tiers(seq: DataFrame, buckets=LIFETIME_BUCKETS, rest: str = L
 
 # --- member list derived from the event log -------------------------------------
 
-def derived_members(tables, mint_events: DataFrame, **mint_args) -> DataFrame:
+def derived_members(tables, mint_events: DataFrame, mints: dict | None = None, **scope) -> DataFrame:
     """``addr``: in-scope players who also received a mint of the earlier
     contract (matched on the normalised address), in the players' own
-    spelling. This is the list the cohort reports take as members."""
-    players = scope_players(scoped_metadata(tables.metadata), tables.owners)
-    return overlap(players, mint_players(mint_events, **mint_args)).select(F.col("owner").alias("addr"))
+    spelling. This is the list the cohort reports take as members. ``mints``:
+    arguments of ``cohorts.mint_receivers``; ``scope``: of ``games.scoped_metadata``."""
+    players = scope_players(scoped_metadata(tables.metadata, **scope), tables.owners)
+    return overlap(players, mint_players(mint_events, **(mints or {}))).select(F.col("owner").alias("addr"))

@@ -1,39 +1,36 @@
 """Session helpers.
 
-Production sessions come configured by the cluster; these helpers only fill
-in what is missing (tests, local runs) and never override a cluster setting.
+A session that runs already, or that ``spark-submit`` starts, is used as it is
+configured. Only a session that a plain Python program builds (tests, local
+runs) gets the settings below.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings the library relies on. Only applied by ``get_session`` when building
-# a new local session; a cluster session keeps its own values.
-DEFAULT_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
+LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
 
 
-def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
+def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
                 app_name: str = "seqlens", extra: dict | None = None) -> SparkSession:
-    """Build (or get) a session for local runs and tests."""
-    builder = SparkSession.builder.master(master).appName(app_name)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
-        builder = builder.config(k, v)
+    """The running session, unchanged; or a new one. Under ``spark-submit`` its
+    settings hold; otherwise the arguments make a local session."""
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
+    builder = SparkSession.builder.appName(app_name)
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:  # not started by spark-submit
+        conf = {**LOCAL_CONF, "spark.sql.shuffle.partitions": str(shuffle_partitions), **(extra or {})}
+        builder = builder.master(master).config(map=conf)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.sparkContext.master.startswith("local"):
-        ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -58,7 +55,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="seqlens-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -59,6 +59,10 @@ def read_members(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     return _read(spark, path, schemas.MEMBERS, fmt)
 
 
-def read_result_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A saved report: a JSON array of flat objects, or JSON lines."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_result_rows(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
+    """A saved report. ``fmt``: ``"json"`` for JSON lines (one object per line,
+    as ``sinks.write_report`` writes), or ``"json_array"`` for one JSON array of
+    flat objects per file (the form the original publishes)."""
+    if fmt == "json_array":
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    return _read(spark, path, schema, fmt)

@@ -3,19 +3,19 @@
 from pyspark.sql import types as T
 
 TOKEN_METADATA = T.StructType([
-    T.StructField("id", T.LongType(), False),
+    T.StructField("id", T.StringType(), False),
     T.StructField("settings_id", T.IntegerType(), True),
     T.StructField("minted_by", T.StringType(), True),
 ])
 
 TOKEN_SCORES = T.StructType([
-    T.StructField("id", T.LongType(), False),
+    T.StructField("id", T.StringType(), False),
     T.StructField("score", T.StringType(), True),
     T.StructField("executed_at", T.TimestampNTZType(), True),
 ])
 
 TOKEN_OWNERS = T.StructType([
-    T.StructField("token_id", T.LongType(), False),
+    T.StructField("token_id", T.StringType(), False),
     T.StructField("owner", T.StringType(), True),
 ])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlens.functions.scalars import normalise_address
+
 
 def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
     """Write a report with its columns in alphabetical order (one object per row).
@@ -24,12 +26,25 @@ def write_sorted_list(df: DataFrame, column: str, path: str, fmt: str = "json",
     df.select(column).orderBy(column).write.mode(mode).format(fmt).save(path)
 
 
+def write_list_array(df: DataFrame, column: str, path: str, max_items: int = 100_000,
+                     mode: str = "overwrite") -> None:
+    """Write one column as one sorted JSON array of strings in one file, the form
+    in which member lists are published. One file is one task, so a longer list
+    than ``max_items`` is refused: ``write_sorted_list`` takes lists of any size."""
+    rows = df.select(F.col(column).cast("string").alias("item")).filter(F.col("item").isNotNull())
+    if rows.limit(max_items + 1).count() > max_items:
+        raise ValueError(f"more than {max_items} items: use write_sorted_list")
+    rows.agg(F.to_json(F.array_sort(F.collect_list("item"))).alias("value")) \
+        .coalesce(1).write.mode(mode).text(path)
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str,
                    mode: str = "overwrite") -> None:
     """Land a token table bucketed and sorted by its join key, as an external
     table at ``path``. Token tables landed with the same key and bucket count
-    join on the token id with no exchange at all."""
-    df.write.bucketBy(buckets, key).sortBy(key).mode(mode).format("parquet") \
+    join on the token id with no exchange at all. The rows are dealt by bucket
+    first, so each bucket is one file."""
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode(mode).format("parquet") \
         .option("path", path).saveAsTable(table)
 
 
@@ -41,7 +56,10 @@ BLOCK_RANGE = 100_000
 def land_mint_events(events: DataFrame, path: str, block_range: int = BLOCK_RANGE,
                      mode: str = "overwrite") -> None:
     """Land contract events partitioned by ``block_range = block_number div
-    block_range``; ``cohorts.mint_receivers`` turns its block window into a
-    partition filter on that column."""
-    out = events.withColumn("block_range", F.floor(F.col("block_number") / block_range).cast("bigint"))
+    block_range``, with contract, selector and sender in canonical text;
+    ``cohorts.mint_receivers`` turns its block window into a partition filter,
+    and compares these fields as text."""
+    keys = F.transform("keys", lambda k, i: F.when(i < 2, normalise_address(k)).otherwise(k))
+    out = events.withColumns({"block_range": F.floor(F.col("block_number") / block_range).cast("bigint"),
+                              "address": normalise_address("address"), "keys": keys})
     out.write.mode(mode).partitionBy("block_range").parquet(path)

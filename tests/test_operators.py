@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF01
+from plain import window_median, window_ntile, window_sequence
 from seqlens.functions.constants import (MINT_FROM_BLOCK, MINT_TO_BLOCK, OFFICIAL_MINTER,
                                          OFFICIAL_MINTER_ADDRESS, OG_CONTRACT, TRANSFER_SELECTOR)
 from seqlens.operators import (drop_members, global_positions, grouped_median, key_uniqueness,
@@ -13,8 +14,7 @@ from seqlens.operators import (drop_members, global_positions, grouped_median, k
                                overlap_counts, quantile_tiers, scoped_metadata, sequence,
                                tag_members)
 from seqlens.operators.games import game_sequence
-from seqlens.operators.median import window_median
-from seqlens.operators.ranking import ntile_window
+from seqlens.operators.sequence import first_k, latest_per_key
 from seqlens.sources import fixture
 
 
@@ -30,34 +30,37 @@ def games(spark):
     return official_games(t.metadata, t.scores, t.owners)
 
 
-@pytest.mark.parametrize("threshold", [0, 40, 60])
-def test_heavy_path_equals_plain_window(spark, games, threshold):
+def test_sequence_equals_plain_window(spark, games):
     cols = ["owner", "id", "game_no", "n"]
-    plain = _rows(game_sequence(games, heavy_threshold=None), cols)
-    split = _rows(game_sequence(games, heavy_threshold=threshold, num_partitions=5), cols)
-    assert split == plain
+    plain = _rows(window_sequence(games, "owner", ["executed_at"], ["id"], ordinal="game_no"), cols)
+    assert _rows(game_sequence(games), cols) == plain
 
 
-def test_heavy_path_with_given_keys(spark, games):
-    keys = games.select("owner").distinct().orderBy("owner").limit(7)
-    cols = ["owner", "id", "game_no", "n"]
-    plain = _rows(game_sequence(games, heavy_threshold=None), cols)
-    split = _rows(game_sequence(games, heavy_threshold=1, heavy_keys=keys), cols)
-    assert split == plain
+def test_first_k_equals_plain_window(spark, games):
+    cols = ["owner", "id", "game_no"]
+    plain = window_sequence(games, "owner", ["executed_at"], ["id"], ordinal="game_no").filter("game_no <= 3")
+    assert _rows(first_k(games, "owner", ["executed_at"], ["id"], 3, ordinal="game_no"), cols) == _rows(plain, cols)
 
 
 def test_sequence_nulls_and_ties(spark):
     t0 = dt.datetime(2025, 1, 1)
-    rows = [("a", 1, t0), ("a", 2, None), ("a", 3, t0), ("a", 4, t0 + dt.timedelta(1)),
-            (None, 5, t0), (None, 6, None), ("b", 7, t0)]
+    rows = [("a", 1, t0), ("a", 2, None), ("a", 3, t0), ("a", 4, t0 + dt.timedelta(30)),
+            (None, 5, t0), (None, 6, None), ("b", 7, t0), ("", 8, t0)]
     df = spark.createDataFrame(rows, "owner string, id long, ts timestamp_ntz")
-    expect = {2: 1, 1: 2, 3: 3, 4: 4, 6: 1, 5: 2, 7: 1}   # NULL time first, id breaks ties
-    for thr in (None, 0, 2):
-        out = sequence(df, "owner", ["ts"], ["id"], heavy_threshold=thr, num_partitions=3)
-        got = {r.id: r.ordinal for r in out.collect()}
-        totals = {r.id: r.n for r in out.collect()}
-        assert got == expect
-        assert totals == {1: 4, 2: 4, 3: 4, 4: 4, 5: 2, 6: 2, 7: 1}
+    out = sequence(df, "owner", ["ts"], ["id"]).collect()
+    # NULL time first, id breaks ties; a NULL owner is not the empty one
+    assert {r.id: r.ordinal for r in out} == {2: 1, 1: 2, 3: 3, 4: 4, 6: 1, 5: 2, 7: 1, 8: 1}
+    assert {r.id: r.n for r in out} == {1: 4, 2: 4, 3: 4, 4: 4, 5: 2, 6: 2, 7: 1, 8: 1}
+
+
+def test_latest_per_key(spark):
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [("t1", "old", t0), ("t1", "new", t0 + dt.timedelta(1)), ("t2", "a", None), ("t2", "b", t0),
+            ("t3", "x", t0), ("t3", "y", t0)]
+    df = spark.createDataFrame(rows, "token_id string, owner string, since timestamp_ntz")
+    out = latest_per_key(df, ["token_id"], ["since", "owner"])
+    assert out.columns == df.columns
+    assert _rows(out, ["token_id", "owner"]) == [("t1", "new"), ("t2", "b"), ("t3", "y")]
 
 
 def test_corrupt_first_game_keeps_ordinals(spark):
@@ -76,17 +79,16 @@ def test_quantile_tiers_equal_ntile(spark, n, parts):
     # heavy ties: a third of the rows share one value
     rows = [(f"p{i:04d}", 7.5 if i % 3 == 0 else float(rnd.randrange(20))) for i in range(n)]
     df = spark.createDataFrame(rows, "player string, e10 double")
-    a = _rows(quantile_tiers(df, 4, ["e10"], ["player"], num_partitions=parts),
-              ["player", "tier"])
-    b = _rows(ntile_window(df, 4, ["e10"], ["player"]), ["player", "tier"])
+    a = _rows(quantile_tiers(df.repartition(parts), 4, "e10", "player"), ["player", "tier"])
+    b = _rows(window_ntile(df, 4, ["e10", "player"]), ["player", "tier"])
     assert a == b
 
 
 def test_global_positions_exact(spark):
     rnd = random.Random(3)
-    rows = [(rnd.randrange(5), i) for i in range(500)]
+    rows = [(rnd.choice([None, 0, 1, 2, 3]), i) for i in range(500)]
     df = spark.createDataFrame(rows, "k long, i long")
-    out = global_positions(df, ["k", "i"], total="tot", num_partitions=7)
+    out = global_positions(df, "k", "i", total="tot", slice_of=F.floor(F.col("i") / 100))
     ref = df.withColumn("p", F.row_number().over(Window.orderBy("k", "i")) - 1)
     got = {(r.k, r.i): (r._pos, r.tot) for r in out.collect()}
     assert all(got[(r.k, r.i)] == (r.p, 500) for r in ref.collect())
@@ -175,28 +177,46 @@ def test_overlap(spark):
     assert (c.players, c.veterans, c.genuinely_new) == (2, 1, 1)
 
 
-def test_heavy_path_with_checkpoint(spark, games):
-    cols = ["owner", "id", "game_no", "n"]
-    plain = _rows(game_sequence(games, heavy_threshold=None), cols)
-    split = _rows(sequence(games, "owner", ["executed_at"], ["id"], ordinal="game_no",
-                           heavy_threshold=50, reuse="checkpoint"), cols)
-    assert split == plain
-
-
-def test_hot_owner_is_spread_over_ranges(spark):
-    """The heavy route's range partitioning on (owner, time, id) splits an
-    owner holding a third of all rows over several tasks."""
+def test_hot_owner_is_spread_over_tasks(spark):
+    """An owner with a third of all rows is dealt to several tasks by slices of
+    time, and numbered right."""
     t0 = dt.datetime(2025, 1, 1)
-    rows = [("hot", i, t0 + dt.timedelta(seconds=i)) for i in range(3000)]
-    rows += [(f"o{i % 300:03d}", 10_000 + i, t0 + dt.timedelta(seconds=i)) for i in range(6000)]
+    rows = [("hot", i, t0 + dt.timedelta(hours=i)) for i in range(3000)]
+    rows += [(f"o{i % 300:03d}", 10_000 + i, t0 + dt.timedelta(hours=i)) for i in range(6000)]
     df = spark.createDataFrame(rows, "owner string, id long, ts timestamp_ntz")
-    ranged = df.repartitionByRange(8, "owner", "ts", "id") \
-        .withColumn("pid", F.spark_partition_id())
-    sizes = dict((r.pid, r["count"]) for r in ranged.groupBy("pid").count().collect())
-    hot_parts = ranged.filter(F.col("owner") == "hot").select("pid").distinct().count()
-    assert hot_parts >= 2
-    assert max(sizes.values()) <= 2 * (9000 / 8)
-    out = sequence(df, "owner", ["ts"], ["id"], heavy_threshold=100, num_partitions=8)
-    hot = out.filter(F.col("owner") == "hot").agg(F.min("ordinal"), F.max("ordinal"),
-                                                 F.max("n")).first()
+    plan = sequence(df, "owner", ["ts"], ["id"])
+    hot = plan.filter(F.col("owner") == "hot").agg(F.min("ordinal"), F.max("ordinal"), F.max("n")).first()
     assert tuple(hot) == (1, 3000, 3000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = sequence(df, "owner", ["ts"], ["id"]).withColumn("task", F.spark_partition_id())
+        per = {r.task: r["count"] for r in tasks.groupBy("task").count().collect()}
+        assert tasks.filter("owner = 'hot'").select("task").distinct().count() >= 4
+        assert max(per.values()) <= 2 * 9000 / len(per)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_address_quality(spark):
+    from seqlens.operators import address_quality
+    df = spark.createDataFrame([("0x" + "1".rjust(64, "0"),), ("0x1",), ("",), ("0x",), ("xyz",), (None,)], "owner string")
+    assert dict(_rows(address_quality(df), ["address_class", "rows"])) == \
+        {"canonical": 1, "other_spelling": 1, "malformed": 3, "null": 1}
+
+
+def test_mints_match_by_value(spark):
+    """Spellings of contract, selector and sender that mean one number."""
+    rows = []
+    for n, (c, s, z) in enumerate([(OG_CONTRACT, TRANSFER_SELECTOR, "0x0"),
+                                   ("0x" + OG_CONTRACT[3:], "0x00" + TRANSFER_SELECTOR[2:], "0x00"),
+                                   (OG_CONTRACT.upper(), TRANSFER_SELECTOR.upper(), "0x" + "0" * 64),
+                                   (OG_CONTRACT[2:], TRANSFER_SELECTOR, "0")]):
+        rows.append((c, MINT_FROM_BLOCK, [s, z, f"0x{n + 1}"]))
+    df = spark.createDataFrame(rows, "address string, block_number long, keys array<string>")
+    assert tuple(mint_summary(mint_players(df)).first()) == (4, 4)
+
+
+def test_histogram_median_has_no_percentile(spark):
+    df = spark.range(100).selectExpr("id % 3 AS g", "cast(id * 1000 AS double) AS v")
+    plan = grouped_median(df, ["g"], "v", method="histogram")._jdf.queryExecution().toString()
+    assert "percentile" not in plan

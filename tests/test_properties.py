@@ -6,7 +6,8 @@ import datetime as dt
 from hypothesis import given, settings, strategies as st
 
 from seqlens.operators import grouped_median, quantile_tiers, sequence
-from seqlens.operators.ranking import ntile_window
+from seqlens.operators.sequence import time_slice
+from plain import window_ntile, window_sequence
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -21,16 +22,16 @@ def _rows(df, cols):
 
 
 @settings(max_examples=8, deadline=None)
-@given(players, st.integers(0, 6), st.integers(1, 6))
-def test_sequence_routes_agree(spark, rows, threshold, parts):
+@given(players, st.integers(1, 6))
+def test_sequence_equals_window(spark, rows, parts):
     # minute 0 stands for a missing time (NULLs sort first)
     data = [(o, i, None if m == 0 else T0 + dt.timedelta(minutes=m), sc)
             for i, (o, m, sc) in enumerate(rows)]
     df = spark.createDataFrame(data, "owner string, id long, ts timestamp_ntz, sc long")
     cols = ["owner", "id", "ordinal", "n"]
-    plain = _rows(sequence(df, "owner", ["ts"], ["id"], heavy_threshold=None), cols)
-    split = _rows(sequence(df.repartition(parts), "owner", ["ts"], ["id"],
-                           heavy_threshold=threshold, num_partitions=parts), cols)
+    plain = _rows(window_sequence(df, "owner", ["ts"], ["id"]), cols)
+    # slices of a minute: many slices for each owner
+    split = _rows(sequence(df.repartition(parts), "owner", ["ts"], ["id"], slice_of=time_slice("ts", 60)), cols)
     assert plain == split
 
 
@@ -40,9 +41,9 @@ def test_sequence_routes_agree(spark, rows, threshold, parts):
 def test_tiers_equal_ntile(spark, values, k, parts):
     df = spark.createDataFrame([(f"p{i:03d}", float(v) / 2) for i, v in enumerate(values)],
                                "player string, e10 double")
-    a = _rows(quantile_tiers(df.repartition(parts), k, ["e10"], ["player"], num_partitions=parts),
+    a = _rows(quantile_tiers(df.repartition(parts), k, "e10", "player"),
               ["player", "tier"])
-    b = _rows(ntile_window(df, k, ["e10"], ["player"]), ["player", "tier"])
+    b = _rows(window_ntile(df, k, ["e10", "player"]), ["player", "tier"])
     assert a == b
 
 

@@ -3,6 +3,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import types as T
 
 from conftest import SF001
@@ -30,9 +32,9 @@ def test_members_json_array_and_lines(spark):
 
 def test_report_roundtrip_with_sorted_keys(spark):
     d = _tmp()
-    df = spark.createDataFrame([("1st game", 2640, 58.0), ("2nd-5th game", 9485, 57.0)],
-                               "experience string, games long, median_score double")
-    sinks.write_report(df, os.path.join(d, "r"))
+    df = spark.createDataFrame([("first", 11, 5.5), ("second", 22, 6.5), ("third", 33, 7.5)],
+                               "experience string, games long, median_score double").coalesce(1)
+    sinks.write_report(df, os.path.join(d, "r"))       # three objects in one file
     lines = [json.loads(l) for p in sorted(glob.glob(os.path.join(d, "r", "part-*")))
              for l in open(p)]
     assert all(list(o) == sorted(o) for o in lines)
@@ -45,15 +47,15 @@ def test_report_roundtrip_with_sorted_keys(spark):
 
 def test_read_result_rows_json_array(spark):
     d = _tmp()
-    rows = [{"cohort": "genuinely_new", "first3_games": 7262, "median_score_first_3_games": 55.0},
-            {"cohort": "og_veteran", "first3_games": 258, "median_score_first_3_games": 101.0}]
+    rows = [{"cohort": "a", "first3_games": 12, "median_score_first_3_games": 1.5},
+            {"cohort": "b", "first3_games": 34, "median_score_first_3_games": 2.5}]
     with open(os.path.join(d, "a.json"), "w") as f:
         json.dump(rows, f)
     schema = T.StructType([T.StructField("cohort", T.StringType()),
                            T.StructField("first3_games", T.LongType()),
                            T.StructField("median_score_first_3_games", T.DoubleType())])
-    back = readers.read_result_rows(spark, os.path.join(d, "a.json"), schema)
-    assert sorted(r.first3_games for r in back.collect()) == [258, 7262]
+    back = readers.read_result_rows(spark, os.path.join(d, "a.json"), schema, fmt="json_array")
+    assert sorted(r.first3_games for r in back.collect()) == [12, 34]
 
 
 def test_sorted_list_sink(spark):
@@ -66,6 +68,32 @@ def test_sorted_list_sink(spark):
     assert got == sorted(vals)
 
 
+def test_list_array_sink(spark):
+    d = _tmp()
+    df = spark.createDataFrame([("0x3",), ("0x1",), (None,), ("0x2",)], "addr string")
+    sinks.write_list_array(df, "addr", os.path.join(d, "a"))
+    files = glob.glob(os.path.join(d, "a", "part-*"))
+    assert len(files) == 1 and json.load(open(files[0])) == ["0x1", "0x2", "0x3"]
+    with pytest.raises(ValueError):
+        sinks.write_list_array(df, "addr", os.path.join(d, "b"), max_items=2)
+
+
+def test_text_ids_survive(spark):
+    d = _tmp()
+    with open(os.path.join(d, "m.json"), "w") as f:
+        f.write('{"id": "0xff", "settings_id": 1, "minted_by": "0x6"}\n')
+    assert [r.id for r in readers.read_token_metadata(spark, os.path.join(d, "m.json"), "json").collect()] == ["0xff"]
+
+
+def test_get_session_leaves_a_running_session_alone(spark):
+    from seqlens.session import get_session
+    spark.conf.set("spark.sql.shuffle.partitions", "77")
+    try:
+        assert get_session() is spark and spark.conf.get("spark.sql.shuffle.partitions") == "77"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_token_table_readers(spark):
     d = _tmp()
     t = fixture.token_tables(spark, SF001)
@@ -121,12 +149,28 @@ def test_reports_on_landed_tables_equal_the_registered_queries(spark):
             sorted(map(tuple, want.select(cols).collect())), name
 
 
-def test_report_set_reuse_modes_agree(spark):
+def test_report_set_scope_reaches_the_derived_members(spark):
+    """With another minter, players and members are that minter's."""
+    from seqlens.functions.constants import OG_CONTRACT, TRANSFER_SELECTOR
+    from seqlens.plans.landed import report_set
+    other = "0x0000000000000009"
+    meta = spark.createDataFrame([("1", 1, "0x0000000000000006"), ("2", 1, other), ("3", 1, other)],
+                                 schemas.TOKEN_METADATA)
+    scores = spark.createDataFrame([(i, "0x0000000000000064", None) for i in "123"], schemas.TOKEN_SCORES)
+    owners = spark.createDataFrame([("1", "0xaa"), ("2", "0xbb"), ("3", "0xcc")], schemas.TOKEN_OWNERS)
+    mints = spark.createDataFrame([(OG_CONTRACT, MINT_FROM_BLOCK, [TRANSFER_SELECTOR, "0x0", a]) for a in ("0xaa", "0xbb")],
+                                  schemas.MINT_EVENTS)
+    out = report_set(fixture.TokenTables(meta, scores, owners), mint_events=mints, minter=other)
+    assert [r.addr for r in out["veteran_overlap"].collect()] == ["0xbb"]
+    assert {r.cohort: r.first3_games for r in out["cohort_first_games"].collect()} == {"og_veteran": 1, "genuinely_new": 1}
+
+
+def test_report_set_shared_and_not_agree(spark):
     from seqlens.plans.landed import report_set
     t = fixture.token_tables(spark, SF001)
     members = fixture.members(spark, SF001)
-    a = report_set(t, members, reuse="persist")
-    b = report_set(t, members, reuse="none")
+    a = report_set(t, members)
+    b = report_set(t, members, share=False)
     for name in ("experience_tiers", "cohort_first_games", "skill_persistence"):
         cols = sorted(a[name].columns)
         assert sorted(map(tuple, a[name].select(cols).collect())) == \
@@ -137,5 +181,5 @@ def test_report_set_key_check(spark):
     from seqlens.plans.landed import report_set
     t = fixture.token_tables(spark, SF001)
     rows = {r.table_name: (r.rows, r.duplicate_keys)
-            for r in report_set(t, reuse="none")["key_uniqueness"].collect()}
+            for r in report_set(t, share=False)["key_uniqueness"].collect()}
     assert rows == {"token_metadata": (1000, 0), "token_scores": (1000, 0), "token_owners": (1000, 0)}
