@@ -1,0 +1,37 @@
+import os
+import sys
+
+import pytest
+
+HERE = os.path.dirname(os.path.abspath(__file__))
+ROOT = os.path.dirname(os.path.dirname(HERE))
+for p in (HERE, ROOT):
+    if p not in sys.path:
+        sys.path.insert(0, p)
+
+
+@pytest.fixture(autouse=True)
+def workers(spark):
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+
+from edge_cases import SCHEMA, edge_rows  # noqa: E402
+
+
+@pytest.fixture()
+def edges(spark):
+    return spark.createDataFrame(edge_rows(), SCHEMA)
+
+
+@pytest.fixture()
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def small(tmp_path_factory):
+    """Documents of the smallest test folder as (doc_id, text), and its items."""
+    import duckdb
+    d = "/root/testdata/sf0.001"
+    return (duckdb.sql(f"SELECT doc_id, text FROM '{d}/documents.parquet'").fetchall(),
+            duckdb.sql(f"SELECT item_id, text FROM '{d}/benchmark.parquet'").fetchall())
