@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from seqlens.plans.landed import read_landed, report_set  # noqa: E402
 from seqlens.session import get_session  # noqa: E402
 from seqlens.sources.readers import read_members, read_mint_events  # noqa: E402
-from seqlens.sources.sinks import write_report  # noqa: E402
+from seqlens.sources.sinks import BLOCK_RANGE, write_report  # noqa: E402
 
 
 def main() -> None:
@@ -32,7 +32,8 @@ def main() -> None:
     tables = read_landed(spark, a.metadata, a.scores, a.owners)
     members = read_members(spark, a.members) if a.members else None
     mints = read_mint_events(spark, a.mint_events) if a.mint_events else None
-    for name, df in report_set(tables, members, mints).items():
+    # folders landed by sinks.land_mint_events are pruned by their block range
+    for name, df in report_set(tables, members, mints, mints={"block_range": BLOCK_RANGE}).items():
         write_report(df, os.path.join(a.out, name))
         print(name)
     spark.stop()
