@@ -76,7 +76,7 @@ class Matcher:
         self.empty = not found
 
     def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Merged runs [first, end) of hit words, and the items that occur."""
+        """Runs [first, end) of hit words (overlapping windows made one), and the items that occur."""
         if self.empty or not w:
             return [], set()
         get = self.number.get
@@ -85,7 +85,7 @@ class Matcher:
         for last, (n, owners) in self.automaton.iter(tuple([get(x, 0) for x in w])):
             items |= owners
             first = last + 1 - n
-            while runs and runs[-1][1] >= first:  # a longer window may start before earlier runs
+            while runs and runs[-1][1] > first:  # a longer window may start before earlier runs
                 first = min(first, runs.pop()[0])
             runs.append((first, last + 1))
         return runs, items

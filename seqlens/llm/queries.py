@@ -9,6 +9,7 @@ from seqlens.llm.decontaminate import op2_benchmark_decontamination
 from seqlens.llm.language_id import op9_language_id
 from seqlens.llm.licence_scan import op7_licence_scan
 from seqlens.llm.mixing import op4_source_mixing
+from seqlens.llm.oracle import ORACLE as SQL
 from seqlens.llm.quality_classifier import op10_quality_classifier
 from seqlens.llm.quality_rules import op3_quality_rules
 from seqlens.llm.repeated_substrings import op8_repeated_substrings
@@ -29,6 +30,6 @@ QUERIES = {f.__name__: f for f in (
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(SQL)
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -89,49 +89,49 @@ def parts(documents: DataFrame, text: str, key: Column) -> DataFrame:
     """One narrow row per document: key, base spans, weak spans. Weak kinds are
     looked for only where a complement can exist."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = documents.select("*", key.alias("_key"), F.concat(*[spans_of(t, k) for k in BASE]).alias("_base"))
-    has = {r: F.arrays_overlap(F.transform("_base", lambda s: s["kind"]), F.array(*[F.lit(i) for i, k in enumerate(BASE) if ROLE[k] == r]))
+    out = documents.select("*", key.alias("__key"), F.concat(*[spans_of(t, k) for k in BASE]).alias("__base"))
+    has = {r: F.arrays_overlap(F.transform("__base", lambda s: s["kind"]), F.array(*[F.lit(i) for i, k in enumerate(BASE) if ROLE[k] == r]))
            for r in ("secret", "identifier")}
     user, key40, url = (t.rlike(PATTERNS[k][0]) for k in WEAK)
     linked = ((has["secret"] | key40) & (has["identifier"] | user)) | (key40 & url)
-    return out.withColumn("_weak", F.when(linked, F.concat(*[spans_of(t, k) for k in WEAK])).otherwise(F.array().cast(SPANS)))
+    return out.withColumn("__weak", F.when(linked, F.concat(*[spans_of(t, k) for k in WEAK])).otherwise(F.array().cast(SPANS)))
 
 
 def linked_spans(found: DataFrame) -> DataFrame:
     """(_key, _linked): the weak spans that have their complement in scope."""
     role = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLE[k])]), F.col("s.kind"))
-    some = found.where(F.size("_weak") > 0).select("_key", "_base", "_weak").dropDuplicates(["_key"])
-    every = some.select("_key", F.explode(F.concat("_base", "_weak")).alias("s")) \
-        .select("_key", "s", role.alias("role"), F.floor(F.col("s.start") / SCOPE).alias("bin"))
-    bins = every.groupBy("_key", "bin", "role").agg(F.min("s.start").alias("least"), F.max("s.start").alias("most"))
+    some = found.where(F.size("__weak") > 0).select("__key", "__base", "__weak").dropDuplicates(["__key"])
+    every = some.select("__key", F.explode(F.concat("__base", "__weak")).alias("s")) \
+        .select("__key", "s", role.alias("role"), F.floor(F.col("s.start") / SCOPE).alias("bin"))
+    bins = every.groupBy("__key", "bin", "role").agg(F.min("s.start").alias("least"), F.max("s.start").alias("most"))
     weak = every.where(F.col("s.kind") >= len(BASE)).withColumn("bin", F.explode(F.array([F.col("bin") + d for d in (-1, 0, 1)])))
-    near = weak.join(bins.withColumnRenamed("role", "other"), ["_key", "bin"]).where(
+    near = weak.join(bins.withColumnRenamed("role", "other"), ["__key", "bin"]).where(
         (F.abs(F.col("least") - F.col("s.start")) <= SCOPE) | (F.abs(F.col("most") - F.col("s.start")) <= SCOPE))
-    seen = near.groupBy("_key", "s", "role").agg(*[F.max(F.when(F.col("other") == r, 1).otherwise(0)).alias(r)
+    seen = near.groupBy("__key", "s", "role").agg(*[F.max(F.when(F.col("other") == r, 1).otherwise(0)).alias(r)
                                                    for r in ("secret", "identifier", "endpoint")])
     ok = (F.when(F.col("role") == "identifier", F.col("secret") == 1)
           .when(F.col("role") == "secret", (F.col("identifier") == 1) | (F.col("endpoint") == 1))
           .otherwise((F.col("identifier") == 1) & (F.col("secret") == 1)))
-    return seen.where(ok).groupBy("_key").agg(F.collect_set("s").alias("_linked"))
+    return seen.where(ok).groupBy("__key").agg(F.collect_set("s").alias("__linked"))
 
 
 def secret_spans(documents: DataFrame, text: str = "text", id_col: str = "doc_id", into: str = "secrets") -> DataFrame:
     """``documents`` without the text, with ``into``: array of (start, kind
     number, end) by start and kind, base spans and linked weak spans."""
     found = scratch_table(parts(documents, text, row_key(id_col, text)).drop(text), "parts")
-    return found.join(linked_spans(found), "_key", "left").select(
+    return found.join(linked_spans(found), "__key", "left").select(
         *[c for c in documents.columns if c != text],
-        F.array_sort(F.concat("_base", F.coalesce("_linked", F.array().cast(SPANS)))).alias(into))
+        F.array_sort(F.concat("__base", F.coalesce("__linked", F.array().cast(SPANS)))).alias(into))
 
 
 def redacted(documents: DataFrame, text: str = "text", id_col: str = "doc_id", mark: str = "<secret>") -> DataFrame:
     """``documents`` with every reported span replaced by ``mark``; texts without
     spans are unchanged."""
     key = row_key(id_col, text)
-    found = scratch_table(parts(documents.select(id_col, text), text, key).where((F.size("_base") > 0) | (F.size("_weak") > 0))
-                          .select("_key", "_base", "_weak").dropDuplicates(["_key"]), "parts")
-    cut = found.join(linked_spans(found), "_key", "left").select("_key", F.array_sort(
-        F.concat("_base", F.coalesce("_linked", F.array().cast(SPANS)))).alias("_cut")).where(F.size("_cut") > 0)
+    found = scratch_table(parts(documents.select(id_col, text), text, key).where((F.size("__base") > 0) | (F.size("__weak") > 0))
+                          .select("__key", "__base", "__weak").dropDuplicates(["__key"]), "parts")
+    cut = found.join(linked_spans(found), "__key", "left").select("__key", F.array_sort(
+        F.concat("__base", F.coalesce("__linked", F.array().cast(SPANS)))).alias("__cut")).where(F.size("__cut") > 0)
     cut = scratch_table(cut, "cut")
     kind = "struct<at:int,text:string>"
 
@@ -142,8 +142,8 @@ def redacted(documents: DataFrame, text: str = "text", id_col: str = "doc_id", m
             .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["text"].alias("text"))))
         return let(kept, lambda k: F.concat(k["text"], F.substring(t, k["at"] + 1, F.length(t))))
 
-    out = documents.withColumn("_key", key).join(cut, "_key", "left")
-    return out.withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(rebuild(F.col(text), F.col("_cut")))) \
+    out = documents.withColumn("__key", key).join(cut, "__key", "left")
+    return out.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(rebuild(F.col(text), F.col("__cut")))) \
         .select(*documents.columns)
 
 
