@@ -9,14 +9,16 @@ repeated are found first, so that few of them are sorted:
    occurs once are unique. Neighbouring windows share a gram, which leaves about
    one gram for 80 bytes to be counted; a gram's windows are one context.
 2. Grams that occur twice go into fixed-size bit filters, and a second scan
-   makes suffixes of their windows: one for the whole context where all
-   occurrences have one and the same context, else one for each window. Equal
-   suffixes within a batch are settled there, and one of them goes on.
+   makes suffixes of their windows. Where all occurrences of a gram have one and
+   the same context, the context is one suffix, sent as a hash. Else the context
+   itself is sent, to meet the gram's other contexts; but the windows of a gram
+   that occurs more than ``HOT`` times are suffixes of their own. Equal suffixes
+   within a batch are settled there, and one of them goes on.
 3. Suffixes are range-partitioned with sampled splitters on their leading bytes,
-   then a hash of the rest; each bucket is sorted by multikey quicksort, and
-   equal neighbours are repeated. Splitters are whole keys, so a run of equal
-   suffixes ends with its bucket: across a boundary keys are compared by the
-   splitters themselves.
+   then a hash; each bucket is sorted by multikey quicksort, and equal neighbours
+   are repeated (contexts are cut into their windows first). Splitters are whole
+   keys, so a run of equal suffixes ends with its bucket: across a boundary keys
+   are compared by the splitters themselves.
 4. The covered ranges of a text are gathered by the text's 128-bit hash, and cut
    out of each copy.
 
@@ -42,9 +44,13 @@ from seqlens.llm.common import (BASE, BYTE_HASH, U64, bit_filter, bit_filter_has
 
 LENGTH, GRAM = 200, 40
 CHUNK = 1 << 20
-BUCKET_ROWS = 500_000
+BUCKET_ROWS = 100_000
+#: Occurrences of a gram whose contexts may meet in one bucket; beyond, the
+#: windows of a hotter gram are suffixes of their own, spread over all buckets.
+HOT = 5_000
 _POW = powers(CHUNK + 1)
-_INV = powers(CHUNK + 1, pow(int(BASE), -1, 1 << 64))
+INVERSE = pow(int(BASE), -1, 1 << 64)
+_INV = powers(CHUNK + 1, INVERSE)
 
 
 def chunks(off: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
@@ -75,7 +81,7 @@ class Windows:
         np.add.at(starts, end[some], -1)
         v = np.flatnonzero(np.cumsum(starts[:-1]))
         if not len(v):
-            self.lo = self.hi = np.zeros(0, np.int64)
+            self.lo = self.hi = self.place = np.zeros(0, np.int64)
             self.gram = self.context = np.zeros(0, U64)
             return
         grams = mix64((self.sums[GRAM:] - self.sums[:-GRAM]) * _INV[:n - GRAM + 1])
@@ -91,7 +97,8 @@ class Windows:
         cut = np.flatnonzero((picked[1:] != picked[:-1]) | (v[1:] != v[:-1] + 1)) + 1
         a = np.concatenate(([0], cut))
         self.lo, self.hi = v[a], v[np.concatenate((cut, [len(v)])) - 1]
-        self.gram = grams[picked[a]]
+        self.place = picked[a]
+        self.gram = grams[self.place]
         self.context = self.hashes(self.lo, self.hi + length)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -132,62 +139,70 @@ def multikey_order(lead: np.ndarray, tail: np.ndarray) -> np.ndarray:
 
 def equal_runs(lead: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Multikey order, the starts of its runs of equal keys, and their lengths."""
+    if not len(lead):
+        return (np.zeros(0, np.int64),) * 3
     order = multikey_order(lead, tail)
     a, b = lead[order], tail[order]
     first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
     return order, first, np.diff(np.append(first, len(order)))
 
 
-SUFFIX = "lead bigint, tail bigint, twice boolean, k1 bigint, k2 bigint, start int, stop int"
+SUFFIX = "lead bigint, tail bigint, twice boolean, k1 bigint, k2 bigint, start int, stop int, context binary"
 
 
-def suffixes(batch: pa.RecordBatch, length: int, whole: np.ndarray, mixed: np.ndarray) -> pa.RecordBatch:
+def suffixes(batch: pa.RecordBatch, length: int, whole: np.ndarray, mixed: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
     """Suffix rows of one batch (columns k1, k2, text). Rows with a null lead
     are ranges already known to be repeated; a row that is ``twice`` stands for
     those and has no text of its own."""
     buf, off = raw_text(batch.column(2))
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     for at, end in chunks(off, length):
         w = Windows(buf[at:end], at, off, length)
-        each = bit_filter_has(mixed, w.gram)
-        one = np.flatnonzero(bit_filter_has(whole, w.gram) & ~each)
-        each = np.flatnonzero(each)
+        in_hot = bit_filter_has(hot, w.gram)
+        in_mixed = bit_filter_has(mixed, w.gram) & ~in_hot
+        one = np.flatnonzero(bit_filter_has(whole, w.gram) & ~in_mixed & ~in_hot)
+        some, each = np.flatnonzero(in_mixed), np.flatnonzero(in_hot)
         single = ragged(w.lo[each], w.hi[each] - w.lo[each] + 1)
-        start = np.concatenate((w.lo[one], single))
-        stop = np.concatenate((w.hi[one], single)) + length
+        start = np.concatenate((w.lo[one], w.lo[some], single))
+        stop = np.concatenate((w.hi[one], w.hi[some], single)) + length
         if len(start):
-            for o, x in zip(out, (w.leads(start), w.hashes(start, stop), start + at, stop + at)):
+            lead, tail = w.leads(start), w.hashes(start, stop)
+            kind = np.repeat([0, 1, 0], [len(one), len(some), len(single)])
+            # a mixed context is sorted by the suffix that starts at its gram
+            lead[kind == 1] = w.leads(w.place[some])
+            for o, x in zip(out, (lead, tail, start + at, stop + at, np.where(kind == 1, gram_of(w, one, some, single), U64(0)))):
                 o.append(x)
     if out[0]:
-        lead, tail, start, stop = map(np.concatenate, out)
+        lead, tail, start, stop, gram = map(np.concatenate, out)
     else:
-        lead = tail = np.zeros(0, U64)
+        lead = tail = gram = np.zeros(0, U64)
         start = stop = np.zeros(0, np.int64)
     row = np.searchsorted(off, start, "right") - 1
-    start, stop = start - off[row], stop - off[row]
     k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
-    if len(lead):
-        order, first, runs = equal_runs(lead, tail)
-    else:
-        order = first = runs = np.zeros(0, np.int64)
-    alone = order[first[runs == 1]]
+    order, first, runs = equal_runs(lead, tail)
+    alone, again = order[first[runs == 1]], order[first[runs > 1]]
     found = order[np.repeat(runs, runs) > 1]
     # one range for each run of touching ranges of a text; copies of a text give it once
-    a, b, r = merge(row[found], start[found], stop[found])
+    a, b, r = merge(row[found], (start - off[row])[found], (stop - off[row])[found])
     _, keep = np.unique(np.stack([k1[r], k2[r], a]), axis=1, return_index=True) if len(r) else (0, np.zeros(0, np.int64))
     a, b, r = a[keep], b[keep], r[keep]
-    again = order[first[runs > 1]]
     n, m, d = len(alone), len(again), len(r)
-    none = lambda k: np.zeros(k, np.int64)
     sent = np.concatenate((alone, again))
-    owner = np.concatenate((np.ones(n, bool), np.zeros(m, bool), np.ones(d, bool)))
-    known = np.concatenate((np.zeros(n + m, bool), np.ones(d, bool)))
-    keys = [np.concatenate((k[row[alone]], none(m), k[r])) for k in (k1, k2)]
+    tail = np.where(gram != 0, gram, tail)  # occurrences of one mixed gram meet
+    none = lambda k: np.zeros(k, np.int64)
+    settled = np.concatenate((np.zeros(n + m, bool), np.ones(d, bool)))
+    shared = np.concatenate((np.zeros(n, bool), np.ones(m, bool), np.zeros(d, bool)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate((x[sent].view(np.int64), none(d))), mask=known) for x in (lead, tail)]
-        + [pa.array(~owner)] + [pa.array(k, mask=~owner) for k in keys]
-        + [pa.array(np.concatenate((x[alone], none(m), y)).astype(np.int32), mask=~owner) for x, y in ((start, a), (stop, b))],
-        ["lead", "tail", "twice", "k1", "k2", "start", "stop"])
+        [pa.array(np.concatenate((x[sent].view(np.int64), none(d))), mask=settled) for x in (lead, tail)] + [pa.array(shared)]
+        + [pa.array(np.concatenate((k[row[alone]], none(m), k[r])), mask=shared) for k in (k1, k2)]
+        + [pa.array(np.concatenate(((x - off[row])[alone], none(m), y)).astype(np.int32), mask=shared) for x, y in ((start, a), (stop, b))]
+        + [pa.array([buf[start[i]:stop[i]].tobytes() if gram[i] else None for i in sent] + [None] * d, pa.binary())],
+        ["lead", "tail", "twice", "k1", "k2", "start", "stop", "context"])
+
+
+def gram_of(w: Windows, one: np.ndarray, some: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Gram hashes (never 0) of the mixed contexts among a chunk's suffixes."""
+    return np.concatenate((np.zeros(len(one), U64), w.gram[some] | U64(1), np.zeros(len(single), U64)))
 
 
 def merge(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,19 +218,60 @@ def merge(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return start[first], reach[last] - shift[last], row[first]
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: multikey sort, and the ranges of equal neighbours."""
+def compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """One bucket: multikey sort, and the ranges of equal neighbours. Contexts of
+    a mixed gram are cut into their windows here."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
-    t = pa.Table.from_batches(parts)
-    lead, tail = (t[c].to_numpy().view(U64) ^ U64(1 << 63) for c in ("lead", "tail"))
+    t = pa.Table.from_batches(parts).combine_chunks()
+    lead, tail = (t[c].to_numpy().view(U64) for c in ("lead", "tail"))
+    twice, context = t["twice"].to_numpy(), t["context"].combine_chunks()
+    is_context = context.is_valid().to_numpy(zero_copy_only=False)
+    start, stop = (t[c].fill_null(0).to_numpy() for c in ("start", "stop"))
+    k1, k2 = (t[c].fill_null(0).to_numpy() for c in ("k1", "k2"))
+    whole = np.flatnonzero(~is_context)
+    found = [(whole[hit], start[whole[hit]], stop[whole[hit]]) for hit in [equal_rows(lead[whole], tail[whole], twice[whole])]]
+    held = np.flatnonzero(is_context)
+    for group in runs_of(multikey_order(lead[held], tail[held]), lead[held], tail[held]):
+        rows = held[group]
+        raw = [context[int(i)].as_py() for i in rows]
+        off = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+        buf = np.frombuffer(b"".join(raw), np.uint8)
+        sums = np.concatenate((np.zeros(1, U64), np.cumsum(BYTE_HASH[buf] * powers(len(buf)), dtype=U64)))
+        count = np.diff(off) - length + 1
+        at = ragged(off[:-1], count)
+        row = np.repeat(np.arange(len(rows)), count)
+        hashes = mix64((sums[at + length] - sums[at]) * powers(int(off[-1]), INVERSE)[at])
+        gram = np.repeat(np.searchsorted(np.unique(tail[rows]), tail[rows]), count).astype(U64)
+        hit = equal_rows(gram, hashes, np.repeat(twice[rows], count))
+        a = at[hit] - off[row[hit]] + start[rows][row[hit]]
+        found.append((rows[row[hit]], a, a + length))
+    row, a, b = (np.concatenate(x) for x in zip(*found))
+    own = ~twice[row]
+    a, b, row = merge(row[own].astype(np.int64), a[own].astype(np.int64), b[own].astype(np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
+                                     ["k1", "k2", "start", "stop"])
+
+
+def equal_rows(lead: np.ndarray, tail: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Rows whose key occurs in two texts at least (a ``twice`` row counts as two)."""
     order, first, runs = equal_runs(lead, tail)
-    twice = t["twice"].to_numpy()
+    if not len(order):
+        return order
     hit = np.add.reduceat(twice[order].astype(np.int64), first) + runs > 1
-    found = order[np.repeat(hit, runs)]
-    found = found[~twice[found]]
-    yield from t.select(["k1", "k2", "start", "stop"]).take(pa.array(found)).combine_chunks().to_batches()
+    return order[np.repeat(hit, runs)]
+
+
+def runs_of(order: np.ndarray, lead: np.ndarray, tail: np.ndarray, rows: int = 4096) -> Iterator[np.ndarray]:
+    """Sorted rows in parts of about ``rows`` that end where the key changes."""
+    a, b = lead[order], tail[order]
+    ends = np.append(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, len(order)) if len(order) else []
+    at = 0
+    for end in ends:
+        if end - at >= rows or end == len(order):
+            yield order[at:end]
+            at = end
 
 
 def covered(documents: DataFrame, text: str, length: int) -> DataFrame:
@@ -230,9 +286,9 @@ def covered(documents: DataFrame, text: str, length: int) -> DataFrame:
 
     grams = (documents.select(t.alias("text")).mapInArrow(count, "gram bigint, n bigint, low bigint, high bigint").groupBy("gram")
              .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-             .where("n > 1").select("gram", (F.col("low") < F.col("high")).alias("mixed")))
+             .where("n > 1").select("gram", F.when(F.col("low") == F.col("high"), 0).when(F.col("n") <= HOT, 1).otherwise(2).alias("kind")))
     grams = scratch_table(grams, "grams")
-    sent = spark.sparkContext.broadcast([bit_filter(grams.where(c), "gram") for c in ("not mixed", "mixed")])
+    sent = spark.sparkContext.broadcast([bit_filter(grams.where(F.col("kind") == kind), "gram") for kind in range(3)])
 
     def cut(batches):
         for b in batches:
@@ -240,9 +296,12 @@ def covered(documents: DataFrame, text: str, length: int) -> DataFrame:
 
     rows = scratch_table(documents.select(F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(length), t).alias("k2"), t.alias("text"))
                          .mapInArrow(cut, SUFFIX), "suffixes")
+    def sort(batches):
+        return compare(batches, length)
+
     to_sort = rows.where("lead is not null")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-to_sort.count() // BUCKET_ROWS))
-    found = to_sort.repartitionByRange(buckets, "lead", "tail").mapInArrow(compare, "k1 bigint, k2 bigint, start int, stop int")
+    found = to_sort.repartitionByRange(buckets, "lead", "tail").mapInArrow(sort, "k1 bigint, k2 bigint, start int, stop int")
     every = found.union(rows.where("lead is null").select("k1", "k2", "start", "stop"))
     return every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
