@@ -1,13 +1,11 @@
+"""Fixtures of the corpus tests, imported by name."""
+
 import os
-import sys
 
 import pytest
+from edge_cases import SCHEMA, edge_rows
 
-HERE = os.path.dirname(os.path.abspath(__file__))
-ROOT = os.path.dirname(os.path.dirname(HERE))
-for p in (HERE, ROOT):
-    if p not in sys.path:
-        sys.path.insert(0, p)
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(autouse=True)
@@ -15,9 +13,6 @@ def workers(spark):
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
 
 
-from edge_cases import SCHEMA, edge_rows  # noqa: E402
-
-
 @pytest.fixture()
 def edges(spark):
     return spark.createDataFrame(edge_rows(), SCHEMA)

@@ -5,6 +5,7 @@ import random
 
 import brute
 import pytest
+from corpus_fixtures import edges, nothing, small, workers  # noqa: F401
 from edge_cases import edge_rows, prose
 
 from seqlens.llm import queries

@@ -2,6 +2,7 @@
 
 import brute
 import pytest
+from corpus_fixtures import edges, nothing, small, workers  # noqa: F401
 
 import corpus_pipeline as P
 from seqlens.llm import queries, quality_rules, secret_scan
