@@ -157,9 +157,13 @@ def training_rows(labelled: DataFrame, text: str, lang: str, max_rows: int, dims
     if not n:
         return np.zeros((0, dims), np.float32), []
     vector = F.arrow_udf(lambda t: pa.array([v.tobytes() for v in features(t, dims)], pa.binary()), "binary")
-    ranked = rows.withColumn("order", F.xxhash64("text")).withColumn(
-        "rank", F.row_number().over(W.partitionBy("lang").orderBy("order", "text"))).where(F.col("rank") <= max(1, max_rows // n))
-    got = ranked.orderBy("order").limit(max_rows).select("lang", vector("text").alias("v")).toArrow()
+    rows = rows.withColumn("order", F.xxhash64("text"))
+    # the order is cut per language on narrow rows; only the texts below the cut move, each once
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("order"))
+    cuts = rows.select("lang", "order").withColumn("rank", rank).where(F.col("rank") <= max(1, max_rows // n)) \
+        .groupBy("lang").agg(F.max("order").alias("cut"))
+    picked = rows.join(cuts, "lang").where("order <= cut").groupBy("lang", "order").agg(F.first("text").alias("text"))
+    got = picked.orderBy("lang", "order").limit(max_rows).select("lang", vector("text").alias("v")).toArrow()
     x = np.frombuffer(b"".join(v.as_py() for v in got["v"]), np.float32).reshape(-1, dims)
     return x, got["lang"].to_pylist()
 

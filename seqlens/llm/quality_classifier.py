@@ -136,10 +136,13 @@ class Network:
 
 
 def sample(rows: DataFrame, text: str, limit: int) -> np.ndarray:
-    """Features of at most ``limit`` rows, the first by a hash of the text."""
+    """Features of at most ``limit`` texts, the first by a hash of the text. The
+    order is cut on narrow rows; only the texts below the cut move, each once."""
     vector = F.arrow_udf(lambda t: pa.array([v.tobytes() for v in features(t)], pa.binary()), "binary")
-    order = F.xxhash64(F.lit(3), F.col(text))
-    got = rows.select(F.col(text).alias("text"), order.alias("h")).orderBy("h", "text").limit(limit).select(vector("text").alias("v")).toArrow()
+    rows = rows.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64(F.lit(3), F.col("text")))
+    cut = rows.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    picked = rows.where(F.col("h") <= F.lit(cut)).groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(limit)
+    got = picked.select(vector("text").alias("v")).toArrow()
     return np.frombuffer(b"".join(v.as_py() for v in got["v"]), np.float32).reshape(-1, len(NAMES)).astype(np.float64)
 
 
@@ -151,7 +154,11 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", id_col: s
         (F.avg(label) >= 0.5).alias("__positive"))
     n, good = known.agg(F.count("*"), F.sum(F.col("__positive").cast("int"))).first()
     prior = (good or 0) / n if n else 0.5
-    trusted = documents.join(known.where("__positive"), F.col(id_col) == F.col("__id"), "left_semi")
+    # the hashes of the trusted texts are joined to the labels, not the texts
+    narrow = documents.select(F.col(id_col).alias("__id"), F.xxhash64(F.lit(3), F.coalesce(F.col(text), F.lit(""))).alias("__h"))
+    hashes = narrow.join(known.where("__positive"), "__id").select("__h").distinct().orderBy("__h").limit(max_positive)
+    chosen = [r[0] for r in hashes.collect()]
+    trusted = documents.where(F.xxhash64(F.lit(3), F.coalesce(F.col(text), F.lit(""))).isin(chosen)) if chosen else documents.limit(0)
     pos, unl = sample(trusted, text, max_positive), sample(documents, text, max_unlabelled)
     return Network(pos, unl, prior) if len(pos) and len(unl) else prior
 
