@@ -90,6 +90,15 @@ def canonical_address(text: str) -> str:
     return f"0x{int(text, 16):0{ADDRESS_HEX_DIGITS}x}"
 
 
+def same_number(col: Column | str, value: str) -> Column:
+    """Does the text denote the hex number ``value``, whatever its spelling?
+    Cheaper than normalising: only the digits that count are compared."""
+    text = F.lower(F.trim(_c(col)))
+    digits = f"{int(value, 16):x}".lstrip("0")
+    same = F.ltrim(text, F.lit("0x")) == digits
+    return same if digits else same & text.rlike("^(0x)?0+$")
+
+
 def bucketize(col: Column | str, bounds: Sequence[tuple[int, str]], otherwise: str
               ) -> tuple[Column, Column]:
     """Ordered bucketing by inclusive upper bounds.

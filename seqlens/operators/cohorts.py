@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqlens.functions.constants import (COHORT_MEMBER, COHORT_OTHER, MINT_FROM,
                                          MINT_FROM_BLOCK, MINT_TO_BLOCK, OG_CONTRACT,
                                          TRANSFER_SELECTOR)
-from seqlens.functions.scalars import canonical_address, normalise_address
+from seqlens.functions.scalars import canonical_address, normalise_address, same_number
 
 
 def _member_side(members: DataFrame, member_col: str) -> DataFrame:
@@ -44,7 +44,7 @@ def mint_receivers(events: DataFrame, contract: str = OG_CONTRACT,
     ``block_range`` partition column) hold them in canonical text, so there the
     predicates reach the scan as they are; with ``block_range`` (the landing's
     range size) the window also prunes partition folders."""
-    wanted = [canonical_address(x) for x in (contract, selector, mint_from)]
+    wanted = (contract, selector, mint_from)
     landed = "block_range" in events.columns
     if landed and block_range is not None:
         events = events.filter(F.col("block_range").between(from_block // block_range,
@@ -52,7 +52,7 @@ def mint_receivers(events: DataFrame, contract: str = OG_CONTRACT,
     columns = [F.col("address"), F.get(F.col("keys"), 0), F.get(F.col("keys"), 1)]
     match = F.col("block_number").between(from_block, to_block)
     for column, value in zip(columns, wanted):
-        match = match & ((column if landed else normalise_address(column)) == value)
+        match = match & (column == canonical_address(value) if landed else same_number(column, value))
     return events.filter(match).select(F.get(F.col("keys"), 2).alias("receiver"))
 
 
