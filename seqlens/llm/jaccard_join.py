@@ -15,8 +15,8 @@ shuffled, and are verified exactly.
 
 Dense clusters cost no pair per pair of copies: the first round compares every
 class with its own group and with one centre group for each of its tokens;
-components follow; the second round compares what shares a token and is still
-in different components. Links inside a known component are not needed, so the
+components follow; the second round compares the classes of groups that share a
+token and are still in different components. Links inside a known component are not needed, so the
 result holds components, not the number of links.
 
 Defined cases: null, empty and wordless texts have no shingles and are linked
@@ -337,19 +337,23 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     shared = scratch_table(matrix.join(centres.drop("top"), "tok"), "shared")
     asked = scratch_table(shared.where("gid <> centre").select("cid", F.col("centre").alias("gid")).distinct(), "asked")
     links = verified(asked, None, True)
-    comp = scratch_table(components(links), "components")
+    comp = scratch_table(components(links, rounds=2), "components")
 
-    # what shares a token and is not yet in one component
+    # groups that share a token and are not yet in one component
     known = shared.select("tok", "cid", "gid").join(comp, shared["cid"] == comp["node"], "left") \
         .select("tok", "cid", "gid", F.coalesce("comp", "cid").alias("comp"))
     open_tokens = known.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("tok")
     left = scratch_table(known.join(open_tokens, "tok").join(classes.select("cid", "n"), "cid"), "open")
-    groups = left.groupBy("tok", F.col("gid").alias("g"), F.col("comp").alias("c")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    rest = (left.join(groups, "tok").where("gid > g and comp <> c")
-            .where((F.col("most") * den >= F.col("n") * num) & (F.col("least") * num <= F.col("n") * den))
-            .select("cid", F.col("g").alias("gid")).distinct().join(asked, ["cid", "gid"], "left_anti"))
+    groups = left.groupBy("tok", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"),
+                                            F.min("comp").alias("low"), F.max("comp").alias("high"))
+    one, other = groups.alias("a"), groups.alias("b")
+    pairs = one.join(other, "tok").where("a.gid > b.gid and (a.low <> b.high or a.high <> b.low)") \
+        .where((F.col("a.most") * den >= F.col("b.least") * num) & (F.col("b.most") * den >= F.col("a.least") * num)) \
+        .select(F.col("a.gid").alias("gid"), F.col("b.gid").alias("g")).distinct()
+    rest = left.select("cid", "gid").distinct().join(pairs, "gid").select("cid", F.col("g").alias("gid")) \
+        .join(asked, ["cid", "gid"], "left_anti")
     more = verified(scratch_table(rest, "rest"), comp, False)
-    comp = components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more))
+    comp = components(links.union(more))
 
     classes = scratch_table(classes.select("cid", "root").join(comp, F.col("cid") == F.col("node"), "left")
                             .select("cid", "root", F.coalesce("comp", "cid").alias("comp")), "classes")
