@@ -32,6 +32,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 PIECE_BYTES = 1 << 20
 CACHE_WORDS = 200_000
+#: Texts measured at a time, which bounds the arrays of their words.
+SLICE_ROWS = 2000
 #: Words longer than this are encoded, but not kept in the worker's cache.
 CACHE_WORD_BYTES = 64
 VOCABULARY = "piece_bpe_32k.model"
@@ -197,7 +199,8 @@ def measures(model: str | None = None):
     that every executor can open; by default the installed public vocabulary,
     looked up on the executor."""
     def run(texts: pa.Array) -> pa.Array:
-        return measure(texts, encoder_of(model or vocabulary_path()))
+        encoder = encoder_of(model or vocabulary_path())
+        return pa.concat_arrays([measure(texts.slice(a, SLICE_ROWS), encoder) for a in range(0, max(len(texts), 1), SLICE_ROWS)])
 
     return F.arrow_udf(run, RESULT)
 
