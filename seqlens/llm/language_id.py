@@ -162,6 +162,7 @@ def training_rows(labelled: DataFrame, text: str, lang: str, max_rows: int, dims
     rank = F.row_number().over(W.partitionBy("lang").orderBy("order"))
     cuts = rows.select("lang", "order").withColumn("rank", rank).where(F.col("rank") <= max(1, max_rows // n)) \
         .groupBy("lang").agg(F.max("order").alias("cut"))
+    cuts = F.broadcast(cuts) if n <= max_rows else cuts  # one row for each of the n languages
     picked = rows.join(cuts, "lang").where("order <= cut").groupBy("lang", "order").agg(F.first("text").alias("text"))
     got = picked.orderBy("lang", "order").limit(max_rows).select("lang", vector("text").alias("v")).toArrow()
     x = np.frombuffer(b"".join(v.as_py() for v in got["v"]), np.float32).reshape(-1, dims)
