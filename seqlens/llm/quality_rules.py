@@ -7,14 +7,20 @@ by a SentencePiece vocabulary with byte fallback. Three measures come of it:
 - byte-fallback share (fallback tokens over tokens),
 - token entropy (bits per token of the text's own token distribution).
 
-A text is rejected when a measure leaves the band of its dominant script
-(``BANDS``; wide, so that they meet junk and not unusual prose), or when a base
-rule fails: fewer than 50 words, or more than half of the words in repeated
-3-word windows.
-
-Rows never leave their partition: one Arrow function, no shuffle, no corpus
-statistics. Defined cases: null and wordless texts have zero counts and fail;
-words are not lower-cased; a text of one huge word is encoded whole.
+A text is rejected when a base rule fails (fewer than 50 words, or more than
+half of the words in repeated 3-word windows), when a measure leaves the wide
+band of its dominant script (``BANDS``), or when it leaves the fences of its
+group: language (where the table has one), script and length to a power of two.
+Fences are the median of the group and a multiple of its robust spread
+(``FENCES``), over all distinct texts that pass the base rules; a group of fewer
+than ``MIN_GROUP`` of them has no fences. Length is part of the group, for the
+entropy of clean text grows with it.
+
+Texts are measured once, and the measures written to the shared folder; no text
+is shuffled. The statistics are aggregates over values of two or three decimals,
+so their state is bounded; one row per group reaches the driver. Defined cases:
+null and wordless texts have zero counts and fail; words are not lower-cased; a
+text of one huge word is encoded whole.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.common import U64, hash_spans, mix64, pieces, ragged, raw_text, row_ids, table, word_spans
+from seqlens.llm.common import U64, hash_spans, mix64, pieces, ragged, raw_text, row_ids, scratch_table, table, word_spans
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -50,6 +56,17 @@ BANDS = {
 }
 SCRIPTS = list(BANDS)
 
+#: Measure -> (values per unit in the statistics, least spread, spreads allowed
+#: below the median, spreads allowed above it). A high entropy or a low share
+#: is no fault.
+FENCES = {
+    "chars_per_token": (100, 0.02, 5.0, 5.0),
+    "fallback_share": (1000, 0.02, None, 5.0),
+    "token_entropy": (100, 0.10, 4.0, None),
+}
+MIN_GROUP = 30
+_PLACES = (0.1, 0.25, 0.5, 0.75, 0.9)
+
 RESULT = ("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,"
           "n_repeat_words:bigint,n_tokens:bigint,n_fallback:bigint,token_entropy:double,script:string>")
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_fallback"]
@@ -220,20 +237,66 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT_PERCENT)
 
 
-def quality(documents: DataFrame, text: str = "text", model: str | None = None, bands: dict = BANDS,
-            into: str = "quality") -> DataFrame:
+def measured(documents: DataFrame, text: str = "text", model: str | None = None, into: str = "quality") -> DataFrame:
     """``documents`` with a struct column ``into``: the measures,
-    chars_per_token, fallback_share, base_failed and kept."""
+    chars_per_token, fallback_share, base_failed, and the text's group and hash."""
     out = documents.withColumn(into, measures(model)(F.col(text)))
     m = F.col(into)
     tokens = F.greatest(m["n_tokens"], F.lit(1))
-    failed = base_failed(m)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in documents.columns else F.lit("")
+    length = F.length(F.bin(m["n_words"])).cast("string")
     return out.withColumn(into, F.struct(
         f"{into}.*", (m["word_chars"] / tokens).alias("chars_per_token"),
-        (m["n_fallback"] / tokens).alias("fallback_share"), failed.alias("base_failed"),
-        (~failed & in_band(m, bands)).alias("kept")))
+        (m["n_fallback"] / tokens).alias("fallback_share"), base_failed(m).alias("base_failed"),
+        F.concat_ws("/", lang, m["script"], length).alias("group"), F.xxhash64(text).alias("hash")))
+
+
+def fences(done: DataFrame, into: str = "quality", min_group: int = MIN_GROUP) -> dict[str, list[float]]:
+    """Group -> least and greatest value of every measure of ``FENCES``, from all
+    distinct texts that pass the base rules."""
+    m = F.col(into)
+    values = [F.round(m[name] * units).alias(name) for name, (units, *_) in FENCES.items()]
+    texts = done.where(~m["base_failed"]).select(m["group"].alias("group"), m["hash"].alias("hash"), *values)
+    distinct = texts.groupBy("group", "hash").agg(*(F.min(name).alias(name) for name in FENCES))
+    stats = distinct.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile(name, list(_PLACES)).alias(name) for name in FENCES))
+    out = {}
+    for row in stats.where(F.col("n") >= min_group).toLocalIterator():
+        out[row["group"]] = []
+        for name, (units, least, below, above) in FENCES.items():
+            p10, p25, centre, p75, p90 = (x / units for x in row[name])
+            spread = max(least, (p75 - p25) / 1.349, (p90 - p10) / 2.563)
+            out[row["group"]] += [-np.inf if below is None else centre - below * spread,
+                                  np.inf if above is None else centre + above * spread]
+    return out
+
+
+def in_fences(m: Column, found: dict[str, list[float]]) -> Column:
+    """True where no measure leaves its group's fences, or the group has none."""
+    if not found:
+        return F.lit(True)
+    bounds = F.try_element_at(F.create_map(*(x for k, v in sorted(found.items()) for x in (F.lit(k), F.lit([float(b) for b in v])))), m["group"])
+    inside = F.lit(True)
+    for n, name in enumerate(FENCES):
+        inside = inside & (m[name] >= bounds[2 * n]) & (m[name] <= bounds[2 * n + 1])
+    return F.coalesce(inside, F.lit(True))
+
+
+def judged(done: DataFrame, into: str = "quality", bands: dict = BANDS) -> DataFrame:
+    """Measured documents with the verdict ``kept``; ``done`` is read twice."""
+    m = F.col(into)
+    kept = ~m["base_failed"] & in_band(m, bands) & in_fences(m, fences(done, into))
+    return done.withColumn(into, m.withField("kept", kept).dropFields("group", "hash"))
+
+
+def quality(documents: DataFrame, text: str = "text", model: str | None = None, bands: dict = BANDS,
+            into: str = "quality") -> DataFrame:
+    """``documents`` with a struct column ``into``: the measures,
+    chars_per_token, fallback_share, base_failed and kept."""
+    return judged(scratch_table(measured(documents, text, model, into), "measured"), into, bands)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    done = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = table(spark, sf_dir, "documents")
+    narrow = [c for c in ("doc_id", "lang") if c in documents.columns]
+    done = judged(scratch_table(measured(documents.select(*narrow, "text")).select("doc_id", "quality"), "measured"))
     return done.select("doc_id", "quality.*").drop("n_tokens", "n_fallback")

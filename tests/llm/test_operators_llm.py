@@ -142,6 +142,31 @@ def test_bands_reject_junk_and_keep_prose(spark):
     assert kept[0] == (True, False) and kept[2] == (False, True) and kept[3] == (False, True)
 
 
+def test_fences_reject_what_outlies_its_language(spark):
+    """Outlying texts inside the wide bands go, clean ones stay, also beside
+    many copies of one text and in another language with another level."""
+    rnd = random.Random(4)
+    clean = [(lang, " ".join(rnd.choice(words) for _ in range(200)))
+             for lang, words in (("aa", [f"river{c}stone" for c in "abcdefghijklmnopqrst"]), ("bb", [f"mo{c}en{d}a" for c in "abcdefgh" for d in "kjwv"]))
+             for _ in range(60)]
+    poor = [("aa", " ".join(rnd.choice("zan ken mol dur bin tas wof gel pir sun hob cat".split()) for _ in range(200))) for _ in range(3)]
+    rows = [(i, lang, t) for i, (lang, t) in enumerate(clean + [clean[0]] * 300 + poor + clean[60:61])]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    out = {r.doc_id: r.quality for r in quality_rules.quality(df).collect()}
+    assert not any(q.base_failed for q in out.values())
+    assert [i for i, q in sorted(out.items()) if not q.kept] == [420, 421, 422]
+    loose = quality_rules.measured(df).select(quality_rules.in_band(F.col("quality")).alias("ok"))
+    assert loose.where("ok").count() == len(rows)
+
+
+def test_fences_by_label(spark):
+    """Label 0 texts that pass the base rules are met, label 1 texts are not."""
+    labels = spark.read.parquet(f"{SF01}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    got = quality_rules.op3_quality_rules(spark, SF01).where("not base_failed").join(labels, "doc_id")
+    n = {(r.label, r.kept): r["count"] for r in got.groupBy("label", "kept").count().collect()}
+    assert n.get((0, False), 0) > 0 and n.get((1, False), 0) <= n[1, True] // 200
+
+
 # --- op4 ---------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
