@@ -9,6 +9,12 @@ template's bounds admit are dropped before their bigrams are made; the rest meet
 the templates through an index of the templates' bigrams, so no passage is
 paired with every template. Matching counts are pre-aggregated.
 
+Runs of words inside a text are passages too (``run_matches``): as long as the
+template, from any of its bigrams on, over line breaks and within longer lines.
+Dice of t needs ``t / (2 - t)`` of a template's bigrams, so some bigram of any
+larger rest of them is in the text: texts without a word of such a rest have no
+run and are not opened.
+
 The templates are a parameter, a short list: their index is broadcast, and a
 list of more than ``MAX_TEMPLATE_BIGRAMS`` bigrams is refused.
 
@@ -18,12 +24,13 @@ result each; a passage of one word has no bigram and never matches.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.common import let, table
+from seqlens.llm.common import let, scratch_table, table
 
 DICE = 0.8
 MAX_TEMPLATE_BIGRAMS = 200_000
@@ -58,6 +65,19 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Compared with runs only: bodies and notices that a line seldom holds whole.
+BODIES = [
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+                     "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+                     "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+                     "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+                     "documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software without specific prior written permission."),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights "
+                "to this software to the public domain worldwide. This software is distributed without any warranty."),
+]
+
 
 def template_bigrams(text: str) -> set[str]:
     w = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
@@ -111,12 +131,77 @@ def _bigrams_bounded(passage: Column, low: float, high: float) -> Column:
         let(_bigrams(w), lambda b: F.when((F.size(b) >= low) & (F.size(b) <= high), b).otherwise(none))))
 
 
-def licences(documents: DataFrame, text: str = "text", id_col: str = "doc_id", templates=None, dice: float = DICE) -> DataFrame:
+def trigger_words(templates, dice: float = DICE) -> list[str]:
+    """Words of which every text with a run of Dice ``dice`` holds one at least."""
+    out: set[str] = set()
+    for _, words in sorted(templates, key=lambda x: len(x[1])):
+        pairs = [x.split() for x in sorted(template_bigrams(words))]
+        need = math.ceil(len(pairs) * dice / (2 - dice) - 1e-9)
+        while len(rest := [x for x in pairs if out.isdisjoint(x)]) >= need:
+            # long words are rare; any choice is complete
+            out.add(max({w for x in rest for w in x}, key=lambda w: (sum(w in x for x in rest) * max(len(w) - 4, 0.1), w)))
+    return sorted(out)
+
+
+def run_matches(documents: DataFrame, key: Column, text: str = "text", templates=None, dice: float = DICE) -> DataFrame:
+    """(key, licence, dice): the best run of every licence found in a text. A
+    bigram that is none of the template's counts as often as the run has it."""
+    templates = [(name, words) for name, words in templates or TEMPLATES + BODIES if template_bigrams(words)]
+    index = [(n, name, len(b), len(_plain(words)) - 1, math.ceil(len(b) * dice / (2 - dice) - 1e-9), k, x)
+             for n, (name, words) in enumerate(templates) for b in [template_bigrams(words)] for k, x in enumerate(sorted(b))]
+    if not 0 < len(index) <= MAX_TEMPLATE_BIGRAMS:
+        raise ValueError(f"no template bigram, or more than {MAX_TEMPLATE_BIGRAMS}")
+    index = F.broadcast(documents.sparkSession.createDataFrame(
+        index, "template int, licence string, size int, length int, need int, id int, bigram string"))
+    words = "|".join(trigger_words(templates, dice))
+    texts = documents.where(F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")).select(
+        key.alias("key"), F.monotonically_increasing_id().alias("row"), _words(F.col(text)).alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    hits = texts.where(F.size("w") > 1).select("key", "row", (F.size("w") - 1).alias("total"), F.posexplode(pairs).alias("at", "bigram")).join(index, "bigram")
+    one = hits.groupBy("key", "row", "total", "template", "licence", "size", "length", "need").agg(
+        F.sort_array(F.collect_list(F.struct("at", "id"))).alias("h")).where(
+        F.size(F.array_distinct(F.col("h.id"))) >= F.col("need"))
+
+    def score(x, i):
+        inside = F.filter(F.slice("h", i + 1, F.col("length")), lambda y: y["at"] < x["at"] + F.col("length"))
+        span = F.least(F.col("length"), F.col("total") - x["at"])
+        return let(inside, lambda r: let(F.size(F.array_distinct(r["id"])),
+                                         lambda both: both * 2 / (both + span - F.size(r) + F.col("size"))))
+
+    # the bigrams a run needs lie within its length: others are not scored
+    near = lambda x, i: F.try_element_at(F.col("h"), i + F.col("need"))["at"] < x["at"] + F.col("length")
+    best = F.array_max(F.transform("h", lambda x, i: F.when(near(x, i), score(x, i)).otherwise(F.lit(0.0))))
+    return one.select("key", "licence", best.alias("dice")).where(F.col("dice") >= dice).groupBy("key", "licence").agg(F.max("dice").alias("dice"))
+
+
+def _plain(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+
+
+def told_apart(found: DataFrame, third: DataFrame) -> DataFrame:
+    """Matches (key, licence, dice), where a body of two conditions is not
+    BSD-3-Clause by its first sentence, and with the third clause (``third``)
+    not BSD-2-Clause."""
+    wrong = found.where("licence = 'BSD-2-Clause'").select("key").join(
+        third.select("key", F.lit(True).alias("clause")), "key", "left").select(
+        "key", F.when(F.col("clause"), "BSD-2-Clause").otherwise("BSD-3-Clause").alias("licence"))
+    return found.join(wrong, ["key", "licence"], "left_anti")
+
+
+def licences(documents: DataFrame, text: str = "text", id_col: str = "doc_id", templates=None, dice: float = DICE,
+             runs: bool = False) -> DataFrame:
     """One row per document: id, n_licences, licences (sorted identifiers,
-    comma-joined) and best_dice (0 without a match)."""
+    comma-joined) and best_dice (0 without a match); ``runs``: with runs of words
+    inside lines and over line breaks."""
     t = F.coalesce(F.col(text), F.lit(""))
     key = F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))
-    found = licence_matches(documents, key, text, templates, dice).groupBy("key").agg(
+    found = licence_matches(documents, key, text, templates, dice)
+    if runs:
+        inner = scratch_table(run_matches(documents, key, text, templates, dice), "runs")
+        clause = [x for x in BODIES if x[0] == "BSD-3-Clause"]
+        found = scratch_table(found.union(inner).groupBy("key", "licence").agg(F.max("dice").alias("dice")), "matches")
+        found = told_apart(found, run_matches(documents, key, text, clause, dice))
+    found = found.groupBy("key").agg(
         F.array_sort(F.collect_set("licence")).alias("names"), F.max("dice").alias("best"))
     rows = documents.select(id_col, key.alias("key"))
     return rows.join(found, "key", "left").select(
@@ -125,4 +210,4 @@ def licences(documents: DataFrame, text: str = "text", id_col: str = "doc_id", t
 
 
 def op7_licence_scan(spark, sf_dir: str) -> DataFrame:
-    return licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licences(table(spark, sf_dir, "documents").select("doc_id", "text"), runs=True)

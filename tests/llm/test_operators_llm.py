@@ -318,6 +318,25 @@ def test_licences_by_brute_force(spark):
     assert got == want and sum(bool(v[0]) for v in want.values()) > 50
 
 
+def test_licences_inside_longer_passages(spark, tmp_path):
+    """Notices in prose lines, wrapped over lines without blank ones, bodies."""
+    import textwrap
+    rnd = random.Random(8)
+    named = dict(reversed(licence_scan.TEMPLATES))
+    last = {name: words for name, words in licence_scan.TEMPLATES}
+    bodies = dict(licence_scan.BODIES)
+    wrap = lambda t: "\n".join("# " + x for x in textwrap.wrap(t, 60))
+    code = "\n".join(prose(rnd, 8) for _ in range(60))
+    cases = [(f"{prose(rnd, 60)} {named['MIT']} {prose(rnd, 60)}", "MIT"), (f"{wrap(last['MIT'])}\n{code}", "MIT"),
+             (f"{wrap(last['ISC'])}\n{code}", "ISC"), (f"{code}\n{wrap(last['GPL-3.0'])}\n{code}", "GPL-3.0"),
+             (f"{wrap(last['MPL-2.0'])}\n{code}", "MPL-2.0"), (f"{code} {wrap(bodies['BSD-2-Clause'])}\n{code}", "BSD-2-Clause"),
+             (f"{wrap(bodies['BSD-2-Clause'] + ' ' + bodies['BSD-3-Clause'])}\n{code}", "BSD-3-Clause"),
+             (f"{code}\n{wrap(bodies['CC0-1.0'])}", "CC0-1.0"), (code, ""), (None, ""), ("licensed " * 3000, "")]
+    docs_of(spark, [t for t, _ in cases]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.licences for r in licence_scan.op7_licence_scan(spark, str(tmp_path)).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(cases)}
+
+
 # --- op8 ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("hot", [2, 5000])
