@@ -30,7 +30,6 @@ from seqlens.llm.quality_rules import PIECE_BYTES, encoder_of, vocabulary_path
 KEYS = ["source", "lang", "tokenizer_version"]
 CHANGE = [*KEYS, "sign", "tokens"]
 DELTA = "source string, lang string, tokenizer_version string, documents bigint, tokens bigint"
-MIN_WORDS = 50
 
 
 def signed(rows: DataFrame, sign: int, version: str, tokens: str) -> DataFrame:
@@ -122,18 +121,19 @@ def counter(model: str | None = None):
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Four batches over all documents: provisional counts (a quarter of the
-    bytes) are inserted, then revised to the vocabulary's counts; word counts are
-    inserted as a second version; documents under ``MIN_WORDS`` words are deleted
-    from both. The revision is sent twice, and counts once."""
+    """Totals of all documents, as two versions: the vocabulary's counts and word
+    counts. Before them provisional counts (a quarter of the bytes) are inserted
+    under a version of their own, revised to the vocabulary's counts, and deleted
+    whole, so that no row of them is left. The revision is sent twice, and counts
+    once."""
     documents = table(spark, sf_dir, "documents").select("source", "lang", counter()(F.col("text")).alias("c"))
     counted = scratch_table(documents.select("source", "lang", (F.col("c.n_bytes") / 4).cast("bigint").alias("provisional"),
                                              "c.n_words", "c.n_tokens"), "counted")
     rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
-    short = counted.where(F.col("n_words") < MIN_WORDS)
-    rollup.commit("insert-provisional", inserts(counted, "piece_bpe_32k", "provisional"))
+    rollup.commit("insert-provisional", inserts(counted, "provisional", "provisional"))
     for _ in range(2):
-        rollup.commit("revise", revisions(counted, "piece_bpe_32k", "provisional", "n_tokens"))
+        rollup.commit("revise", revisions(counted, "provisional", "provisional", "n_tokens"))
+    rollup.commit("delete-provisional", deletes(counted, "provisional", "n_tokens"))
+    rollup.commit("insert-tokens", inserts(counted, "piece_bpe_32k", "n_tokens"))
     rollup.commit("insert-words", inserts(counted, "words", "n_words"))
-    rollup.commit("delete-short", deletes(short, "piece_bpe_32k", "n_tokens").union(deletes(short, "words", "n_words")))
     return rollup.totals()

@@ -258,6 +258,19 @@ def test_rollup_query_equals_direct_counts(spark):
     assert got == dict(want)
 
 
+def test_rollup_query_counts_every_document(spark, tmp_path):
+    """Short, empty and null texts are in the totals; keys with only such texts
+    have their rows; no provisional row is left."""
+    rows = [("a", "en", "one two three"), ("a", "en", "word " * 60), ("b", "fr", ""), (None, "en", None), ("b", None, "x y")]
+    df = spark.createDataFrame(rows, "source string, lang string, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in token_rollup.op5_token_counts(spark, str(tmp_path)).collect()}
+    words = {("a", "en"): (2, 63), ("b", "fr"): (1, 0), (None, "en"): (1, 0), ("b", None): (1, 2)}
+    assert {k[:2]: v for k, v in got.items() if k[2] == "words"} == words
+    assert {k[:2]: v[0] for k, v in got.items() if k[2] == "piece_bpe_32k"} == {k: v[0] for k, v in words.items()}
+    assert len(got) == 2 * len(words)
+
+
 # --- op6 ---------------------------------------------------------------------------------
 
 def test_weak_parts_need_their_complement(spark):
