@@ -1,19 +1,21 @@
 """Per-entity event ordinal and total (``ROW_NUMBER`` / ``COUNT(*)`` over entity).
 
 A window partition cannot be split, so a window over the whole entity would put
-an entity with a third of all rows into one task. Every entity is therefore
-numbered by slices of its first order column:
-
-1. rows are dealt by (entity, slice) once;
-2. that exchange feeds both the row number inside each slice and the count of
-   each slice;
-3. the slice counts, a small table, give each slice the rows before it and the
-   entity's total, and join back on (entity, slice) with no further exchange of
-   the rows.
-
-The same plan serves every entity and every size, and nothing runs while it is
-built. Where only the first k ordinals are needed, ``first_k`` keeps the plain
-window, whose per-entity limit is applied before the shuffle.
+an entity with a third of all rows into one task. Entities with more rows than a
+task should hold are therefore numbered by ranges of their own order:
+
+1. a sample tells which entities are that large, and the sampled rows of such an
+   entity give splitters over ``order + tiebreak``;
+2. the rows are dealt once, by (entity, range); every other entity is one range;
+3. that exchange feeds the row numbers inside each range and, for the split
+   entities, the rows of each range; running sums of the latter (one row per
+   range) give every range the rows before it and the entity's total.
+
+The splitters run over the whole order key, so rows of one instant, or without a
+time, are spread as well. The plan is the same for every entity and every size,
+and nothing runs while it is built. Where only the first k ordinals are needed,
+``first_k`` keeps the plain window, whose per-entity limit is applied before the
+shuffle.
 """
 
 from __future__ import annotations
@@ -21,45 +23,106 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A slice is a week of the entity's history: an entity with a third of all rows
-# of three years is spread over some 150 slices.
-SLICE_SECONDS = 7 * 86_400
-
-
-def time_slice(column: str, seconds: int = SLICE_SECONDS) -> Column:
-    """Number of the ``seconds``-long slice; NULL times (which sort first) get
-    the least number."""
-    at = F.unix_timestamp(F.col(column).cast("timestamp"))
-    return F.coalesce(F.floor(at / F.lit(seconds)).cast("bigint"), F.lit(-(1 << 62)))
+#: Rows of one entity that a task takes: larger entities are split into ranges of
+#: about half of it.
+ROWS_PER_RANGE = 2_000_000
+#: Ranges of an entity, at most, and ranges under one coarse splitter.
+MAX_RANGES, FINE = 1024, 32
+#: Every task gives its first rows to the sample, and later ones with falling
+#: probability: about ``HEAD * (1 + ln(rows / HEAD))`` of them, whatever its size.
+HEAD = 16
+#: Sampled rows below which no entity is taken for large: bounds the table of
+#: splitters by an eighth of the sample.
+LEAST_SAMPLED = 8
+_SEED = 11
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """``df``, with all its columns kept up to here. Several branches over it then
+    need the same columns below, whatever each of them reads, so Spark runs the
+    exchanges below once and reuses them. (A condition that is always true, and
+    that the optimizer neither removes nor moves, as it is not deterministic.)"""
+    return df.filter((F.monotonically_increasing_id() >= 0) | (F.xxhash64(*df.columns) == 0))
+
+
+def weighted_sample(df: DataFrame) -> DataFrame:
+    """Rows of every task with ``_weight``, the number of rows each stands for."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    weighed = df.withColumn("_weight", F.greatest(place / F.lit(float(HEAD)), F.lit(1.0)))
+    return weighed.filter(F.rand(_SEED) * F.col("_weight") < 1)
+
+
+def _splitters(rows: DataFrame, keys: list[str], at: Column, rows_per_range: int) -> DataFrame:
+    """``keys, _coarse, _fine`` of the large entities: their splitters in groups
+    of ``FINE``, and the first splitter of every group."""
+    per = weighted_sample(rows).groupBy(*keys).agg(
+        F.sum("_weight").alias("_rows"), F.count(F.lit(1)).alias("_sampled"),
+        F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("_weight").alias("w")))).alias("_keys"))
+    large = per.filter((F.col("_rows") > rows_per_range) & (F.col("_sampled") >= LEAST_SAMPLED)) \
+        .withColumn("_step", F.greatest(F.lit(rows_per_range / 2.0), F.col("_rows") / F.lit(float(MAX_RANGES))))
+    # a splitter wherever the running weight passes a multiple of the step
+    start = F.struct(F.lit(0.0).alias("s"), F.filter(F.transform("_keys", lambda k: k.at), lambda k: F.lit(False)).alias("cuts"))
+    cuts = F.aggregate("_keys", start, lambda a, k: F.struct(
+        (a.s + k.w).alias("s"),
+        F.when(F.floor((a.s + k.w) / F.col("_step")) > F.floor(a.s / F.col("_step")), F.concat(a.cuts, F.array(k.at)))
+         .otherwise(a.cuts).alias("cuts")))["cuts"]
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / FINE).cast("int")),
+                         lambda g: F.slice("_cuts", g * FINE + 1, FINE))
+    return large.withColumn("_cuts", cuts).filter(F.size("_cuts") > 0).withColumn("_fine", groups) \
+        .select(*keys, F.transform("_fine", lambda g: g[0]).alias("_coarse"), "_fine")
+
+
+def _range_of(at: Column) -> Column:
+    """Number of the range that ``at`` falls into: splitters not above it, looked
+    up in the coarse and then in one fine list; 0 for an entity that is not split."""
+    group = F.size(F.filter("_coarse", lambda s: s <= at))
+    inside = F.size(F.filter(F.get("_fine", group - 1), lambda s: s <= at))
+    return F.when(F.col("_coarse").isNull() | (group == 0), F.lit(0)).otherwise((group - 1) * FINE + inside)
+
+
+_KEYS, _RANGED = ["_e", "_e_null"], ["_e", "_e_null", "_range"]
+
+
+def dealt_by_range(df: DataFrame, entity: str, order: list[str], tiebreak: list[str],
+                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """The rows, dealt by entity and range: with NULL-safe keys of the entity
+    (``_e, _e_null``), the number of the row's ``_range``, and ``_split``, whether
+    the entity has more than one."""
+    rows = whole(df.withColumns({"_e": F.coalesce(F.col(entity).cast("string"), F.lit("")), "_e_null": F.col(entity).isNull()}))
+    at = F.struct(*order, *tiebreak)
+    # at most one row per LEAST_SAMPLED sampled ones
+    cuts = F.broadcast(_splitters(rows, _KEYS, at, rows_per_range))
+    ranged = rows.join(cuts, _KEYS, "left").withColumns({"_range": _range_of(at), "_split": F.col("_coarse").isNotNull()})
+    return whole(ranged.drop("_coarse", "_fine").repartition(*_RANGED))
 
 
 def sequence(df: DataFrame, entity: str, order: list[str], tiebreak: list[str],
              ordinal: str = "ordinal", total: str | None = "n",
-             slice_of: Column | None = None) -> DataFrame:
+             rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Add ``ordinal`` (1-based position of the row in its entity's
     ``order, tiebreak`` sequence, NULLs first) and ``total`` (rows of the
-    entity). ``order + tiebreak`` must be unique within an entity.
-
-    ``slice_of`` must not decrease along ``order``; by default it is the time
-    slice of ``order[0]``. A NULL entity is an entity of its own."""
-    slice_of = time_slice(order[0]) if slice_of is None else slice_of
-    # NULL-safe keys that a hash partitioning can carry
-    keyed = df.withColumns({"_e": F.coalesce(F.col(entity).cast("string"), F.lit("")),
-                            "_e_null": F.col(entity).isNull(), "_slice": slice_of}) \
-        .repartition("_e", "_e_null", "_slice")
-    sizes = keyed.groupBy("_e", "_e_null", "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    along = Window.partitionBy("_e", "_e_null").orderBy("_slice")
-    whole = Window.partitionBy("_e", "_e_null")
-    sizes = sizes.select(
-        "_e", "_e_null", "_slice",
+    entity). ``order + tiebreak`` must be unique within an entity; a NULL entity
+    is an entity of its own. ``df`` should hold only the columns needed: all of
+    them are dealt.
+
+    The result does not depend on ``rows_per_range``, which only sets how many
+    rows of one entity a task takes."""
+    dealt = dealt_by_range(df, entity, order, tiebreak, rows_per_range)
+    # one row per range of a split entity: MAX_RANGES of one entity at most
+    sizes = dealt.filter("_split").groupBy(*_RANGED).agg(F.count(F.lit(1)).alias("_rows"))
+    along, every = Window.partitionBy(*_KEYS).orderBy("_range"), Window.partitionBy(*_KEYS)
+    carry = sizes.select(
+        *_RANGED,
         F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(whole).alias("_total"))
-    inside = Window.partitionBy("_e", "_e_null", "_slice").orderBy(*order, *tiebreak)
-    out = keyed.withColumn("_rank", F.row_number().over(inside)).join(sizes, ["_e", "_e_null", "_slice"])
-    out = out.withColumn(ordinal, F.col("_before") + F.col("_rank"))
+        F.sum("_rows").over(every).alias("_total"))
+    inside = Window.partitionBy(*_RANGED).orderBy(*order, *tiebreak)
+    out = dealt.withColumn("_rank", F.row_number().over(inside))
+    if total:
+        out = out.withColumn("_here", F.count(F.lit(1)).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    out = out.join(F.broadcast(carry), _RANGED, "left").withColumn(ordinal, F.coalesce("_before", F.lit(0)) + F.col("_rank"))
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_e", "_e_null", "_slice", "_rank", "_before", "_total")
+        out = out.withColumn(total, F.coalesce("_total", "_here"))
+    return out.drop(*_RANGED, "_split", "_rank", "_here", "_before", "_total")
 
 
 def first_k(df: DataFrame, entity: str, order: list[str], tiebreak: list[str], k: int,

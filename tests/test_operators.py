@@ -15,6 +15,7 @@ from seqlens.operators import (drop_members, global_positions, grouped_median, k
                                tag_members)
 from seqlens.operators.games import game_sequence
 from seqlens.operators.sequence import first_k, latest_per_key
+from seqlens.operators.sequence import dealt_by_range as sequence_ranges
 from seqlens.sources import fixture
 
 
@@ -36,6 +37,21 @@ def test_sequence_equals_plain_window(spark, games):
     assert _rows(game_sequence(games), cols) == plain
 
 
+def test_hot_entity_is_spread_over_tasks(spark):
+    """A third of the rows belong to one owner: all in one week, all at one
+    instant, or without a time. Its ranges lie in many partitions, none of
+    which is much larger than asked for."""
+    for when in ("timestamp_seconds(1735689600 + id * 7919 % 600000)", "timestamp_seconds(1735689600)", "cast(null as timestamp)"):
+        df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("o"), F.col("id") % 500)).alias("owner"),
+                                        F.concat(F.lit("0x0000"), F.col("id")).alias("id"), F.expr(when).cast("timestamp_ntz").alias("ts"))
+        out = sequence(df, "owner", ["ts"], ["id"], rows_per_range=1000)
+        cols = ["owner", "id", "ordinal", "n"]
+        assert _rows(out, cols) == _rows(window_sequence(df, "owner", ["ts"], ["id"]), cols)
+        dealt = sequence_ranges(df, "owner", ["ts"], ["id"], rows_per_range=1000).filter("owner = 'hot'").groupBy("_range").count().collect()
+        assert len(dealt) >= 10 and max(r["count"] for r in dealt) <= 3000
+        assert sequence_ranges(df, "owner", ["ts"], ["id"], rows_per_range=1000).filter("owner <> 'hot' and _range <> 0").count() == 0
+
+
 def test_first_k_equals_plain_window(spark, games):
     cols = ["owner", "id", "game_no"]
     plain = window_sequence(games, "owner", ["executed_at"], ["id"], ordinal="game_no").filter("game_no <= 3")
@@ -178,18 +194,18 @@ def test_overlap(spark):
 
 
 def test_hot_owner_is_spread_over_tasks(spark):
-    """An owner with a third of all rows is dealt to several tasks by slices of
+    """An owner with a third of all rows is dealt to several tasks by ranges of
     time, and numbered right."""
     t0 = dt.datetime(2025, 1, 1)
     rows = [("hot", i, t0 + dt.timedelta(hours=i)) for i in range(3000)]
     rows += [(f"o{i % 300:03d}", 10_000 + i, t0 + dt.timedelta(hours=i)) for i in range(6000)]
     df = spark.createDataFrame(rows, "owner string, id long, ts timestamp_ntz")
-    plan = sequence(df, "owner", ["ts"], ["id"])
+    plan = sequence(df, "owner", ["ts"], ["id"], rows_per_range=500)
     hot = plan.filter(F.col("owner") == "hot").agg(F.min("ordinal"), F.max("ordinal"), F.max("n")).first()
     assert tuple(hot) == (1, 3000, 3000)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        tasks = sequence(df, "owner", ["ts"], ["id"]).withColumn("task", F.spark_partition_id())
+        tasks = sequence(df, "owner", ["ts"], ["id"], rows_per_range=500).withColumn("task", F.spark_partition_id())
         per = {r.task: r["count"] for r in tasks.groupBy("task").count().collect()}
         assert tasks.filter("owner = 'hot'").select("task").distinct().count() >= 4
         assert max(per.values()) <= 2 * 9000 / len(per)

@@ -6,7 +6,6 @@ import datetime as dt
 from hypothesis import given, settings, strategies as st
 
 from seqlens.operators import grouped_median, quantile_tiers, sequence
-from seqlens.operators.sequence import time_slice
 from plain import window_ntile, window_sequence
 
 T0 = dt.datetime(2025, 1, 1)
@@ -30,9 +29,9 @@ def test_sequence_equals_window(spark, rows, parts):
     df = spark.createDataFrame(data, "owner string, id long, ts timestamp_ntz, sc long")
     cols = ["owner", "id", "ordinal", "n"]
     plain = _rows(window_sequence(df, "owner", ["ts"], ["id"]), cols)
-    # slices of a minute: many slices for each owner
-    split = _rows(sequence(df.repartition(parts), "owner", ["ts"], ["id"], slice_of=time_slice("ts", 60)), cols)
-    assert plain == split
+    # ranges of about two rows: many for each owner
+    split = _rows(sequence(df.repartition(parts), "owner", ["ts"], ["id"], rows_per_range=4), cols)
+    assert plain == split == _rows(sequence(df, "owner", ["ts"], ["id"]), cols)
 
 
 @settings(max_examples=8, deadline=None)
