@@ -4,10 +4,13 @@ express them."""
 from __future__ import annotations
 
 import corpus_pipeline
+from seqlens.llm.bpe_codec import op12_bpe_codec
+from seqlens.llm.conversation_repair import op11_conversation_repair
 from seqlens.llm.jaccard_join import op1_ngram_jaccard_join
 from seqlens.llm.decontaminate import op2_benchmark_decontamination
 from seqlens.llm.language_id import op9_language_id
 from seqlens.llm.licence_scan import op7_licence_scan
+from seqlens.llm.merkle_manifest import op13_merkle_manifest
 from seqlens.llm.mixing import op4_source_mixing
 from seqlens.llm.oracle import ORACLE as SQL
 from seqlens.llm.quality_classifier import op10_quality_classifier
@@ -27,6 +30,9 @@ QUERIES = {f.__name__: f for f in (
     op8_repeated_substrings,
     op9_language_id,
     op10_quality_classifier,
+    op11_conversation_repair,
+    op12_bpe_codec,
+    op13_merkle_manifest,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
 
