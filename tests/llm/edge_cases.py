@@ -35,3 +35,21 @@ def edge_rows():
 
 
 EDGE_TEXTS = [r[1] for r in edge_rows()]
+
+
+TURNS = "conv_id long, turn long, role string, text string, conv string, gone string, fault string, seen string, `at` string"
+
+
+def edge_turns():
+    """Conversations with nulls in every column, ties, repeats, gaps, every role."""
+    rnd = random.Random(4)
+    texts = ["a.", "b!", "c", "d?", "e", "", "  ", "f.\n", "g", None, "h... x", "\xa0", "é.", "long " * 3000 + "."]
+    rows = []
+    for conv in [*range(60), None]:
+        for k in range(rnd.randrange(12)):
+            text = rnd.choice(texts)
+            if text and rnd.random() < 0.6:
+                text += str(rnd.randrange(9)) + rnd.choice(["", ".", "!"])
+            turn = rnd.choice([None, k, k, k, k, k + 3, k - 1])
+            rows.append((conv, turn, rnd.choice(["user", "assistant", "user", "assistant", "system", "tool", None, "", "U", "ux"]), text) + ("x",) * 5)
+    return rows + [(conv, 0, "user", "Alone.") + ("x",) * 5 for conv in range(100, 180)]  # some are dropped whole

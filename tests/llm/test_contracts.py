@@ -6,7 +6,7 @@ import random
 import brute
 import pytest
 from corpus_fixtures import edges, nothing, small, workers  # noqa: F401
-from edge_cases import edge_rows, prose
+from edge_cases import TURNS, edge_rows, edge_turns, prose
 
 from seqlens.llm import queries
 
@@ -25,9 +25,10 @@ def folder(spark, edges, nothing, tmp_path):
     """Folders like the test tables: edge cases, and no rows."""
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    talks = spark.createDataFrame(edge_turns(), TURNS)
 
     def make(kind):
-        for name, df in (("documents", edges if kind == "edges" else nothing), ("benchmark", items), ("labels", labels)):
+        for name, df in (("documents", edges if kind == "edges" else nothing), ("benchmark", items), ("labels", labels), ("conversations", talks)):
             df.where("true" if kind == "edges" else "false").coalesce(2).write.parquet(f"{tmp_path}/{kind}/{name}.parquet")
         return f"{tmp_path}/{kind}"
 
@@ -88,4 +89,4 @@ def test_edge_cases_run(spark, folder, name):
 
 def test_ops_carry_a_query_each():
     names = sorted(queries.QUERIES)
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
