@@ -9,10 +9,12 @@ group, one task does 80 % of the work. Here the median is an aggregate:
   a value -> count map per group and task, so the shuffle carries at most
   one entry per distinct value per task; equal to the middle-rows mean. For
   values from a bounded domain (scores).
-* ``method="histogram"`` — for values with unboundedly many distinct values:
-  rows are counted per (group, value), the counts are summed per value range,
-  running sums over the ranges find the one or two that hold the middle rows,
-  and only those ranges are numbered by value. No group is in one buffer.
+* ``method="histogram"`` — for values with unboundedly many distinct values: a
+  value becomes a 64-bit number in the same order, and the middle rows are narrowed
+  down 16 bits at a time. Each pass counts the rows of the bins that hold a middle
+  row, at most 65,536 counts to a bin, and picks the next, finer bin from running
+  sums; after four passes a bin is one value. Only counts are shuffled, and no
+  group, however large or skewed, is in one buffer or one window.
 
 Both are exact; ``percentile_approx`` is not used.
 """
@@ -21,9 +23,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Width of a value range of the histogram method, in units of the value.
-RANGE_WIDTH = 64
+DIGIT_BITS, KEY_BITS = 16, 64
 
 
 def median_of(value: str | Column) -> Column:
@@ -32,8 +34,7 @@ def median_of(value: str | Column) -> Column:
 
 
 def grouped_median(df: DataFrame, keys: list[str], value: str, median: str = "median",
-                   count: str | None = "rows", method: str = "exact",
-                   range_width: float = RANGE_WIDTH) -> DataFrame:
+                   count: str | None = "rows", method: str = "exact") -> DataFrame:
     """One row per group: ``keys``, ``count`` (non-NULL values) and ``median``.
 
     A group without a value has a NULL median and count 0 by ``"exact"``, and
@@ -44,32 +45,68 @@ def grouped_median(df: DataFrame, keys: list[str], value: str, median: str = "me
             aggs.insert(0, F.count(value).alias(count))
         return df.groupBy(*keys).agg(*aggs)
     if method == "histogram":
-        out = _histogram_median(df, keys, value, median, count or "_count", range_width)
+        out = _histogram_median(df, keys, value, median, count or "_count")
         return out if count else out.drop("_count")
     raise ValueError(f"unknown median method {method!r}")
 
 
-def _histogram_median(df: DataFrame, keys: list[str], value: str, median: str, count: str,
-                      range_width: float) -> DataFrame:
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    hist = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f")) \
-        .withColumn("_range", F.floor(F.col("_v") / F.lit(range_width)))
-    ranges = hist.groupBy(*keys, "_range").agg(F.sum("_f").alias("_rf"))
-    along = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumns({
-        "_before": F.coalesce(F.sum("_rf").over(along), F.lit(0)),
-        "_c": F.sum("_rf").over(Window.partitionBy(*keys))})
-    lo, hi = F.floor((F.col("_c") + 1) / 2), F.floor((F.col("_c") + 2) / 2)
-    middle = ranges.filter((F.col("_before") < hi) & (F.col("_before") + F.col("_rf") >= lo))
-    cond = F.col("h._range") == F.col("m._range")
+def order_key(df: DataFrame, value: str) -> Column:
+    """A bigint in the order of ``value`` (whole numbers, or floating point with
+    NaN last and both zeros equal, as Spark sorts them)."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.col(value).cast("bigint")
+    if not isinstance(kind, (T.FloatType, T.DoubleType)):
+        raise TypeError(f"{value}: the histogram median takes whole or floating-point numbers, not {kind.simpleString()}")
+    x = F.col(value).cast("double")
+    size, two = F.abs(x), F.lit(2.0)
+    # exponent, put right where the logarithm was rounded over a power of two
+    rough = F.floor(F.log2(size))
+    e = F.when(size < F.pow(two, rough), rough - 1).when(size >= F.pow(two, rough + 1), rough + 1).otherwise(rough)
+    mantissa = ((size / F.pow(two, e) - 1) * F.lit(2.0 ** 52)).cast("bigint")
+    step = F.lit(1 << 52)
+    key = (F.when(F.isnan(x), F.lit((2047 << 52) + 1))
+            .when(size == F.lit(float("inf")), F.lit(2047 << 52))
+            .when(size < F.lit(2.0 ** -1022), (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint"))
+            .otherwise((e.cast("bigint") + 1023) * step + mantissa))
+    return F.when((x < 0) & ~F.isnan(x), -key).otherwise(key)
+
+
+def _same(left: str, right: str, keys: list[str]) -> Column:
+    cond = F.lit(True)
     for k in keys:
-        cond = cond & F.col(f"h.{k}").eqNullSafe(F.col(f"m.{k}"))
-    picked = hist.alias("h").join(middle.alias("m"), cond).select(
-        *[F.col(f"h.{k}").alias(k) for k in keys], "h._v", "h._f", "h._range", "m._before", "m._c")
-    inside = Window.partitionBy(*keys, "_range").orderBy("_v")
-    upto = F.col("_before") + F.sum("_f").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    picked = picked.withColumn("_upto", upto)
-    first = F.col("_upto") - F.col("_f")
-    low = F.max(F.when((first < lo) & (F.col("_upto") >= lo), F.col("_v")))
-    high = F.max(F.when((first < hi) & (F.col("_upto") >= hi), F.col("_v")))
-    return picked.groupBy(*keys).agg(F.max("_c").alias(count), ((low + high) / 2).cast("double").alias(median))
+        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return cond
+
+
+def _histogram_median(df: DataFrame, keys: list[str], value: str, median: str, count: str) -> DataFrame:
+    """Radix narrowing. ``_prefix``: the leading bits of the bin that holds a middle
+    row; ``_ranks``: the middle rows' places inside it, one or two; ``_c``: rows of
+    the group."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), order_key(df, value).alias("_key"))
+    bins = None
+    for shift in range(KEY_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
+        last = shift == 0
+        # the first pass sees every row; the later ones those in the chosen bins
+        seen = rows.withColumn("_prefix", F.lit(0).cast("bigint")) if bins is None else rows.alias("r").join(
+            bins.select(*keys, "_prefix").alias("b"),
+            _same("r", "b", keys) & (F.shiftright(F.col("r._key"), shift + DIGIT_BITS) == F.col("b._prefix"))).select("r.*", "b._prefix")
+        finer = seen.groupBy(*keys, "_prefix", F.shiftright("_key", shift).alias("_bin")) \
+            .agg(F.count(F.lit(1)).alias("_f"), *([F.max("_v").alias("_v")] if last else []))
+        inside = Window.partitionBy(*keys, "_prefix").orderBy("_bin")  # 2 ** DIGIT_BITS rows at most
+        upto = F.sum("_f").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        if bins is None:
+            whole = F.sum("_f").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            finer = finer.withColumns({"_upto": upto, "_c": whole})
+            lo, hi = F.floor((F.col("_c") + 1) / 2), F.floor((F.col("_c") + 2) / 2)
+            finer = finer.withColumn("_ranks", F.array(lo, hi))
+        else:
+            finer = finer.withColumn("_upto", upto).alias("f").join(
+                bins.alias("b"), _same("f", "b", [*keys, "_prefix"])).select("f.*", "b._c", "b._ranks")
+        start = F.col("_upto") - F.col("_f")
+        here = F.filter("_ranks", lambda r: (r > start) & (r <= F.col("_upto")))
+        picked = finer.withColumn("_here", here).filter(F.size("_here") > 0)
+        bins = picked.select(*keys, F.col("_bin").alias("_prefix"), "_c", F.transform("_here", lambda r: r - start).alias("_ranks"),
+                             *(["_v"] if last else []))
+    # one bin with both middle rows, or two with one each
+    return bins.groupBy(*keys).agg(F.max("_c").alias(count), ((F.min("_v") + F.max("_v")) / 2).alias(median))

@@ -1,70 +1,58 @@
-"""Exact NTILE without a single-partition window over the rows.
+"""Exact NTILE over any value domain, without a window over the rows.
 
-``Window.orderBy(...)`` with no partition key moves every row into one task.
-Here a row's global position is put together from three counts:
+``NTILE() OVER (ORDER BY ...)`` has no partition key and moves every row into one
+task. Here the rows are dealt into ranges of (value, tie-break) by splitters that
+Spark samples, and sorted inside each range. A row's global position is then
 
-    rows with a smaller value
-    + rows with its value in earlier slices of the tie-break
-    + its index inside its (value, slice)
+    rows in the ranges before + its index inside its range
 
-The first comes from the table of distinct values, the second from the table of
-(value, slice) counts; both are small aggregates. Only the third is a window over
-rows, dealt by (value, slice), so a value that very many rows share is split.
-
-Meant for values from a bounded domain (medians of scores from 1 to 3000 have
-fewer than 6,000 distinct values): the window over distinct values has one
-partition.
+The first comes from the table of range sizes, one row per range, which is the only
+thing that a window without a key sees; the second is the running number of the
+sorted range. As the tie-break takes part in the splitters, a value that very many
+rows share is split as well, whatever its tie-breaks look like.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlens.functions.scalars import ntile_of_position
+from seqlens.operators.sequence import whole
 
-# Leading characters of the tie-break text that make a slice: "0x" and four
-# digits of an address.
-SLICE_CHARS = 6
+_PART_BITS = 33  # of monotonically_increasing_id, below the partition's number
 
 
-def global_positions(df: DataFrame, value: str, tiebreak: str, pos: str = "_pos",
-                     total: str | None = None, slice_of: Column | None = None) -> DataFrame:
+def global_positions(df: DataFrame, value: str, tiebreak: str | list[str], pos: str = "_pos",
+                     total: str | None = None, ranges: int | None = None) -> DataFrame:
     """Add ``pos``: the exact 0-based position of each row by ``value``, then
     ``tiebreak`` (unique), ascending, NULLs first; and the row count as ``total``.
 
-    ``slice_of`` must not decrease along ``tiebreak`` and never be NULL; by
-    default it is the leading characters of its text, for text tie-breaks."""
-    if slice_of is None:
-        slice_of = F.coalesce(F.substring(F.col(tiebreak), 1, SLICE_CHARS), F.lit(""))
-    # NULL-safe key of the value, with a flag that sorts NULL first
-    keyed = df.withColumns({"_known": F.col(value).isNotNull(),
-                            "_value": F.coalesce(F.col(value), F.lit(0).cast(df.schema[value].dataType)),
-                            "_slice": slice_of}).repartition("_known", "_value", "_slice")
-    sizes = keyed.groupBy("_known", "_value", "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    values = sizes.groupBy("_known", "_value").agg(F.sum("_rows").alias("_rows"))
-    # one row per distinct value: the only window without a partition key
-    below = Window.orderBy("_known", "_value").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("_known", "_value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    values = values.select("_known", "_value", F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_below"),
-                           F.sum("_rows").over(every).alias("_all"))
-    earlier = Window.partitionBy("_known", "_value").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_known", "_value", "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_earlier")) \
-        .join(values, ["_known", "_value"])
-    inside = Window.partitionBy("_known", "_value", "_slice").orderBy(tiebreak)
-    out = keyed.withColumn("_index", F.row_number().over(inside) - 1).join(sizes, ["_known", "_value", "_slice"])
-    out = out.withColumn(pos, F.col("_below") + F.col("_earlier") + F.col("_index"))
+    ``ranges``: ranges to deal the rows into (by default the session's number of
+    shuffle partitions). It is fixed, so the sizes and the rows number the ranges
+    alike."""
+    order = [value, *([tiebreak] if isinstance(tiebreak, str) else tiebreak)]
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = whole(df.repartitionByRange(ranges, *order))
+    sizes = dealt.groupBy(F.spark_partition_id().cast("bigint").alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    along = Window.orderBy("_part")  # at most ``ranges`` rows
+    offsets = sizes.select("_part",
+                           F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"),
+                           F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    placed = dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = placed.withColumns({"_part": F.shiftright("_at", _PART_BITS), "_index": F.col("_at").bitwiseAND(F.lit((1 << _PART_BITS) - 1))})
+    out = placed.join(F.broadcast(offsets), "_part").withColumn(pos, F.col("_below") + F.col("_index"))
     if total:
         out = out.withColumn(total, F.col("_all"))
-    return out.drop("_known", "_value", "_slice", "_index", "_below", "_earlier", "_all")
+    return out.drop("_part", "_at", "_index", "_below", "_all")
 
 
-def quantile_tiers(df: DataFrame, k: int, value: str, tiebreak: str, tier: str = "tier",
-                   slice_of: Column | None = None) -> DataFrame:
+def quantile_tiers(df: DataFrame, k: int, value: str, tiebreak: str | list[str], tier: str = "tier",
+                   ranges: int | None = None) -> DataFrame:
     """``NTILE(k) OVER (ORDER BY value, tiebreak)`` as a distributed plan.
 
     Equal to SQL NTILE: the first ``N mod k`` tiers get one row more.
     """
-    ranked = global_positions(df, value, tiebreak, total="_total", slice_of=slice_of)
+    ranked = global_positions(df, value, tiebreak, total="_total", ranges=ranges)
     return ranked.withColumn(tier, ntile_of_position(F.col("_pos"), F.col("_total"), k)) \
         .drop("_pos", "_total")

@@ -22,6 +22,7 @@ from seqlens.operators.games import (first_games, official_games, scoped_games,
 from seqlens.operators.median import grouped_median
 from seqlens.operators.quality import (address_quality, key_uniqueness, score_quality,
                                        sequence_load)
+from seqlens.operators.ranking import quantile_tiers
 from seqlens.operators.sequence import latest_per_key
 from seqlens.plans import landing, reports
 from seqlens.sources import fixture
@@ -241,7 +242,19 @@ def lifetime_tiers_short(spark, d):
 def histogram_median(spark, d):
     """Exact medians per event type by running counts over value ranges."""
     ev = fixture.events(spark, d)
-    return grouped_median(ev, ["event_type"], "value", median="median_value", count="rows", method="histogram", range_width=4)
+    return grouped_median(ev, ["event_type"], "value", median="median_value", count="rows", method="histogram")
+
+
+def price_medians(spark, d):
+    """Exact medians of a continuous value, by radix narrowing."""
+    items = fixture.lineitem(spark, d)
+    return grouped_median(items, ["l_returnflag"], "l_extendedprice", median="median_price", count="rows", method="histogram")
+
+
+def price_deciles(spark, d):
+    """NTILE(10) of every line by its price, a continuous value, and its key."""
+    items = fixture.lineitem(spark, d).select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return quantile_tiers(items, 10, "l_extendedprice", ["l_orderkey", "l_linenumber"], tier="decile")
 
 
 def latest_event(spark, d):
@@ -295,6 +308,8 @@ QUERIES: dict[str, Query] = {
     "retention_split_short": retention_split_short,
     "lifetime_tiers_short": lifetime_tiers_short,
     "histogram_median": histogram_median,
+    "price_medians": price_medians,
+    "price_deciles": price_deciles,
     "latest_event": latest_event,
     "landed_experience_tiers": landing.landed_experience_tiers,
     "landed_counts": landing.landed_counts,

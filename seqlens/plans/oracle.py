@@ -277,6 +277,13 @@ FROM v GROUP BY 1"""),
     "histogram_median": """
 SELECT event_type, count(value) AS rows, CAST(median(value) AS DOUBLE) AS median_value
 FROM events GROUP BY event_type""",
+    "price_medians": """
+SELECT l_returnflag, count(l_extendedprice) AS rows, CAST(median(l_extendedprice) AS DOUBLE) AS median_price
+FROM lineitem GROUP BY l_returnflag""",
+    "price_deciles": """
+SELECT l_orderkey, l_linenumber, l_extendedprice,
+       CAST(ntile(10) OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS BIGINT) AS decile
+FROM lineitem""",
     "latest_event": """
 SELECT user_id, event_id, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",

@@ -5,7 +5,7 @@ Input of most reports: the output of ``operators.games.sequenced_games`` —
 counted over all in-scope games (invalid scores included). Validity is
 applied here, after numbering.
 
-Plan notes. After numbering the rows are dealt by owner and slice of time.
+Plan notes. After numbering the rows are dealt by owner, large owners by ranges.
 Medians are partial aggregates (see ``operators.median``): an owner or tier with
 most of the rows costs one partial map per task, not one task.
 """
@@ -140,17 +140,20 @@ def skill_persistence(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
                       windows=K.PERSISTENCE_WINDOWS) -> DataFrame:
     """Median valid score per (early-skill tier, later window of ordinals).
 
-    The numbered games feed both the tiers and the later windows; both branches
-    share the exchanges below the numbering."""
+    One pass over the numbered games: each player becomes one row, with the early
+    median and the later scores by window (at most ``windows[-1]`` of them). The
+    tiers are cut over the players, which carry their scores along, so no game is
+    joined to a tier; the scores of a (tier, window) then meet as value -> count
+    maps, one per task."""
     e = _persistence_base(seq, min_games, windows[-1])
-    tiers = _skill_tiers(e, early, k).select(F.col("player").alias("owner"), "skill_tier")
-    later = e.filter((F.col("game_no") > early) & (F.col("game_no") <= windows[-1]))
     win, _ = bucketize("game_no", [(w, str(w)) for w in windows[:-1]], str(windows[-1]))
-    # Plain join on owner: both sides are per-player bounded (at most
-    # windows[-1] rows per player on the left); AQE broadcasts the tier table
-    # when it is small and splits skewed partitions otherwise.
-    j = later.join(tiers, "owner").withColumn("later_window", win.cast("bigint"))
-    return _median_report(j, ["skill_tier", "later_window"], "games") \
+    is_early = F.col("game_no") <= early
+    later = F.when(~is_early, F.struct(win.cast("bigint").alias("w"), "sc"))
+    players = e.groupBy(F.col("owner").alias("player")).agg(
+        median_of(F.when(is_early, F.col("sc"))).alias("e10"), F.collect_list(later).alias("later"))
+    tiers = quantile_tiers(players.filter(F.col("e10").isNotNull()), k, "e10", "player", tier="skill_tier")
+    cells = tiers.select("skill_tier", F.explode("later").alias("g")).select("skill_tier", F.col("g.w").alias("later_window"), "g.sc")
+    return _median_report(cells, ["skill_tier", "later_window"], "games") \
         .orderBy("skill_tier", "later_window")
 
 

@@ -58,5 +58,7 @@ TEST_TABLES = {
     "lineitem": T.StructType([
         T.StructField("l_orderkey", T.LongType()),
         T.StructField("l_linenumber", T.IntegerType()),
+        T.StructField("l_extendedprice", T.DoubleType()),
+        T.StructField("l_returnflag", T.StringType()),
     ]),
 }

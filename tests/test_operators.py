@@ -14,6 +14,7 @@ from seqlens.operators import (drop_members, global_positions, grouped_median, k
                                overlap_counts, quantile_tiers, scoped_metadata, sequence,
                                tag_members)
 from seqlens.operators.games import game_sequence
+from seqlens.operators.median import order_key
 from seqlens.operators.sequence import first_k, latest_per_key
 from seqlens.operators.sequence import dealt_by_range as sequence_ranges
 from seqlens.sources import fixture
@@ -104,7 +105,7 @@ def test_global_positions_exact(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice([None, 0, 1, 2, 3]), i) for i in range(500)]
     df = spark.createDataFrame(rows, "k long, i long")
-    out = global_positions(df, "k", "i", total="tot", slice_of=F.floor(F.col("i") / 100))
+    out = global_positions(df, "k", "i", total="tot", ranges=7)
     ref = df.withColumn("p", F.row_number().over(Window.orderBy("k", "i")) - 1)
     got = {(r.k, r.i): (r._pos, r.tot) for r in out.collect()}
     assert all(got[(r.k, r.i)] == (r.p, 500) for r in ref.collect())
@@ -126,6 +127,42 @@ def test_median_methods_agree(spark):
     assert exact == hist == win
 
 
+def test_histogram_median_of_odd_values(spark):
+    """Signs, zeros, subnormals, powers of two, infinities and NaN keep their order."""
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.0, -1.0, 2.0, 3.0, 4.0, 0.1, 0.3, 1e300, -1e300, 8.0, 7.999999999999999,
+              8.000000000000002, 2.0 ** 1023, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), None, 1024.0, 1 / 3]
+    rnd = random.Random(5)
+    rows = [(g, rnd.choice(values)) for g in range(40) for _ in range(rnd.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "g long, v double")
+    keyed = df.filter("v is not null").select("v", order_key(df, "v").alias("k")).collect()
+    for a in keyed:
+        for b in keyed[:60]:
+            less = b.v != b.v and a.v == a.v or a.v < b.v
+            assert (a.k < b.k) == less
+    finite = df.filter("v is null or (not isnan(v) and abs(v) < 1e299)")
+    exact = _rows(grouped_median(finite, ["g"], "v").filter("rows > 0"), ["g", "rows", "median"])
+    assert _rows(grouped_median(finite, ["g"], "v", method="histogram"), ["g", "rows", "median"]) == exact
+
+
+def test_histogram_median_of_many_values_in_one_group(spark):
+    """A million distinct values, nearly all within one power of two, in one of
+    two groups, one of them without a name."""
+    df = spark.range(1_000_000).select(F.when(F.col("id") % 1000 == 0, "small").alias("g"), (1 + F.col("id") / 2e6).alias("v"))
+    assert _rows(grouped_median(df, ["g"], "v", method="histogram").filter("g is null"), ["rows", "median"]) == \
+        [tuple(df.filter("g is null").agg(F.count("v"), F.percentile("v", 0.5)).first())]
+
+
+def test_global_positions_of_ties(spark):
+    """One value for nearly all rows, tie-breaks with a common beginning, NULLs."""
+    df = spark.range(5000).select(F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.lit(7.25)).alias("v"),
+                                  F.concat(F.lit("0x" + "0" * 40), F.lpad(F.col("id").cast("string"), 6, "0")).alias("p"))
+    out = {r.p: r._pos for r in global_positions(df, "v", "p", ranges=13).collect()}
+    ref = df.withColumn("n", F.row_number().over(Window.orderBy("v", "p")) - 1).collect()
+    assert out == {r.p: r.n for r in ref}
+    dealt = global_positions(df, "v", "p", ranges=13).groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) >= 10 and max(r["count"] for r in dealt) < 1000
+
+
 def test_median_even_and_odd(spark):
     df = spark.createDataFrame([(1, 10), (1, 20), (2, 10), (2, 20), (2, 90), (3, 5)],
                                "g long, sc long")

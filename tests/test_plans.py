@@ -147,6 +147,50 @@ def test_numbering_shuffles_the_games_once(spark, name):
     assert len([x for x in lines if "ReusedExchange" in x and "REPARTITION_BY_COL" in x]) == 1
 
 
+def _adaptive_plan(spark, make):
+    """The plan that ran, without broadcasts of inputs: no node that turned out
+    to have no rows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = make()
+        df.collect()
+        return _plan(df).split("Initial Plan")[0].splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_persistence_is_one_pass(spark):
+    """Players, not games, meet the tiers: the only sort-merge joins are those of
+    the three token tables."""
+    make = lambda: E.queries()["skill_persistence"](spark, SF001)
+    static, ran = _static_plan(spark, make), _adaptive_plan(spark, make)
+    for lines in (static, ran):
+        assert len([x for x in lines if "FileScan parquet" in x]) == 3
+        assert len(_ran(lines, "REPARTITION_BY_COL")) == 1
+    assert len([x for x in ran if "SortMergeJoin" in x]) == 2
+    assert len(_ran(ran, r" Exchange ")) <= 10
+
+
+def test_no_window_without_a_key_sees_rows(spark):
+    """NTILE: the window without a key runs over range sizes, and the rows are
+    dealt by range once."""
+    lines = _static_plan(spark, lambda: E.queries()["price_deciles"](spark, SF001))
+    assert len(_ran(lines, "Exchange rangepartitioning")) == 1 and len([x for x in lines if "FileScan" in x]) == 1
+    windows = [i for i, x in enumerate(lines) if "Window [" in x]
+    assert len(windows) == 1
+    below = " ".join(lines[windows[0]:windows[0] + 5])
+    assert "SinglePartition" in below and "HashAggregate(keys=[_groupingexpression" in below
+
+
+def test_histogram_median_shuffles_counts(spark):
+    """Values are counted before any exchange; the passes read counts."""
+    lines = _static_plan(spark, lambda: E.queries()["price_medians"](spark, SF001))
+    for i, x in enumerate(lines):
+        if "Exchange hashpartitioning(l_returnflag" in x and "_bin" in x and "Reused" not in x:
+            assert "partial_count" in lines[i + 1]
+
+
 def test_bucketed_sink_writes_one_file_per_bucket(spark, tmp_path):
     from seqlens.sources import sinks
     df = spark.range(10_000).selectExpr("cast(id AS string) AS id").repartition(20)
