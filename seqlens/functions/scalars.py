@@ -96,7 +96,7 @@ def same_number(col: Column | str, value: str) -> Column:
     text = F.lower(F.trim(_c(col)))
     digits = f"{int(value, 16):x}".lstrip("0")
     same = F.ltrim(text, F.lit("0x")) == digits
-    return same if digits else same & text.rlike("^(0x)?0+$")
+    return same & text.rlike("^(0x)?[0-9a-f]+$")
 
 
 def bucketize(col: Column | str, bounds: Sequence[tuple[int, str]], otherwise: str

@@ -9,6 +9,7 @@ from seqlens.functions.constants import (COHORT_MEMBER, COHORT_OTHER, MINT_FROM,
                                          MINT_FROM_BLOCK, MINT_TO_BLOCK, OG_CONTRACT,
                                          TRANSFER_SELECTOR)
 from seqlens.functions.scalars import canonical_address, normalise_address, same_number
+from seqlens.sources.readers import LANDING
 
 
 def _member_side(members: DataFrame, member_col: str) -> DataFrame:
@@ -40,15 +41,20 @@ def mint_receivers(events: DataFrame, contract: str = OG_CONTRACT,
     the block window (inclusive): ``receiver`` = ``keys[2]`` as written.
 
     Contract, selector and sender are compared by value, whatever their
-    spelling. Events landed by ``sinks.land_mint_events`` (with a
-    ``block_range`` partition column) hold them in canonical text, so there the
-    predicates reach the scan as they are; with ``block_range`` (the landing's
-    range size) the window also prunes partition folders."""
+    spelling. Events of ``readers.read_landed_mints`` bring the manifest of their
+    landing along: its range size turns the window into a filter of partition
+    folders, and where it says that the text is canonical the predicates reach the
+    scan as they are. ``block_range`` only states the range size that the caller
+    counts on: if the landing has another, or has no manifest, that is an error."""
     wanted = (contract, selector, mint_from)
-    landed = "block_range" in events.columns
-    if landed and block_range is not None:
-        events = events.filter(F.col("block_range").between(from_block // block_range,
-                                                             to_block // block_range))
+    manifest = events.schema["block_range"].metadata.get(LANDING) if "block_range" in events.columns else None
+    if block_range is not None and block_range != (manifest or {}).get("block_range"):
+        raise ValueError(f"the events are landed by ranges of {manifest['block_range']} blocks, not {block_range}" if manifest else
+                         "these events have no landing manifest: read them by readers.read_landed_mints")
+    if manifest:
+        size = manifest["block_range"]
+        events = events.filter(F.col("block_range").between(from_block // size, to_block // size))
+    landed = bool(manifest and manifest["canonical"])
     columns = [F.col("address"), F.get(F.col("keys"), 0), F.get(F.col("keys"), 1)]
     match = F.col("block_number").between(from_block, to_block)
     for column, value in zip(columns, wanted):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlens.functions.constants import (OFFICIAL_MINTER, OFFICIAL_SETTINGS_ID,
@@ -30,7 +30,8 @@ def scoped_metadata(metadata: DataFrame, settings_id: int = OFFICIAL_SETTINGS_ID
 def official_games(metadata: DataFrame, scores: DataFrame, owners: DataFrame,
                    settings_id: int = OFFICIAL_SETTINGS_ID, minter: str | None = OFFICIAL_MINTER,
                    registry: DataFrame | None = None, minter_address: str | None = None,
-                   decode_mode: str = "reference", keep_text: bool = False) -> DataFrame:
+                   decode_mode: str = "reference", keep_text: bool = False,
+                   duplicates: str = "keep") -> DataFrame:
     """``owner, id, executed_at, sc`` for every in-scope game; with
     ``keep_text`` also the score as written (``score``).
 
@@ -38,12 +39,24 @@ def official_games(metadata: DataFrame, scores: DataFrame, owners: DataFrame,
     it once, and the second join reuses the first join's partitioning. Tables
     bucketed on the id join without any exchange. Scores are decoded before the
     joins, so the text is not shuffled.
+
+    A token with more than one row in a table would be several games and inflate
+    ordinals and counts. With ``duplicates="refuse"`` the query fails when it meets
+    such a token: the joined rows are counted per id on the partitioning that the
+    joins left, without another scan or exchange.
     """
     m = scoped_metadata(metadata, settings_id, minter, registry, minter_address)
     text = ["score"] if keep_text else []
     s = scores.select("id", "executed_at", *text, decode_hex_score("score", mode=decode_mode).alias("sc"))
     o = owners.select(F.col("token_id").alias("id"), "owner")
-    return m.join(s, "id").join(o, "id").select("owner", "id", "executed_at", *text, "sc")
+    g = m.join(s, "id").join(o, "id").select("owner", "id", "executed_at", *text, "sc")
+    if duplicates == "keep":
+        return g
+    if duplicates != "refuse":
+        raise ValueError(f"duplicates: 'keep' or 'refuse', not {duplicates!r}")
+    twice = F.raise_error(F.concat(F.lit("more than one row of a token table for token "), F.col("id")))
+    counted = g.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    return counted.filter(F.when(F.col("_copies") > 1, twice.cast("boolean")).otherwise(F.lit(True))).drop("_copies")
 
 
 def game_sequence(games: DataFrame, ordinal: str = "game_no", total: str | None = "n") -> DataFrame:

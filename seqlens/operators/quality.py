@@ -27,6 +27,13 @@ def key_uniqueness(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def duplicate_tokens(games: DataFrame) -> DataFrame:
+    """``id, copies`` of the tokens that are several games because a token table
+    has more than one row for them. Counted on the joins' own partitioning, with
+    no other scan or exchange."""
+    return games.groupBy("id").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+
+
 def score_class(score: str = "score", sc: str = "sc", lo: int = VALID_SCORE_MIN,
                 hi: int = VALID_SCORE_MAX):
     canonical = F.col(score).rlike("^0x[0-9a-f]{16}$")

@@ -20,8 +20,8 @@ from seqlens.operators.cohorts import (mint_players, mint_summary, overlap_count
 from seqlens.operators.games import (first_games, official_games, scoped_games, scoped_metadata,
                                      sequenced_games, valid)
 from seqlens.operators.median import grouped_median
-from seqlens.operators.quality import (address_quality, key_uniqueness, score_quality,
-                                       sequence_load)
+from seqlens.operators.quality import (address_quality, duplicate_tokens, key_uniqueness,
+                                       score_quality, sequence_load)
 from seqlens.operators.ranking import quantile_tiers
 from seqlens.operators.sequence import latest_per_key
 from seqlens.plans import landing, reports
@@ -193,6 +193,12 @@ def key_uniqueness_q(spark, d):
     })
 
 
+def duplicate_tokens_q(spark, d):
+    """Tokens that are several games: the owners of purchases are listed twice."""
+    t = fixture.token_tables(spark, d)
+    return duplicate_tokens(official_games(t.metadata, t.scores, fixture.twice_owned(spark, d)))
+
+
 def score_quality_q(spark, d):
     t = fixture.token_tables(spark, d)
     return score_quality(official_games(t.metadata, t.scores, t.owners, keep_text=True))
@@ -298,6 +304,7 @@ QUERIES: dict[str, Query] = {
     "lifetime_total_tiers": lifetime_total_tiers,
     "tiers_ordered": tiers_ordered,
     "key_uniqueness": key_uniqueness_q,
+    "duplicate_tokens": duplicate_tokens_q,
     "score_quality": score_quality_q,
     "sequence_load": sequence_load_q,
     "decode_spellings": decode_spellings,
@@ -313,4 +320,5 @@ QUERIES: dict[str, Query] = {
     "latest_event": latest_event,
     "landed_experience_tiers": landing.landed_experience_tiers,
     "landed_counts": landing.landed_counts,
+    "landed_mint_players": landing.landed_mint_players,
 }

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from seqlens.functions import constants as K
 from seqlens.operators.cohorts import drop_members, mint_players, mint_summary
 from seqlens.operators.games import first_games, game_sequence, official_games
-from seqlens.operators.quality import (address_quality, key_uniqueness, score_quality,
-                                       sequence_load)
+from seqlens.operators.quality import (address_quality, duplicate_tokens, key_uniqueness,
+                                       score_quality, sequence_load)
 from seqlens.operators.reuse import shared_table
 from seqlens.plans import reports
 from seqlens.sources.fixture import TokenTables
@@ -30,7 +30,7 @@ def read_landed(spark: SparkSession, metadata: str, scores: str, owners: str,
 
 def report_set(tables: TokenTables, members: DataFrame | None = None,
                mint_events: DataFrame | None = None, share: bool = True, decode_mode: str = "reference",
-               mints: dict | None = None, **scope) -> dict[str, DataFrame]:
+               mints: dict | None = None, duplicates: str = "refuse", **scope) -> dict[str, DataFrame]:
     """Every report. ``members`` (``addr``) feeds the cohort reports; without
     it, and with ``mint_events``, the member list is derived from the event log
     (players who also received a mint).
@@ -38,11 +38,13 @@ def report_set(tables: TokenTables, members: DataFrame | None = None,
     The numbered game fact feeds about ten reports: with ``share`` it is written
     once to the session's shared folder (one job, now), otherwise every report
     computes it. ``scope``: arguments of ``games.scoped_metadata``; ``mints``: of
-    ``cohorts.mint_receivers`` (give ``block_range`` for a landing that
-    ``sinks.land_mint_events`` wrote, and its folders are pruned)."""
+    ``cohorts.mint_receivers``. ``duplicates``: a token with several rows in a
+    table makes the reports fail (``"refuse"``) or counts as several games
+    (``"keep"``); ``duplicate_tokens`` of the result names such tokens."""
     mints = mints or {}
-    games = official_games(tables.metadata, tables.scores, tables.owners, decode_mode=decode_mode, keep_text=True, **scope)
-    fact = games.drop("score")
+    three = (tables.metadata, tables.scores, tables.owners)
+    games = official_games(*three, decode_mode=decode_mode, keep_text=True, **scope)
+    fact = official_games(*three, decode_mode=decode_mode, duplicates=duplicates, **scope)
     seq = game_sequence(fact)
     if share:
         seq = shared_table(seq, "numbered-games")
@@ -67,6 +69,7 @@ def report_set(tables: TokenTables, members: DataFrame | None = None,
         "token_scores": (tables.scores, ["id"]),
         "token_owners": (tables.owners, ["token_id"]),
     })
+    out["duplicate_tokens"] = duplicate_tokens(games)
     out["score_quality"] = score_quality(games)
     out["address_quality"] = address_quality(tables.owners)
     out["sequence_load"] = sequence_load(games)

@@ -50,8 +50,7 @@ def landed_counts(spark, sf_dir: str) -> DataFrame:
     sinks.write_sorted_list(members, "addr", f"{at}/members")
     sinks.write_list_array(members, "addr", f"{at}/members-array")
     sinks.land_mint_events(mints, f"{at}/mints")
-    landed = spark.read.parquet(f"{at}/mints")
-    found = mint_summary(mint_players(landed, block_range=sinks.BLOCK_RANGE))
+    found = mint_summary(mint_players(readers.read_landed_mints(spark, f"{at}/mints")))
     games = official_games(tables.metadata, tables.scores, tables.owners)
     items = {
         "metadata": tables.metadata, "scores": tables.scores, "owners": tables.owners, "games": games,
@@ -61,3 +60,11 @@ def landed_counts(spark, sf_dir: str) -> DataFrame:
     parts = [df.agg(F.lit(name).alias("item"), F.count(F.lit(1)).alias("rows")) for name, df in items.items()]
     parts += [found.select(F.lit(c).alias("item"), F.col(c).alias("rows")) for c in ("mints", "players")]
     return reduce(DataFrame.unionAll, parts)
+
+
+def landed_mint_players(spark, sf_dir: str) -> DataFrame:
+    """The mint report over a landing with ranges of another size, which its
+    manifest tells the report."""
+    at = _folder(spark)
+    sinks.land_mint_events(fixture.mint_events(spark, sf_dir), f"{at}/mints", block_range=30_000)
+    return mint_summary(mint_players(readers.read_landed_mints(spark, f"{at}/mints")))

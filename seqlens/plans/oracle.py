@@ -150,6 +150,12 @@ FROM v WHERE (CASE WHEN owner IN (SELECT addr FROM members) THEN 'og_veteran'
 GROUP BY game_no HAVING count(*) >= 30"""),
     "skill_persistence": _q("SELECT * FROM persistence"),
     "distinct_players": _q("SELECT owner FROM np"),
+    "landed_mint_players": _q("SELECT count(*) AS mints, count(DISTINCT addr_norm) AS players FROM mp"),
+    "duplicate_tokens": _q("""
+SELECT g.id, count(*) AS copies
+FROM games g JOIN (SELECT token_id FROM token_owners
+                   UNION ALL SELECT CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'purchase') o ON o.token_id = g.id
+GROUP BY 1 HAVING count(*) > 1"""),
     "mint_event_players": _q("SELECT count(*) AS mints, count(DISTINCT addr_norm) AS players FROM mp"),
     "veteran_overlap": _q("SELECT owner AS addr FROM np WHERE addr_norm IN (SELECT addr_norm FROM mp)"),
     "veteran_overlap_counts": _q("""

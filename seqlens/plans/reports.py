@@ -12,6 +12,8 @@ most of the rows costs one partial map per task, not one task.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +59,10 @@ def cohort_learning_curve(tables, members: DataFrame,
                           min_players: int = K.LEARNING_CURVE_MIN_PLAYERS,
                           **scope) -> DataFrame:
     """The learning curve of non-members only. Membership depends only on the
-    owner, so members are removed before numbering (fewer rows sorted)."""
-    seq = sequenced_games(tables, total=None,
-                          before_numbering=lambda g: drop_members(g, "owner", members),
-                          **scope)
+    owner, so members' tokens are removed from the owners table: their games are
+    neither joined nor shuffled with the others nor numbered."""
+    others = replace(tables, owners=drop_members(tables.owners, "owner", members))
+    seq = sequenced_games(others, total=None, **scope)
     return learning_curve(seq, min_players)
 
 

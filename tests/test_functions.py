@@ -86,3 +86,12 @@ def test_decode_column_and_name_agree(spark):
     df = spark.createDataFrame(rows, "s string")
     out = df.select(decode_hex_score("s").alias("a"), decode_hex_score(F.col("s")).alias("b")).collect()
     assert all(r.a == r.b for r in out)
+
+
+def test_same_number_takes_hex_text_only(spark):
+    from seqlens.functions.constants import OG_CONTRACT
+    from seqlens.functions.scalars import same_number
+    digits = OG_CONTRACT[2:].lstrip("0")
+    texts = [OG_CONTRACT, f"0x{digits}", digits.upper(), f"  0x000{digits} ", f"x00x{digits}", f"xxx{digits}", f"0x0x{digits}", f"0x{digits}g", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [bool(r.s) for r in df.select(same_number("t", OG_CONTRACT).alias("s")).collect()] == [True] * 4 + [False] * 5

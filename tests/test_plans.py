@@ -100,8 +100,7 @@ def test_block_window_prunes_landed_partitions(spark, tmp_path):
     from seqlens.operators.cohorts import mint_players
     from seqlens.sources import fixture, readers, sinks
     sinks.land_mint_events(fixture.mint_events(spark, SF001), str(tmp_path / "ev"))
-    ev = readers.read_mint_events(spark, str(tmp_path / "ev"))
-    pruned = mint_players(ev, block_range=sinks.BLOCK_RANGE)
+    pruned = mint_players(readers.read_landed_mints(spark, str(tmp_path / "ev")))
     p = _plan(pruned)
     assert "PartitionFilters: [isnotnull(block_range" in p and "block_range" in p.split("PartitionFilters")[1][:200]
     direct = mint_players(fixture.mint_events(spark, SF001))
@@ -110,6 +109,30 @@ def test_block_window_prunes_landed_partitions(spark, tmp_path):
         sorted(tuple(r) for r in direct.select(cols).collect())
 
 
+def test_members_are_removed_before_the_joins(spark):
+    """The anti join reads the owners table, below both token joins."""
+    lines = _static_plan(spark, lambda: E.queries()["cohort_learning_curve"](spark, SF001))
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    joins = [(i, depth(x)) for i, x in enumerate(lines) if "SortMergeJoin" in x]
+    anti = [i for i, x in enumerate(lines) if "LeftAnti" in x]
+    assert len(anti) == 1
+    above = [j for j in joins if j[0] < anti[0] and j[1] < depth(lines[anti[0]])]
+    assert above and not any("LeftAnti" in lines[i] for i, _ in above)
+    below = lines[anti[0] + 1:]
+    assert not any("SortMergeJoin" in x and depth(x) > depth(lines[anti[0]]) for x in below[:next((k for k, x in enumerate(below) if depth(x) <= depth(lines[anti[0]])), len(below))])
+
+
+def test_duplicate_guard_adds_no_exchange(spark):
+    """The guard, and the report of duplicates, use the joins' partitioning."""
+    from seqlens.operators import duplicate_tokens, official_games
+    from seqlens.sources import fixture
+    t = fixture.token_tables(spark, SF001)
+    for make in (lambda: official_games(t.metadata, t.scores, t.owners, duplicates="refuse"),
+                 lambda: duplicate_tokens(official_games(t.metadata, t.scores, t.owners))):
+        lines = _static_plan(spark, make)
+        assert len(_ran(lines, " Exchange |-Exchange ")) <= 3  # those of the token joins, or fewer
+
+
 def test_score_text_is_decoded_before_the_joins(spark):
     """Above the scan of the scores only the decoded number is carried."""
     for name in ("experience_tiers", "cohort_first_games", "skill_persistence"):

@@ -70,12 +70,62 @@ def test_sorted_list_sink(spark):
 
 def test_list_array_sink(spark):
     d = _tmp()
-    df = spark.createDataFrame([("0x3",), ("0x1",), (None,), ("0x2",)], "addr string")
-    sinks.write_list_array(df, "addr", os.path.join(d, "a"))
-    files = glob.glob(os.path.join(d, "a", "part-*"))
-    assert len(files) == 1 and json.load(open(files[0])) == ["0x1", "0x2", "0x3"]
+    odd = ['say "x"', "a]", "[b", "c,", "line\nbreak", "0x3", "é", ""]
+    df = spark.createDataFrame([(x,) for x in [*odd, None]], "addr string").repartition(3)
+    for _ in range(2):  # a second write replaces the first
+        sinks.write_list_array(df, "addr", os.path.join(d, "a"))
+    files = [f for f in glob.glob(os.path.join(d, "a", "*")) if not os.path.basename(f).startswith((".", "_SUCCESS"))]
+    assert len(files) == 1 and json.load(open(files[0])) == sorted(odd)
+    assert sorted(r.addr for r in readers.read_members(spark, os.path.join(d, "a"), fmt="json_array").collect()) == sorted(odd)
+    sinks.write_list_array(df.limit(0), "addr", os.path.join(d, "none"))
+    assert json.load(open(os.path.join(d, "none", "part-00000.json"))) == []
+    assert readers.read_members(spark, os.path.join(d, "none"), fmt="json_array").count() == 0
+
+
+def test_list_array_of_any_length(spark):
+    d = _tmp()
+    df = spark.range(250_000).selectExpr("concat('0x', lpad(hex((id * 7919) % 250007), 64, '0')) AS addr")
+    sinks.write_list_array(df, "addr", d)
+    listed = json.load(open(os.path.join(d, "part-00000.json")))
+    assert len(listed) == 250_000 and listed == sorted(listed)
+    assert readers.read_members(spark, d, fmt="json_array").distinct().count() == 250_000
+
+
+def test_members_array_on_many_lines(spark):
+    d = _tmp()
+    with open(os.path.join(d, "list.json"), "w") as f:
+        json.dump(["0x1", "a]", "b,"], f, indent=2)
+    assert sorted(r.addr for r in readers.read_members(spark, d, fmt="json_array").collect()) == ["0x1", "a]", "b,"]
+
+
+def test_landing_describes_itself(spark):
+    """The range size comes from the manifest; another one is an error, not a
+    smaller result."""
+    from seqlens.operators.cohorts import mint_players
+    d = _tmp()
+    events = fixture.mint_events(spark, SF001)
+    want = sorted(map(tuple, mint_players(events).collect()))
+    for size in (1000, 30_000, sinks.BLOCK_RANGE):
+        at = os.path.join(d, str(size))
+        sinks.land_mint_events(events, at, block_range=size)
+        landed = readers.read_landed_mints(spark, at)
+        assert sorted(map(tuple, mint_players(landed).collect())) == want
+        assert sorted(map(tuple, mint_players(landed, block_range=size).collect())) == want
+        with pytest.raises(ValueError):
+            mint_players(landed, block_range=size + 1)
+        with pytest.raises(ValueError):
+            mint_players(spark.read.parquet(at), block_range=size)
+        assert sorted(map(tuple, mint_players(spark.read.parquet(at)).collect())) == want  # unpruned, and right
+        m = readers.landing_manifest(spark, at)
+        lo, hi, n = events.selectExpr("min(block_number)", "max(block_number)", "count(*)").first()
+        assert m == {"block_range": size, "canonical": True, "rows": n, "first_block": lo, "last_block": hi}
+    with pytest.raises(ValueError):
+        sinks.land_mint_events(events, os.path.join(d, "1000"), block_range=5, mode="append")
+    sinks.land_mint_events(events, os.path.join(d, "1000"), block_range=1000, mode="append")
+    assert readers.landing_manifest(spark, os.path.join(d, "1000"))["rows"] == 2 * n
+    events.write.parquet(os.path.join(d, "plain"))
     with pytest.raises(ValueError):
-        sinks.write_list_array(df, "addr", os.path.join(d, "b"), max_items=2)
+        readers.read_landed_mints(spark, os.path.join(d, "plain"))
 
 
 def test_text_ids_survive(spark):
@@ -177,6 +227,20 @@ def test_report_set_shared_and_not_agree(spark):
             sorted(map(tuple, b[name].select(cols).collect())), name
 
 
+def test_report_set_refuses_duplicate_tokens(spark):
+    """One owner row more makes the reports fail, and is named; on request it counts."""
+    from seqlens.plans.landed import report_set
+    t = fixture.token_tables(spark, SF001)
+    scoped = t.metadata.filter("settings_id = 1 and minted_by = '0x0000000000000006'")
+    token = scoped.first().id
+    twice = fixture.TokenTables(t.metadata, t.scores, t.owners.union(t.owners.filter(t.owners.token_id == token)))
+    assert [tuple(r) for r in report_set(twice, share=False)["duplicate_tokens"].collect()] == [(token, 2)]
+    with pytest.raises(Exception, match=f"token {token}"):
+        report_set(twice, share=False)["population_summary"].collect()
+    kept = report_set(twice, share=False, duplicates="keep")["sequence_load"].first().games
+    assert kept == report_set(t, share=False)["sequence_load"].first().games + 1
+
+
 def test_report_set_key_check(spark):
     from seqlens.plans.landed import report_set
     t = fixture.token_tables(spark, SF001)
