@@ -15,9 +15,13 @@ shuffled, and are verified exactly.
 
 Dense clusters cost no pair per pair of copies: the first round compares every
 class with its own group and with one centre group for each of its tokens;
-components follow; the second round compares the classes of groups that share a
-token and are still in different components. Links inside a known component are not needed, so the
-result holds components, not the number of links.
+components follow. The second round goes on among the holders of tokens that still
+span components: their tokens are counted once more, all of them and among the
+holders only, so that a text with more than a few tokens of its own has a prefix of
+those alone and drops out, however common the passage is that it shares; classes of
+groups that then share a token, and are in different components, are compared. Links
+inside a known component are not needed, so the result holds components, not the
+number of links.
 
 Defined cases: null, empty and wordless texts have no shingles and are linked
 with nothing; a text with fewer words than a shingle is one shingle; repeated
@@ -92,14 +96,15 @@ def shared_tokens(documents: DataFrame, text: str, k: int, share: float) -> list
     return [bit_filter(found, "tok"), bit_filter(found.where(F.col("n") >= FREQUENT), "tok")]
 
 
-def signatures(documents: DataFrame, text: str, id_col: str, k: int, num: int, den: int) -> DataFrame:
+def signatures(documents: DataFrame, text: str, id_col: str, k: int, num: int, den: int, share: float | None = None) -> DataFrame:
     """One row per document: id, n, cid (set digest; null without shingles),
     lead (least shared token in a second order), rest (tokens after the prefix) and
     prefix (the prefix's tokens that may occur elsewhere).
 
     The global order of tokens: sampled tokens that occur once, sampled shared
-    ones, sampled frequent ones, then the others; by hash within each."""
-    share = min(1.0, SAMPLE * (den - num) / den)
+    ones, sampled frequent ones, then the others; by hash within each. ``share``:
+    of the tokens to sample, by default ``SAMPLE`` prefixes' worth."""
+    share = share or min(1.0, SAMPLE * (den - num) / den)
     sent = documents.sparkSession.sparkContext.broadcast(shared_tokens(documents, text, k, share))
     schema = (T.StructType().add("doc_id", documents.schema[id_col].dataType).add("n", "long").add("cid", "long")
               .add("lead", "long").add("rest", "long").add("prefix", T.ArrayType(T.LongType())))
@@ -327,7 +332,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
         F.xxhash64("lead", "band", F.pmod(F.xxhash64("cid"), F.ceil(F.coalesce("alike", F.lit(1)) / GROUP))).alias("gid"))
     classes = scratch_table(classes, "classes")
 
-    def verified(queries: DataFrame, comp: DataFrame | None, within: bool) -> DataFrame:
+    def verified(queries: DataFrame, classes: DataFrame, comp: DataFrame | None, within: bool) -> DataFrame:
         parts = scratch_table(qualifying(queries, classes, comp, within, num, den), "qualifying")
         texts = texts_of(documents, text, k, parts.select("cid"))
         return scratch_table(opened(parts, texts, k, num, den), "links")
@@ -336,14 +341,25 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
     centres = matrix.groupBy("tok").agg(F.min("gid").alias("centre"), F.max("gid").alias("top")).where("centre < top")
     shared = scratch_table(matrix.join(centres.drop("top"), "tok"), "shared")
     asked = scratch_table(shared.where("gid <> centre").select("cid", F.col("centre").alias("gid")).distinct(), "asked")
-    links = verified(asked, None, True)
+    links = verified(asked, classes, None, True)
     comp = scratch_table(components(links, rounds=2), "components")
 
-    # groups that share a token and are not yet in one component
-    known = shared.select("tok", "cid", "gid").join(comp, shared["cid"] == comp["node"], "left") \
-        .select("tok", "cid", "gid", F.coalesce("comp", "cid").alias("comp"))
-    open_tokens = known.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("tok")
-    left = scratch_table(known.join(open_tokens, "tok").join(classes.select("cid", "n"), "cid"), "open")
+    # Classes that share a token and are not yet in one component. Two classes that
+    # still may link both hold an open token, so the search goes on among the holders
+    # alone, with an order of tokens of their own: every token is now counted, and one
+    # that no other holder has needs no row.
+    def still_open(shared: DataFrame) -> DataFrame:
+        known = shared.select("tok", "cid", "gid").join(comp, shared["cid"] == comp["node"], "left") \
+            .select("tok", "cid", "gid", F.coalesce("comp", "cid").alias("comp"))
+        tokens = known.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("tok")
+        return known.join(tokens, "tok")
+
+    holders = scratch_table(still_open(shared).select("cid").distinct(), "holders")
+    again = scratch_table(texts_of(documents, text, k, holders).join(holders, "cid", "left_semi"), "again")
+    anew = signatures(again, "text", "cid", k, num, den, share=1.0).select("cid", "rest", "prefix")
+    held = scratch_table(classes.drop("rest", "prefix").join(anew, "cid"), "held")
+    left = scratch_table(still_open(held.select(F.explode("prefix").alias("tok"), "cid", "gid"))
+                         .join(held.select("cid", "n"), "cid"), "open")
     groups = left.groupBy("tok", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"),
                                             F.min("comp").alias("low"), F.max("comp").alias("high"))
     one, other = groups.alias("a"), groups.alias("b")
@@ -352,7 +368,7 @@ def jaccard_components(documents: DataFrame, text: str = "text", id_col: str = "
         .select(F.col("a.gid").alias("gid"), F.col("b.gid").alias("g")).distinct()
     rest = left.select("cid", "gid").distinct().join(pairs, "gid").select("cid", F.col("g").alias("gid")) \
         .join(asked, ["cid", "gid"], "left_anti")
-    more = verified(scratch_table(rest, "rest"), comp, False)
+    more = verified(scratch_table(rest, "rest"), held, comp, False)
     comp = components(links.union(more))
 
     classes = scratch_table(classes.select("cid", "root").join(comp, F.col("cid") == F.col("node"), "left")

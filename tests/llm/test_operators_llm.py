@@ -103,6 +103,27 @@ def test_jaccard_components(spark, monkeypatch, k, num, den):
     assert sorted(map(tuple, got.collect()), key=repr) == brute.jaccard_components(list(enumerate(texts)), k, num, den)
 
 
+@pytest.mark.parametrize("k,num,den", [(3, 9, 10), (5, 4, 5), (1, 1, 2)])
+def test_jaccard_many_documents_with_one_passage(spark, monkeypatch, k, num, den):
+    """Different documents that are mostly one common passage: its tokens are in
+    every prefix, and only few of the pairs are links. No link is lost."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 3)
+    rnd = random.Random(10 + k)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for d in range(150):
+        own = [f"d{d}w{i}" for i in range(rnd.randrange(0, 80))]
+        cut = rnd.randrange(0, len(own) + 1)
+        texts.append(" ".join(own[:cut] + passage[rnd.randrange(6):] + own[cut:]))
+        if d % 5 == 0:
+            texts.append(texts[-1] + f" tail{d}")
+    signed, classes = jaccard_join.jaccard_components(docs_of(spark, texts).repartition(4), shingle_words=k, threshold=(num, den))
+    got = signed.join(classes, "cid", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id"))
+    want = brute.jaccard_components(list(enumerate(texts)), k, num, den)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert 1 < len({c for _, _, c in want}) < len(texts)
+
+
 # --- op2 ---------------------------------------------------------------------------------
 
 def test_shards_and_offsets(spark):

@@ -76,6 +76,12 @@ def test_edge_cases_pass_through_every_stage(spark, edges, nothing, tmp_path):
     assert {1, 2, 3, 13} <= set(ids)  # without words, or alone
 
 
+def test_near_duplicates_with_text_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([("doc-b", text), ("doc-a", text + " more"), (None, text), ("x", "alone here"), (None, None)], "doc_id string, text string")
+    assert rows(P.ngram_jaccard_join(spark, docs, "")) == sorted([("doc-a", text + " more"), ("x", "alone here"), (None, None)], key=repr)
+
+
 @pytest.mark.parametrize("name", ["quality_rules", "benchmark_decontamination", "secret_scan"])
 def test_stages_do_not_shuffle_texts_without_need(spark, name):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
