@@ -32,8 +32,7 @@ def ngram_jaccard_join(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id. Rows that agree in doc_id and text are one document; texts without
     words stay."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    ident = F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
-                     F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    ident = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
     rows = docs.withColumn("__id", ident)
     signed, classes = jaccard_components(rows.select("__id", "text"), id_col="__id", shingle_words=SHINGLE_WORDS, threshold=SIMILARITY)
     keep = classes.select(F.col("component_id").alias("__id")).union(signed.where("cid is null").select("doc_id")).distinct()
