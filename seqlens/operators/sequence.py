@@ -37,47 +37,45 @@ LEAST_SAMPLED = 8
 _SEED = 11
 
 
-def whole(df: DataFrame) -> DataFrame:
+def whole(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``df``, with all its columns kept up to here. Several branches over it then
     need the same columns below, whatever each of them reads, so Spark runs the
     exchanges below once and reuses them. (A condition that is always true, and
     that the optimizer neither removes nor moves, as it is not deterministic.)"""
-    return df.filter((F.monotonically_increasing_id() >= 0) | (F.xxhash64(*df.columns) == 0))
+    return df.filter((F.monotonically_increasing_id() >= 0) | (F.xxhash64(*(columns or df.columns)) == 0))
 
 
 def weighted_sample(df: DataFrame) -> DataFrame:
     """Rows of every task with ``_weight``, the number of rows each stands for."""
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    weighed = df.withColumn("_weight", F.greatest(place / F.lit(float(HEAD)), F.lit(1.0)))
-    return weighed.filter(F.rand(_SEED) * F.col("_weight") < 1)
+    weight = F.greatest(place / F.lit(float(HEAD)), F.lit(1.0)).alias("_weight")
+    return df.select("*", weight).filter(F.rand(_SEED) * F.col("_weight") < 1)
 
 
 def _splitters(rows: DataFrame, keys: list[str], at: Column, rows_per_range: int) -> DataFrame:
-    """``keys, _coarse, _fine`` of the large entities: their splitters in groups
-    of ``FINE``, and the first splitter of every group."""
+    """``keys, _cuts`` of the large entities: their splitters in groups of
+    ``FINE``."""
     per = weighted_sample(rows).groupBy(*keys).agg(
         F.sum("_weight").alias("_rows"), F.count(F.lit(1)).alias("_sampled"),
         F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("_weight").alias("w")))).alias("_keys"))
-    large = per.filter((F.col("_rows") > rows_per_range) & (F.col("_sampled") >= LEAST_SAMPLED)) \
-        .withColumn("_step", F.greatest(F.lit(rows_per_range / 2.0), F.col("_rows") / F.lit(float(MAX_RANGES))))
+    large = (F.col("_rows") > rows_per_range) & (F.col("_sampled") >= LEAST_SAMPLED)
+    step = F.greatest(F.lit(rows_per_range / 2.0), F.col("_rows") / F.lit(float(MAX_RANGES)))
     # a splitter wherever the running weight passes a multiple of the step
     start = F.struct(F.lit(0.0).alias("s"), F.filter(F.transform("_keys", lambda k: k.at), lambda k: F.lit(False)).alias("cuts"))
     cuts = F.aggregate("_keys", start, lambda a, k: F.struct(
         (a.s + k.w).alias("s"),
-        F.when(F.floor((a.s + k.w) / F.col("_step")) > F.floor(a.s / F.col("_step")), F.concat(a.cuts, F.array(k.at)))
-         .otherwise(a.cuts).alias("cuts")))["cuts"]
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / FINE).cast("int")),
-                         lambda g: F.slice("_cuts", g * FINE + 1, FINE))
-    return large.withColumn("_cuts", cuts).filter(F.size("_cuts") > 0).withColumn("_fine", groups) \
-        .select(*keys, F.transform("_fine", lambda g: g[0]).alias("_coarse"), "_fine")
+        F.when(F.floor((a.s + k.w) / step) > F.floor(a.s / step), F.concat(a.cuts, F.array(k.at))).otherwise(a.cuts).alias("cuts")),
+        lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a.cuts) - 1) / FINE).cast("int")),
+                              lambda g: F.slice(a.cuts, g * FINE + 1, FINE)))
+    return per.filter(large).select(*keys, cuts.alias("_cuts"))
 
 
 def _range_of(at: Column) -> Column:
     """Number of the range that ``at`` falls into: splitters not above it, looked
-    up in the coarse and then in one fine list; 0 for an entity that is not split."""
-    group = F.size(F.filter("_coarse", lambda s: s <= at))
-    inside = F.size(F.filter(F.get("_fine", group - 1), lambda s: s <= at))
-    return F.when(F.col("_coarse").isNull() | (group == 0), F.lit(0)).otherwise((group - 1) * FINE + inside)
+    up among the groups' first ones and then in one group; 0 for an entity that is not split."""
+    group = F.size(F.filter("_cuts", lambda g: F.get(g, F.lit(0)) <= at))
+    inside = F.size(F.filter(F.get("_cuts", group - 1), lambda s: s <= at))
+    return F.when(F.col("_cuts").isNull() | (group == 0), F.lit(0)).otherwise((group - 1) * FINE + inside)
 
 
 _KEYS, _RANGED = ["_e", "_e_null"], ["_e", "_e_null", "_range"]
@@ -88,12 +86,14 @@ def dealt_by_range(df: DataFrame, entity: str, order: list[str], tiebreak: list[
     """The rows, dealt by entity and range: with NULL-safe keys of the entity
     (``_e, _e_null``), the number of the row's ``_range``, and ``_split``, whether
     the entity has more than one."""
-    rows = whole(df.withColumns({"_e": F.coalesce(F.col(entity).cast("string"), F.lit("")), "_e_null": F.col(entity).isNull()}))
+    names = df.columns
+    rows = whole(df.select("*", F.coalesce(F.col(entity).cast("string"), F.lit("")).alias("_e"), F.col(entity).isNull().alias("_e_null")),
+                 [*names, *_KEYS])
     at = F.struct(*order, *tiebreak)
     # at most one row per LEAST_SAMPLED sampled ones
     cuts = F.broadcast(_splitters(rows, _KEYS, at, rows_per_range))
-    ranged = rows.join(cuts, _KEYS, "left").withColumns({"_range": _range_of(at), "_split": F.col("_coarse").isNotNull()})
-    return whole(ranged.drop("_coarse", "_fine").repartition(*_RANGED))
+    ranged = rows.join(cuts, _KEYS, "left").select(*names, *_KEYS, _range_of(at).alias("_range"), F.col("_cuts").isNotNull().alias("_split"))
+    return whole(ranged.repartition(*_RANGED), [*names, *_RANGED, "_split"])
 
 
 def sequence(df: DataFrame, entity: str, order: list[str], tiebreak: list[str],
@@ -110,19 +110,16 @@ def sequence(df: DataFrame, entity: str, order: list[str], tiebreak: list[str],
     dealt = dealt_by_range(df, entity, order, tiebreak, rows_per_range)
     # one row per range of a split entity: MAX_RANGES of one entity at most
     sizes = dealt.filter("_split").groupBy(*_RANGED).agg(F.count(F.lit(1)).alias("_rows"))
-    along, every = Window.partitionBy(*_KEYS).orderBy("_range"), Window.partitionBy(*_KEYS)
-    carry = sizes.select(
-        *_RANGED,
-        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(every).alias("_total"))
+    along = Window.partitionBy(*_KEYS).orderBy("_range")
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    carry = sizes.select(*_RANGED, F.coalesce(F.sum("_rows").over(along.rowsBetween(first, -1)), F.lit(0)).alias("_before"),
+                         F.sum("_rows").over(along.rowsBetween(first, last)).alias("_total"))
     inside = Window.partitionBy(*_RANGED).orderBy(*order, *tiebreak)
-    out = dealt.withColumn("_rank", F.row_number().over(inside))
-    if total:
-        out = out.withColumn("_here", F.count(F.lit(1)).over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    out = out.join(F.broadcast(carry), _RANGED, "left").withColumn(ordinal, F.coalesce("_before", F.lit(0)) + F.col("_rank"))
-    if total:
-        out = out.withColumn(total, F.coalesce("_total", "_here"))
-    return out.drop(*_RANGED, "_split", "_rank", "_here", "_before", "_total")
+    here = [F.count(F.lit(1)).over(inside.rowsBetween(first, last)).alias("_here")] if total else []
+    ranked = dealt.select("*", F.row_number().over(inside).alias("_rank"), *here)
+    place = (F.coalesce("_before", F.lit(0)) + F.col("_rank")).alias(ordinal)
+    return ranked.join(F.broadcast(carry), _RANGED, "left").select(
+        *df.columns, place, *([F.coalesce("_total", "_here").alias(total)] if total else []))
 
 
 def first_k(df: DataFrame, entity: str, order: list[str], tiebreak: list[str], k: int,
