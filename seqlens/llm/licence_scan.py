@@ -12,8 +12,8 @@ paired with every template. Matching counts are pre-aggregated.
 Runs of words inside a text are passages too (``run_matches``): as long as the
 template, from any of its bigrams on, over line breaks and within longer lines.
 Dice of t needs ``t / (2 - t)`` of a template's bigrams, so some bigram of any
-larger rest of them is in the text: texts without a word of such a rest have no
-run and are not opened.
+larger rest of them is in the passage: texts without a word of such a rest match
+nothing and are not opened. Equal texts are scanned once.
 
 The templates are a parameter, a short list: their index is broadcast, and a
 list of more than ``MAX_TEMPLATE_BIGRAMS`` bigrams is refused.
@@ -143,9 +143,16 @@ def trigger_words(templates, dice: float = DICE) -> list[str]:
     return sorted(out)
 
 
-def run_matches(documents: DataFrame, key: Column, text: str = "text", templates=None, dice: float = DICE) -> DataFrame:
-    """(key, licence, dice): the best run of every licence found in a text. A
-    bigram that is none of the template's counts as often as the run has it."""
+def holds_a_trigger(text: Column, templates, dice: float = DICE) -> Column:
+    """Whether a passage of the text may match at all (see ``trigger_words``)."""
+    words = "|".join(trigger_words(templates, dice))
+    return F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")
+
+
+def run_matches(documents: DataFrame, key: str = "key", text: str = "text", templates=None, dice: float = DICE) -> DataFrame:
+    """(key, licence, dice): the best run of every licence found in a text, by the
+    distinct bigrams of the run and of the template. ``key`` is unique, and
+    ``documents`` a stored table: it is read twice."""
     templates = [(name, words) for name, words in templates or TEMPLATES + BODIES if template_bigrams(words)]
     index = [(n, name, len(b), len(_plain(words)) - 1, math.ceil(len(b) * dice / (2 - dice) - 1e-9), k, x)
              for n, (name, words) in enumerate(templates) for b in [template_bigrams(words)] for k, x in enumerate(sorted(b))]
@@ -153,25 +160,30 @@ def run_matches(documents: DataFrame, key: Column, text: str = "text", templates
         raise ValueError(f"no template bigram, or more than {MAX_TEMPLATE_BIGRAMS}")
     index = F.broadcast(documents.sparkSession.createDataFrame(
         index, "template int, licence string, size int, length int, need int, id int, bigram string"))
-    words = "|".join(trigger_words(templates, dice))
-    texts = documents.where(F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")).select(
-        key.alias("key"), F.monotonically_increasing_id().alias("row"), _words(F.col(text)).alias("w"))
+    texts = documents.where(holds_a_trigger(F.col(text), templates, dice)).select(F.col(key).alias("key"), _words(F.col(text)).alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
-    hits = texts.where(F.size("w") > 1).select("key", "row", (F.size("w") - 1).alias("total"), F.posexplode(pairs).alias("at", "bigram")).join(index, "bigram")
-    one = hits.groupBy("key", "row", "total", "template", "licence", "size", "length", "need").agg(
+    texts = texts.where(F.size("w") > 1).select("key", pairs.alias("pairs"))
+    hits = texts.select("key", F.posexplode("pairs").alias("at", "bigram")).join(index, "bigram")
+    one = hits.groupBy("key", "template", "licence", "size", "length", "need").agg(
         F.sort_array(F.collect_list(F.struct("at", "id"))).alias("h")).where(
         F.size(F.array_distinct(F.col("h.id"))) >= F.col("need"))
 
-    def score(x, i):
+    # a run of enough distinct template bigrams; the others of the run only lower its Dice
+    def start(x, i):
+        near = F.try_element_at(F.col("h"), i + F.col("need"))["at"] < x["at"] + F.col("length")
         inside = F.filter(F.slice("h", i + 1, F.col("length")), lambda y: y["at"] < x["at"] + F.col("length"))
-        span = F.least(F.col("length"), F.col("total") - x["at"])
-        return let(inside, lambda r: let(F.size(F.array_distinct(r["id"])),
-                                         lambda both: both * 2 / (both + span - F.size(r) + F.col("size"))))
+        return F.struct(x["at"].alias("at"), F.when(near, F.size(F.array_distinct(inside["id"]))).otherwise(0).alias("both"))
+
+    runs = F.filter(F.transform("h", start), lambda r: r["both"] >= F.col("need"))
+    found = one.select("key", F.struct("licence", "size", "length", runs.alias("runs")).alias("m")).where(F.size("m.runs") > 0) \
+        .groupBy("key").agg(F.collect_list("m").alias("ms")).join(texts, "key")
+
+    def dices(m):
+        return F.transform(m["runs"], lambda r: r["both"] * 2 / (
+            F.size(F.array_distinct(F.slice(F.col("pairs"), r["at"] + 1, m["length"]))) + m["size"]))
 
-    # the bigrams a run needs lie within its length: others are not scored
-    near = lambda x, i: F.try_element_at(F.col("h"), i + F.col("need"))["at"] < x["at"] + F.col("length")
-    best = F.array_max(F.transform("h", lambda x, i: F.when(near(x, i), score(x, i)).otherwise(F.lit(0.0))))
-    return one.select("key", "licence", best.alias("dice")).where(F.col("dice") >= dice).groupBy("key", "licence").agg(F.max("dice").alias("dice"))
+    best = F.transform("ms", lambda m: F.struct(m["licence"].alias("licence"), F.array_max(dices(m)).alias("dice")))
+    return found.select("key", F.inline(best)).where(F.col("dice") >= dice).groupBy("key", "licence").agg(F.max("dice").alias("dice"))
 
 
 def _plain(text: str) -> list[str]:
@@ -195,12 +207,16 @@ def licences(documents: DataFrame, text: str = "text", id_col: str = "doc_id", t
     inside lines and over line breaks."""
     t = F.coalesce(F.col(text), F.lit(""))
     key = F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"))
-    found = licence_matches(documents, key, text, templates, dice)
+    passing = documents.select(key.alias("key"), t.alias("text")).where(
+        holds_a_trigger(F.col("text"), templates or TEMPLATES + BODIES * runs, dice))
+    # one row per different text that may match: all that follows reads these alone
+    passing = scratch_table(passing.groupBy("key").agg(F.first("text").alias("text")), "candidates")
+    found = licence_matches(passing, F.col("key"), "text", templates, dice)
     if runs:
-        inner = scratch_table(run_matches(documents, key, text, templates, dice), "runs")
+        inner = scratch_table(run_matches(passing, "key", "text", templates, dice), "runs")
         clause = [x for x in BODIES if x[0] == "BSD-3-Clause"]
         found = scratch_table(found.union(inner).groupBy("key", "licence").agg(F.max("dice").alias("dice")), "matches")
-        found = told_apart(found, run_matches(documents, key, text, clause, dice))
+        found = told_apart(found, run_matches(passing, "key", "text", clause, dice))
     found = found.groupBy("key").agg(
         F.array_sort(F.collect_set("licence")).alias("names"), F.max("dice").alias("best"))
     rows = documents.select(id_col, key.alias("key"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqlens.llm.licence_scan import DICE, TEMPLATES
+from seqlens.llm.licence_scan import BODIES, DICE, TEMPLATES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -48,21 +48,43 @@ def _bigrams(column: str) -> str:
     return f"(SELECT list_distinct([x.w[i] || ' ' || x.w[i + 1] for i in range(1, len(x.w))]) FROM (SELECT {w} AS w) x)"
 
 
-_VALUES = ", ".join(f"({n}, '{name}', '{words}')" for n, (name, words) in enumerate(TEMPLATES))
+_VALUES = ", ".join(f"({n}, '{name}', '{words}', {n < len(TEMPLATES)})"
+                    for n, (name, words) in enumerate(TEMPLATES + BODIES))
+_PLAIN = r"string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
 
+# passages (lines, paragraphs, texts) against the notices; runs of a template's length,
+# from any of its bigrams on, against notices and bodies; then the two BSD bodies
 OP7 = rf"""
 WITH t AS (
-  SELECT id, name, {_bigrams('words')} AS b FROM (VALUES {_VALUES}) v(id, name, words)),
-ti AS (SELECT id, name, len(b) AS n, unnest(b) AS g FROM t),
+  SELECT id, name, whole, {_bigrams('words')} AS b, len(string_split(trim(regexp_replace(lower(words), '[^a-z0-9]+', ' ', 'g')), ' ')) - 1 AS length
+  FROM (VALUES {_VALUES}) v(id, name, words, whole)),
+ti AS (SELECT id, name, whole, len(b) AS n, unnest(b) AS g FROM t),
 u AS (
   SELECT doc_id, unnest(string_split(text, chr(10)) || [text]
                         || [p for p in string_split_regex(text, '\n\s*\n') if contains(p, chr(10))]) AS p
   FROM documents WHERE text IS NOT NULL),
 un AS (SELECT row_number() OVER () AS u, doc_id, b, len(b) AS n FROM (SELECT doc_id, {_bigrams('p')} AS b FROM u) WHERE len(b) > 0),
 c AS (SELECT u, doc_id, un.n AS a, ti.id, ti.name, ti.n, count(*) AS c
-      FROM (SELECT u, doc_id, n, unnest(b) AS g FROM un) un JOIN ti USING (g) GROUP BY ALL),
+      FROM (SELECT u, doc_id, n, unnest(b) AS g FROM un) un JOIN ti USING (g) WHERE ti.whole GROUP BY ALL),
 f AS (SELECT doc_id, name, max(2.0::DOUBLE * c / (a + n)) AS dice FROM c WHERE 2 * c >= {DICE} * (a + n) GROUP BY 1, 2),
-r AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max(dice) AS best FROM f GROUP BY 1)
+w AS (SELECT doc_id, [x.w[i] || ' ' || x.w[i + 1] for i in range(1, len(x.w))] AS p FROM (SELECT doc_id, {_PLAIN} AS w FROM documents WHERE text IS NOT NULL) x),
+starts AS (
+  SELECT DISTINCT h.doc_id, h.i, ti.id FROM (SELECT doc_id, unnest(p) AS g, generate_subscripts(p, 1) AS i FROM w) h JOIN ti USING (g)),
+dense AS (  -- a run needs that many template bigrams
+  SELECT doc_id, id FROM starts JOIN t USING (id) GROUP BY doc_id, id, len(t.b) HAVING count(*) >= len(t.b) * {DICE} / (2 - {DICE}) - 1e-9),
+parts AS (
+  SELECT s.doc_id, t.name, t.id, t.b, list_distinct(w.p[s.i:s.i + t.length - 1]) AS r
+  FROM starts s JOIN dense USING (doc_id, id) JOIN t USING (id) JOIN w USING (doc_id)),
+runs AS (
+  SELECT doc_id, name, id, max(2.0::DOUBLE * len(list_intersect(r, b)) / (len(r) + len(b))) AS dice FROM parts GROUP BY ALL HAVING dice >= {DICE}),
+best AS (SELECT doc_id, name, max(dice) AS dice FROM (SELECT doc_id, name, dice FROM f UNION ALL SELECT doc_id, name, dice FROM runs) GROUP BY 1, 2),
+two AS (SELECT doc_id FROM best WHERE name = 'BSD-2-Clause'),
+third AS (SELECT doc_id FROM runs WHERE id = (SELECT max(id) FROM t WHERE name = 'BSD-3-Clause')),
+told AS (
+  SELECT * FROM best
+  WHERE NOT (name = 'BSD-2-Clause' AND doc_id IN (SELECT doc_id FROM third))
+    AND NOT (name = 'BSD-3-Clause' AND doc_id IN (SELECT doc_id FROM two) AND doc_id NOT IN (SELECT doc_id FROM third))),
+r AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max(dice) AS best FROM told GROUP BY 1)
 SELECT d.doc_id, coalesce(r.n, 0) AS n_licences, coalesce(r.names, '') AS licences, coalesce(round(r.best, 9), 0.0::DOUBLE) AS best_dice
 FROM documents d LEFT JOIN r USING (doc_id)"""
 

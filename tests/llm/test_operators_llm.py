@@ -370,6 +370,59 @@ def test_licences_inside_longer_passages(spark, tmp_path):
     assert got == {i: name for i, (_, name) in enumerate(cases)}
 
 
+def test_licence_query_by_brute_force_and_sql(spark, tmp_path):
+    """Notices inside lines, some of their words replaced by one word or by
+    different ones, bodies: query, SQL and brute force agree."""
+    import re
+
+    import duckdb
+
+    from seqlens.llm.oracle import ORACLE
+    rnd = random.Random(9)
+    named = dict(reversed(licence_scan.TEMPLATES))
+    isc = dict(licence_scan.TEMPLATES)["ISC"].split()
+    bodies = dict(licence_scan.BODIES)
+    texts = [f"{prose(rnd, 40)} {' '.join(isc[:9] + ['same'] * n + isc[9 + n:])} {prose(rnd, 40)}" for n in range(5, 10)]
+    texts += [f"{prose(rnd, 40)} {' '.join(isc[:9] + prose(rnd, n).split()[:n] + isc[9 + n:])} {prose(rnd, 40)}" for n in range(3, 9)]
+    texts += [f"{prose(rnd, 30)} {named['Unlicense']} {prose(rnd, 30)}", bodies["BSD-2-Clause"] + prose(rnd, 20),
+              prose(rnd, 5) + " " + bodies["BSD-2-Clause"] + "\n" + bodies["BSD-3-Clause"], bodies["CC0-1.0"] * 2, None, "", "license",
+              f"{named['MIT']} {named['MIT']}\n{prose(rnd, 30)}", "licensed under the " * 400]
+    texts += [texts[0], texts[0]]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def plain(t):
+        return re.sub(r"[^a-z0-9]+", " ", (t or "").lower()).split()
+
+    def pairs(t):
+        return [f"{a} {b}" for a, b in zip(plain(t), plain(t)[1:])]
+
+    def dice(a, b):
+        return 2 * len(a & b) / (len(a) + len(b)) if a else 0.0
+
+    def best(t):
+        found = {}
+        units = (t or "").split("\n") + [p for p in re.split(r"\n\s*\n", t or "") if "\n" in p] + [t]
+        p, third = pairs(t), False
+        for name, words in licence_scan.TEMPLATES + licence_scan.BODIES:
+            b = set(pairs(words))
+            scores = [dice(set(p[i:i + len(plain(words)) - 1]), b) for i, x in enumerate(p) if x in b]
+            third |= words == bodies["BSD-3-Clause"] and max(scores, default=0) >= licence_scan.DICE
+            if (name, words) in licence_scan.TEMPLATES:
+                scores += [dice(set(pairs(u)), b) for u in units]
+            if max(scores, default=0) >= licence_scan.DICE:
+                found[name] = max(*scores, found.get(name, 0))
+        if "BSD-2-Clause" in found:
+            found.pop("BSD-2-Clause" if third else "BSD-3-Clause", None)
+        return len(found), ",".join(sorted(found)), round(max(found.values(), default=0.0), 9)
+
+    want = [(i, *best(t)) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, licence_scan.op7_licence_scan(spark, str(tmp_path)).collect())) == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(ORACLE["op7_licence_scan"]).fetchall()) == want
+    assert want[1][2] == want[2][2] == "ISC"  # 6 and 7 words replaced by one repeated word
+
+
 # --- op8 ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("hot", [2, 5000])
