@@ -12,13 +12,15 @@ half of the words in repeated 3-word windows), when a measure leaves the wide
 band of its dominant script (``BANDS``), or when it leaves the fences of its
 group: language (where the table has one), script and length to a power of two.
 Fences are the median of the group and a multiple of its robust spread
-(``FENCES``), over all distinct texts that pass the base rules; a group of fewer
-than ``MIN_GROUP`` of them has no fences. Length is part of the group, for the
-entropy of clean text grows with it.
+(``FENCES``), over all distinct texts that pass the base rules; a group takes both
+partly from its language, script and all texts, the more the fewer texts it has
+(``PARENT_WEIGHT``), so every text is judged alike at any size. Length is part of the
+group, for the entropy of clean text grows with it.
 
 Texts are measured once, and the measures written to the shared folder; no text
 is shuffled. The statistics are aggregates over values of two or three decimals,
-so their state is bounded; one row per group reaches the driver. Defined cases:
+so their state is bounded; the fences, one row per group, are joined to the texts'
+measures. Defined cases:
 null and wordless texts have zero counts and fail; words are not lower-cased; a
 text of one huge word is encoded whole.
 """
@@ -64,7 +66,10 @@ FENCES = {
     "fallback_share": (1000, 0.02, None, 5.0),
     "token_entropy": (100, 0.10, 4.0, None),
 }
-MIN_GROUP = 30
+#: Texts that a group's parent (its language, script, then all) counts for.
+PARENT_WEIGHT = 5
+#: Up to this many groups the fences are broadcast, beyond it joined by group.
+MAX_BROADCAST_GROUPS = 100_000
 _PLACES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 RESULT = ("struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,"
@@ -244,48 +249,62 @@ def measured(documents: DataFrame, text: str = "text", model: str | None = None,
     m = F.col(into)
     tokens = F.greatest(m["n_tokens"], F.lit(1))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in documents.columns else F.lit("")
-    length = F.length(F.bin(m["n_words"])).cast("string")
+    length = F.length(F.bin(m["n_words"]))
     return out.withColumn(into, F.struct(
         f"{into}.*", (m["word_chars"] / tokens).alias("chars_per_token"),
         (m["n_fallback"] / tokens).alias("fallback_share"), base_failed(m).alias("base_failed"),
-        F.concat_ws("/", lang, m["script"], length).alias("group"), F.xxhash64(text).alias("hash")))
+        F.struct(m["script"].alias("script"), lang.alias("lang"), length.alias("length")).alias("group"), F.xxhash64(text).alias("hash")))
 
 
-def fences(done: DataFrame, into: str = "quality", min_group: int = MIN_GROUP) -> dict[str, list[float]]:
-    """Group -> least and greatest value of every measure of ``FENCES``, from all
-    distinct texts that pass the base rules."""
+def fences(done: DataFrame, into: str = "quality", weight: int = PARENT_WEIGHT) -> DataFrame:
+    """(group, low, high): least and greatest value of every measure of ``FENCES``,
+    from all distinct texts that pass the base rules.
+
+    Centre and spread are estimated for all texts, per script, per language in it and
+    per length in that; a level of n texts takes them as n / (n + ``weight``) of its own
+    and the rest of the level above, so small groups are judged by their parents."""
     m = F.col(into)
     values = [F.round(m[name] * units).alias(name) for name, (units, *_) in FENCES.items()]
     texts = done.where(~m["base_failed"]).select(m["group"].alias("group"), m["hash"].alias("hash"), *values)
     distinct = texts.groupBy("group", "hash").agg(*(F.min(name).alias(name) for name in FENCES))
-    stats = distinct.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile(name, list(_PLACES)).alias(name) for name in FENCES))
-    out = {}
-    for row in stats.where(F.col("n") >= min_group).toLocalIterator():
-        out[row["group"]] = []
-        for name, (units, least, below, above) in FENCES.items():
-            p10, p25, centre, p75, p90 = (x / units for x in row[name])
-            spread = max(least, (p75 - p25) / 1.349, (p90 - p10) / 2.563)
-            out[row["group"]] += [-np.inf if below is None else centre - below * spread,
-                                  np.inf if above is None else centre + above * spread]
-    return out
-
-
-def in_fences(m: Column, found: dict[str, list[float]]) -> Column:
-    """True where no measure leaves its group's fences, or the group has none."""
-    if not found:
-        return F.lit(True)
-    bounds = F.try_element_at(F.create_map(*(x for k, v in sorted(found.items()) for x in (F.lit(k), F.lit([float(b) for b in v])))), m["group"])
+    keys = ["script", "lang", "length"]
+    stats = distinct.select("group.*", *FENCES).rollup(*keys).agg(
+        F.grouping_id().alias("level"), F.count("*").alias("n"), *(F.percentile(name, list(_PLACES)).alias(name) for name in FENCES))
+    for name, (units, least, _, _) in FENCES.items():
+        p10, p25, centre, p75, p90 = (F.col(name)[k] / units for k in range(len(_PLACES)))
+        spread = F.greatest(F.lit(least), (p75 - p25) / 1.349, (p90 - p10) / 2.563)
+        stats = stats.withColumn(name, F.struct(centre.alias("centre"), spread.alias("spread")))
+    stats = scratch_table(stats.withColumn("top", F.lit(0)), "statistics")
+    found = stats.where("level = 7").select("top", *FENCES)
+    own = F.col("n") / (F.col("n") + weight)
+    for k, level in enumerate((3, 1, 0)):
+        above = found.select("top", *keys[:k], *(F.col(name).alias(f"above_{name}") for name in FENCES))
+        found = stats.where(F.col("level") == level).join(above, ["top", *keys[:k]]).select("top", *keys[:k + 1], *(
+            F.struct(*((F.col(name)[x] * own + F.col(f"above_{name}")[x] * (1 - own)).alias(x) for x in ("centre", "spread"))).alias(name)
+            for name in FENCES))
+    low, high = (F.array(*(F.col(name)["centre"] + sign * part * F.col(name)["spread"] if part else F.lit(sign * np.inf)
+                           for name, part in ((name, f[place]) for name, f in FENCES.items()))) for sign, place in ((-1, 2), (1, 3)))
+    return found.select(F.struct(*keys).alias("group"), low.alias("low"), high.alias("high"))
+
+
+def in_fences(m: Column, low: Column, high: Column) -> Column:
+    """True where no measure leaves its group's fences."""
     inside = F.lit(True)
     for n, name in enumerate(FENCES):
-        inside = inside & (m[name] >= bounds[2 * n]) & (m[name] <= bounds[2 * n + 1])
+        inside = inside & (m[name] >= low[n]) & (m[name] <= high[n])
     return F.coalesce(inside, F.lit(True))
 
 
 def judged(done: DataFrame, into: str = "quality", bands: dict = BANDS) -> DataFrame:
     """Measured documents with the verdict ``kept``; ``done`` is read twice."""
     m = F.col(into)
-    kept = ~m["base_failed"] & in_band(m, bands) & in_fences(m, fences(done, into))
-    return done.withColumn(into, m.withField("kept", kept).dropFields("group", "hash"))
+    found = scratch_table(fences(done, into), "fences")
+    # one row per language, script and length: broadcast only after the count
+    found = F.broadcast(found) if found.count() <= MAX_BROADCAST_GROUPS else found
+    found = found.select(F.col("group").alias("__group"), F.struct("low", "high").alias("__fences"))
+    kept = ~m["base_failed"] & in_band(m, bands) & in_fences(m, F.col("__fences.low"), F.col("__fences.high"))
+    return done.join(found, m["group"] == F.col("__group"), "left").select(
+        *(m.withField("kept", kept).dropFields("group", "hash").alias(into) if c == into else F.col(f"`{c}`") for c in done.columns))
 
 
 def quality(documents: DataFrame, text: str = "text", model: str | None = None, bands: dict = BANDS,
