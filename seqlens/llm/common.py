@@ -69,6 +69,14 @@ def bit_filter_has(bits: np.ndarray, hashes: np.ndarray, log2_bits: int = 26) ->
     return out
 
 
+def least_of(hashes: Column, wanted: Column | int, distinct: Column | int) -> Column:
+    """Whether a signed 64-bit hash lies in the lowest part of the hash range,
+    where a set of about ``distinct`` different hashes has ``wanted`` of them twice
+    over: a cut from a count, so no task sees all hashes to find the least ones."""
+    wanted, distinct = (F.lit(x) if isinstance(x, int) else x for x in (wanted, distinct))
+    return hashes.cast("double") <= (wanted * 2 + 100) / F.greatest(distinct, F.lit(1)) * 2.0**64 - 2.0**63
+
+
 # --- raw text columns ------------------------------------------------------------------
 
 def raw_text(column) -> tuple[np.ndarray, np.ndarray]:

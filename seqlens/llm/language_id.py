@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seqlens.llm.common import LOWER, pieces, raw_text, table
+from seqlens.llm.common import LOWER, least_of, pieces, raw_text, scratch_table, table
 
 DIMENSIONS = 1 << 11
 MAX_ROWS = 4000
@@ -153,17 +153,19 @@ class Hierarchy:
 def training_rows(labelled: DataFrame, text: str, lang: str, max_rows: int, dims: int) -> tuple[np.ndarray, list[str]]:
     """Features and languages of the bounded sample."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    n = rows.agg(F.count_distinct("lang")).first()[0]
+    rows = rows.withColumn("order", F.xxhash64("text"))
+    # different texts per language, by a sketch of fixed size; equal ones count once
+    sizes = scratch_table(rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("distinct")), "languages")
+    n = sizes.count()
     if not n:
         return np.zeros((0, dims), np.float32), []
     vector = F.arrow_udf(lambda t: pa.array([v.tobytes() for v in features(t, dims)], pa.binary()), "binary")
-    rows = rows.withColumn("order", F.xxhash64("text"))
-    # the order is cut per language on narrow rows; only the texts below the cut move, each once
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("order"))
-    cuts = rows.select("lang", "order").withColumn("rank", rank).where(F.col("rank") <= max(1, max_rows // n)) \
-        .groupBy("lang").agg(F.max("order").alias("cut"))
-    cuts = F.broadcast(cuts) if n <= max_rows else cuts  # one row for each of the n languages
-    picked = rows.join(cuts, "lang").where("order <= cut").groupBy("lang", "order").agg(F.first("text").alias("text"))
+    sizes = F.broadcast(sizes) if n <= max_rows else sizes  # one row for each of the n languages
+    each = max(1, max_rows // n)
+    # only texts below the cut move, each once: some 2 * each + 100 of a language
+    low = rows.join(sizes, "lang").where(least_of(F.col("order"), each, F.col("distinct"))) \
+        .groupBy("lang", "order").agg(F.first("text").alias("text"))
+    picked = low.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order"))).where(F.col("rank") <= each)
     got = picked.orderBy("lang", "order").limit(max_rows).select("lang", vector("text").alias("v")).toArrow()
     x = np.frombuffer(b"".join(v.as_py() for v in got["v"]), np.float32).reshape(-1, dims)
     return x, got["lang"].to_pylist()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.common import SPACE, U64, mix64, pieces, raw_text, row_ids, table, words_of
+from seqlens.llm.common import SPACE, U64, least_of, mix64, pieces, raw_text, row_ids, table, words_of
 from seqlens.llm.quality_rules import repeated_windows
 
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
@@ -136,12 +136,13 @@ class Network:
 
 
 def sample(rows: DataFrame, text: str, limit: int) -> np.ndarray:
-    """Features of at most ``limit`` texts, the first by a hash of the text. The
-    order is cut on narrow rows; only the texts below the cut move, each once."""
+    """Features of at most ``limit`` different texts, the first by a hash of the
+    text. Their number, by a sketch of fixed size, gives a cut; only the texts
+    below it move, each once."""
     vector = F.arrow_udf(lambda t: pa.array([v.tobytes() for v in features(t)], pa.binary()), "binary")
     rows = rows.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64(F.lit(3), F.col("text")))
-    cut = rows.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    picked = rows.where(F.col("h") <= F.lit(cut)).groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(limit)
+    distinct = rows.agg(F.approx_count_distinct("h")).first()[0]
+    picked = rows.where(least_of(F.col("h"), limit, distinct)).groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(limit)
     got = picked.select(vector("text").alias("v")).toArrow()
     return np.frombuffer(b"".join(v.as_py() for v in got["v"]), np.float32).reshape(-1, len(NAMES)).astype(np.float64)
 
