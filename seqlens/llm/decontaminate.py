@@ -6,9 +6,10 @@ normalised and scanned once, and hits are mapped back to character offsets of
 the original text.
 
 The automaton is broadcast. Its size is bounded: items are packed into shards
-of at most ``shard_words`` words, one scan column per shard in the same pass
-over the documents, so a larger benchmark means more scan columns, never a
-larger broadcast. Nothing is shuffled.
+of at most ``shard_words`` words. Each shard is a pass of its own over the documents,
+written to the shared folder for the next, so a larger benchmark means more passes,
+never a larger broadcast or automaton (0.75 GB measured for a million words; built
+once in a worker, which keeps two at most). Nothing is shuffled.
 
 Defined cases: a null or wordless text has no words, no hits and is not
 contaminated; an item without words has no window; repeated items count
@@ -18,6 +19,7 @@ as one item by their id; a null item_id is no item but its windows hit.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm.common import table
+from seqlens.llm.common import scratch_table, table
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
@@ -97,15 +99,25 @@ def offsets(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in runs]
 
 
+#: Automata of a worker process by the name of their scan: the last two.
+_BUILT: dict[str, Matcher] = {}
+
+
+def matcher_of(name: str, sent, window: int) -> Matcher:
+    """A shard's automaton, built once in a worker."""
+    if name not in _BUILT:
+        if len(_BUILT) == 2:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[name] = Matcher(sent.value, window)
+    return _BUILT[name]
+
+
 def scanner(spark: SparkSession, items, window: int):
     """Scan function for one shard of items."""
-    sent = spark.sparkContext.broadcast(items)
-    built: dict = {}
+    sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def scan(texts: pa.Array) -> pa.Array:
-        if not built:
-            built[0] = Matcher(sent.value, window)
-        m, out = built[0], []
+        m, out = matcher_of(name, sent, window), []
         for text in texts.to_pylist():
             w = words(text)
             runs, found = m.scan(w)
@@ -125,6 +137,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     contaminated (n_hit > 0 and at least a twentieth of the words)."""
     out, parts = documents, []
     for k, rows in enumerate(shards(benchmark, shard_words)):
+        if k:  # a pass of its own: a worker holds one shard at a time
+            out = scratch_table(out, f"shard-{k}")
         out = out.withColumn(f"{into}_{k}", scanner(documents.sparkSession, rows, window)(F.col(text)))
         parts.append(F.col(f"{into}_{k}"))
     n_hit, items, spans = (parts[0][x] for x in ("n_hit", "items", "spans"))

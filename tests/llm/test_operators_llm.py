@@ -180,6 +180,18 @@ def test_fences_reject_what_outlies_its_language(spark):
     assert loose.where("ok").count() == len(rows)
 
 
+def test_small_groups_are_judged_by_their_parents(spark):
+    """A language of four texts has no centre of its own to speak of."""
+    rnd = random.Random(4)
+    words = [f"river{c}stone" for c in "abcdefghijklmnopqrst"]
+    poor = " ".join(rnd.choice("zan ken mol dur bin tas wof gel pir sun hob cat".split()) for _ in range(200))
+    texts = [("aa", " ".join(rnd.choice(words) for _ in range(200))) for _ in range(60)]
+    texts += [("cc", " ".join(rnd.choice(words) for _ in range(200))) for _ in range(3)] + [("cc", poor)]
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(texts)], "doc_id long, lang string, text string")
+    out = {r.doc_id: r.quality.kept for r in quality_rules.quality(df).collect()}
+    assert [i for i, kept in sorted(out.items()) if not kept] == [63]
+
+
 def test_fences_by_label(spark):
     """Label 0 texts that pass the base rules are met, label 1 texts are not."""
     labels = spark.read.parquet(f"{SF01}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
@@ -504,6 +516,23 @@ def test_classifier_does_not_read_held_out_labels(spark, tmp_path):
     assert a == b
 
 
+def test_samples_count_different_texts(spark):
+    """10,000 copies of the text with the least hash take one place of a sample."""
+    rnd = random.Random(12)
+    texts = [prose(rnd, 30) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "qq") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    least = df.orderBy(F.xxhash64("text")).first().text
+    many = df.union(spark.range(10_000).select(F.lit(-1).cast("long"), F.lit(least), F.lit("qq")))
+    for rows in (df, many):
+        x, langs = language_id.training_rows(rows, "text", "lang", 100, 64)
+        assert len(x) == len(langs) == 100 and len({v.tobytes() for v in x}) == 100
+    assert (language_id.training_rows(df, "text", "lang", 100, 64)[0] == x).all()
+    least = df.orderBy(F.xxhash64(F.lit(3), "text")).first().text
+    many = df.union(spark.range(10_000).select(F.lit(-1).cast("long"), F.lit(least), F.lit("qq")))
+    a, b = (quality_classifier.sample(rows, "text", 100) for rows in (df, many))
+    assert len(a) == 100 and (a == b).all()
+
+
 # --- extra columns -------------------------------------------------------------------------
 
 def test_other_columns_survive(spark, edges, small):
