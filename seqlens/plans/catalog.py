@@ -321,4 +321,6 @@ QUERIES: dict[str, Query] = {
     "landed_experience_tiers": landing.landed_experience_tiers,
     "landed_counts": landing.landed_counts,
     "landed_mint_players": landing.landed_mint_players,
+    "half_medians_shared": landing.half_medians_shared,
+    "skill_persistence_shared": landing.skill_persistence_shared,
 }

@@ -14,7 +14,7 @@ from seqlens.operators.cohorts import drop_members, mint_players, mint_summary
 from seqlens.operators.games import first_games, game_sequence, official_games
 from seqlens.operators.quality import (address_quality, duplicate_tokens, key_uniqueness,
                                        score_quality, sequence_load)
-from seqlens.operators.reuse import shared_table
+from seqlens.operators.reuse import entity_table
 from seqlens.plans import reports
 from seqlens.sources.fixture import TokenTables
 from seqlens.sources.readers import (read_token_metadata, read_token_owners,
@@ -36,7 +36,8 @@ def report_set(tables: TokenTables, members: DataFrame | None = None,
     (players who also received a mint).
 
     The numbered game fact feeds about ten reports: with ``share`` it is written
-    once to the session's shared folder (one job, now), otherwise every report
+    once to the session's shared folder (one job, now), in buckets by owner, so that the
+    reports by player read it without another exchange of games; otherwise every report
     computes it. ``scope``: arguments of ``games.scoped_metadata``; ``mints``: of
     ``cohorts.mint_receivers``. ``duplicates``: a token with several rows in a
     table makes the reports fail (``"refuse"``) or counts as several games
@@ -46,21 +47,23 @@ def report_set(tables: TokenTables, members: DataFrame | None = None,
     games = official_games(*three, decode_mode=decode_mode, keep_text=True, **scope)
     fact = official_games(*three, decode_mode=decode_mode, duplicates=duplicates, **scope)
     seq = game_sequence(fact)
+    by_owner = seq
     if share:
-        seq = shared_table(seq, "numbered-games")
+        by_owner = entity_table(seq, "owner", "game_no", "n", "numbered-games")
+        seq = by_owner.rows
     firsts = seq if share else first_games(fact, K.COHORT_FIRST_K)
     if members is None and mint_events is not None:
         members = reports.derived_members(tables, mint_events, mints, **scope)
     out = {
         "experience_tiers": reports.experience_tiers(seq),
         "learning_curve": reports.learning_curve(seq),
-        "within_player_improvement": reports.within_player_improvement(seq),
-        "skill_persistence": reports.skill_persistence(seq),
-        "persistence_correlation": reports.persistence_correlation(seq),
+        "within_player_improvement": reports.within_player_improvement(by_owner),
+        "skill_persistence": reports.skill_persistence(by_owner),
+        "persistence_correlation": reports.persistence_correlation(by_owner),
         "population_summary": reports.population_summary(seq if share else fact),
         "score_distribution": reports.score_distribution(seq if share else fact),
         "retention_split": reports.retention_split(seq),
-        "early_vs_later_improvement": reports.early_vs_later_improvement(seq),
+        "early_vs_later_improvement": reports.early_vs_later_improvement(by_owner),
         "lifetime_total_tiers": reports.lifetime_total_tiers(seq),
     }
     # checks that tell whether the reports can be trusted and how skewed they are

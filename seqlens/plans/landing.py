@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from seqlens.operators.cohorts import mint_players, mint_summary
 from seqlens.operators.games import official_games, sequenced_games
+from seqlens.operators.reuse import entity_table
 from seqlens.plans import reports
 from seqlens.plans.landed import read_landed
 from seqlens.session import ensure_checkpoint_dir
@@ -68,3 +69,16 @@ def landed_mint_players(spark, sf_dir: str) -> DataFrame:
     at = _folder(spark)
     sinks.land_mint_events(fixture.mint_events(spark, sf_dir), f"{at}/mints", block_range=30_000)
     return mint_summary(mint_players(readers.read_landed_mints(spark, f"{at}/mints")))
+
+
+def half_medians_shared(spark, sf_dir: str) -> DataFrame:
+    """Half medians over the numbered games stored in buckets by player; players of
+    more than 50 games lie in several buckets."""
+    seq = sequenced_games(fixture.token_tables(spark, sf_dir))
+    return reports.half_medians(entity_table(seq, "owner", "game_no", "n", "numbered-games", rows_per_piece=50))
+
+
+def skill_persistence_shared(spark, sf_dir: str) -> DataFrame:
+    """Skill persistence over the numbered games stored in buckets by player."""
+    seq = sequenced_games(fixture.token_tables(spark, sf_dir))
+    return reports.skill_persistence(entity_table(seq, "owner", "game_no", "n", "numbered-games"))

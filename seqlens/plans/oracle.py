@@ -319,3 +319,7 @@ ORACLE["early_vs_later_improvement"] = _q(
        FROM v WHERE n > 50 GROUP BY owner)
 """ + _improvement_sql("p", "early_med", "later_med", "avg_early_median", "avg_later_median",
                        uplift=True))
+
+# The same reports over the stored games.
+ORACLE["half_medians_shared"] = ORACLE["half_medians"]
+ORACLE["skill_persistence_shared"] = ORACLE["skill_persistence"]

@@ -5,6 +5,9 @@ Input of most reports: the output of ``operators.games.sequenced_games`` —
 counted over all in-scope games (invalid scores included). Validity is
 applied here, after numbering.
 
+Reports that make one row per player also take the ``EntityTable`` that
+``operators.reuse.entity_table`` writes, and then exchange no games.
+
 Plan notes. After numbering the rows are dealt by owner, large owners by ranges.
 Medians are partial aggregates (see ``operators.median``): an owner or tier with
 most of the rows costs one partial map per task, not one task.
@@ -24,6 +27,7 @@ from seqlens.operators.cohorts import (drop_members, mint_players, overlap, scop
 from seqlens.operators.games import is_valid, scoped_metadata, sequenced_games
 from seqlens.operators.median import median_of
 from seqlens.operators.ranking import quantile_tiers
+from seqlens.operators.reuse import EntityTable, per_entity
 
 
 def _r1(c: Column) -> Column:
@@ -68,15 +72,14 @@ def cohort_learning_curve(tables, members: DataFrame,
 
 # --- Q3 ---------------------------------------------------------------------
 
-def half_medians(seq: DataFrame, min_games: int = K.WITHIN_PLAYER_MIN_GAMES) -> DataFrame:
+def half_medians(seq: DataFrame | EntityTable, min_games: int = K.WITHIN_PLAYER_MIN_GAMES) -> DataFrame:
     """Per player with ``n >= min_games``: median valid score of the first half
     (``game_no <= n div 2``) and of the second half. One aggregate grouped by
     owner (no exchange after the numbering window)."""
-    f = seq.filter((F.col("n") >= min_games) & is_valid())
     first = F.col("game_no") <= F.floor(F.col("n") / 2)
-    return f.groupBy(F.col("owner").alias("player")).agg(
-        median_of(F.when(first, F.col("sc"))).alias("first_med"),
-        median_of(F.when(~first, F.col("sc"))).alias("second_med"))
+    medians = [median_of(F.when(first, F.col("sc"))).alias("first_med"),
+               median_of(F.when(~first, F.col("sc"))).alias("second_med")]
+    return per_entity(seq, "owner", medians, (F.col("n") >= min_games) & is_valid()).withColumnRenamed("owner", "player")
 
 
 def _improvement(p: DataFrame, first: str, second: str, first_name: str,
@@ -97,7 +100,7 @@ def _improvement(p: DataFrame, first: str, second: str, first_name: str,
     return both.agg(*aggs)
 
 
-def within_player_improvement(seq: DataFrame, min_games: int = K.WITHIN_PLAYER_MIN_GAMES
+def within_player_improvement(seq: DataFrame | EntityTable, min_games: int = K.WITHIN_PLAYER_MIN_GAMES
                               ) -> DataFrame:
     """Players whose second-half median beats their first-half median."""
     return _improvement(half_medians(seq, min_games), "first_med", "second_med",
@@ -115,29 +118,18 @@ def cohort_first_games(firsts: DataFrame, members: DataFrame, k: int = K.COHORT_
 
 # --- Q6 ---------------------------------------------------------------------
 
-def _persistence_base(seq: DataFrame, min_games: int, last: int | None = None) -> DataFrame:
-    keep = (F.col("n") >= min_games) & is_valid()
-    if last is not None:
-        keep = keep & (F.col("game_no") <= last)
-    return seq.filter(keep).select("owner", "game_no", "sc")
-
-
-def _skill_tiers(e: DataFrame, early: int, k: int) -> DataFrame:
-    em = e.filter(F.col("game_no") <= early) \
-        .groupBy(F.col("owner").alias("player")).agg(median_of("sc").alias("e10"))
-    return quantile_tiers(em, k, "e10", "player", tier="skill_tier")
-
-
-def skill_tiers(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
+def skill_tiers(seq: DataFrame | EntityTable, min_games: int = K.PERSISTENCE_MIN_GAMES,
                 early: int = K.PERSISTENCE_EARLY_GAMES, k: int = K.PERSISTENCE_TIERS
                 ) -> DataFrame:
     """``player, e10, skill_tier``: median valid score over ordinals
     ``<= early`` of players with ``n >= min_games``, cut into ``k`` NTILE tiers
     (ties broken by player)."""
-    return _skill_tiers(_persistence_base(seq, min_games), early, k)
+    keep = (F.col("n") >= min_games) & is_valid() & (F.col("game_no") <= early)
+    em = per_entity(seq, "owner", [median_of("sc").alias("e10")], keep).withColumnRenamed("owner", "player")
+    return quantile_tiers(em, k, "e10", "player", tier="skill_tier")
 
 
-def skill_persistence(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
+def skill_persistence(seq: DataFrame | EntityTable, min_games: int = K.PERSISTENCE_MIN_GAMES,
                       early: int = K.PERSISTENCE_EARLY_GAMES, k: int = K.PERSISTENCE_TIERS,
                       windows=K.PERSISTENCE_WINDOWS) -> DataFrame:
     """Median valid score per (early-skill tier, later window of ordinals).
@@ -147,12 +139,12 @@ def skill_persistence(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
     tiers are cut over the players, which carry their scores along, so no game is
     joined to a tier; the scores of a (tier, window) then meet as value -> count
     maps, one per task."""
-    e = _persistence_base(seq, min_games, windows[-1])
+    keep = (F.col("n") >= min_games) & is_valid() & (F.col("game_no") <= windows[-1])
     win, _ = bucketize("game_no", [(w, str(w)) for w in windows[:-1]], str(windows[-1]))
     is_early = F.col("game_no") <= early
     later = F.when(~is_early, F.struct(win.cast("bigint").alias("w"), "sc"))
-    players = e.groupBy(F.col("owner").alias("player")).agg(
-        median_of(F.when(is_early, F.col("sc"))).alias("e10"), F.collect_list(later).alias("later"))
+    players = per_entity(seq, "owner", [median_of(F.when(is_early, F.col("sc"))).alias("e10"), F.collect_list(later).alias("later")],
+                         keep).withColumnRenamed("owner", "player")
     tiers = quantile_tiers(players.filter(F.col("e10").isNotNull()), k, "e10", "player", tier="skill_tier")
     cells = tiers.select("skill_tier", F.explode("later").alias("g")).select("skill_tier", F.col("g.w").alias("later_window"), "g.sc")
     return _median_report(cells, ["skill_tier", "later_window"], "games") \
@@ -167,13 +159,13 @@ def tiers_ordered(persistence: DataFrame) -> DataFrame:
     return step.groupBy("later_window").agg(F.bool_and("_ok").alias("tiers_ordered"))
 
 
-def persistence_correlation(seq: DataFrame, min_games: int = K.PERSISTENCE_MIN_GAMES,
+def persistence_correlation(seq: DataFrame | EntityTable, min_games: int = K.PERSISTENCE_MIN_GAMES,
                             early: int = K.PERSISTENCE_EARLY_GAMES) -> DataFrame:
     """Pearson r between each player's early median and later median."""
-    e = seq.filter((F.col("n") >= min_games) & is_valid())
     is_early = F.col("game_no") <= early
-    p = e.groupBy("owner").agg(median_of(F.when(is_early, F.col("sc"))).alias("x"),
-                               median_of(F.when(~is_early, F.col("sc"))).alias("y"))
+    p = per_entity(seq, "owner", [median_of(F.when(is_early, F.col("sc"))).alias("x"),
+                                  median_of(F.when(~is_early, F.col("sc"))).alias("y")],
+                   (F.col("n") >= min_games) & is_valid())
     both = p.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     return both.agg(F.count(F.lit(1)).alias("players"),
                     F.round(F.corr("x", "y"), 6).alias("r"))
@@ -212,13 +204,13 @@ def retention_split(seq: DataFrame, k: int = K.COHORT_FIRST_K, buckets=RETENTION
     return _median_report(f, ["_ord", "retention"], f"first{k}_games").orderBy("_ord").drop("_ord")
 
 
-def early_vs_later_improvement(seq: DataFrame, min_games: int = 50, cut: int = 50) -> DataFrame:
+def early_vs_later_improvement(seq: DataFrame | EntityTable, min_games: int = 50, cut: int = 50) -> DataFrame:
     """Players with more than ``min_games`` games: median of games ``<= cut``
     vs games after it; share improving and relative uplift of the means."""
-    e = seq.filter((F.col("n") > min_games) & is_valid())
     early = F.col("game_no") <= cut
-    p = e.groupBy("owner").agg(median_of(F.when(early, F.col("sc"))).alias("early_med"),
-                               median_of(F.when(~early, F.col("sc"))).alias("later_med"))
+    p = per_entity(seq, "owner", [median_of(F.when(early, F.col("sc"))).alias("early_med"),
+                                  median_of(F.when(~early, F.col("sc"))).alias("later_med")],
+                   (F.col("n") > min_games) & is_valid())
     return _improvement(p, "early_med", "later_med", "avg_early_median", "avg_later_median",
                         uplift=True)
 

@@ -222,3 +222,62 @@ def test_bucketed_sink_writes_one_file_per_bucket(spark, tmp_path):
         assert len(list((tmp_path / "b").glob("part-*"))) <= 4
     finally:
         spark.sql("DROP TABLE IF EXISTS bucket_files")
+
+
+def _stored_games(spark, **how):
+    from seqlens.operators import entity_table, sequenced_games
+    from seqlens.sources import fixture
+    return entity_table(sequenced_games(fixture.token_tables(spark, SF001)), "owner", "game_no", "n", "stored-games", **how)
+
+
+def test_stored_games_are_read_without_an_exchange(spark):
+    """Per-player reports over the stored games exchange no row; with players in
+    several buckets, only partial aggregates of those."""
+    from seqlens.plans import reports
+    fact = _stored_games(spark)
+    assert not fact.has_large
+    lines = _static_plan(spark, lambda: reports.half_medians(fact))
+    assert not [x for x in lines if "Exchange" in x] and any("Bucketed: true" in x for x in lines)
+    split = _stored_games(spark, rows_per_piece=3)
+    assert split.has_large
+    lines = _static_plan(spark, lambda: reports.half_medians(split))
+    at = [i for i, x in enumerate(lines) if "Exchange" in x]
+    assert len(at) == 1 and "partial_percentile" in lines[at[0] + 1]
+    assert len([x for x in lines if "Bucketed: true" in x]) >= 1
+    for f in (fact, split):
+        f.drop()
+
+
+def test_a_large_player_is_stored_in_several_buckets(spark):
+    """One player with half of the rows: pieces of bounded size, dealt over the
+    buckets; the aggregates are those of the plain rows, without players too."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from seqlens.operators import entity_table, median_of, per_entity
+    df = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN 'big' WHEN id % 100 = 1 THEN NULL ELSE concat('p', id % 97) END AS owner",
+                                      "id * 37 % 1009 AS sc")
+    w = Window.partitionBy("owner")
+    numbered = df.withColumn("game_no", F.row_number().over(w.orderBy("sc"))).withColumn("n", F.count("*").over(w))
+    stored = entity_table(numbered, "owner", "game_no", "n", "large", buckets=8, rows_per_piece=100)
+    sizes = stored.stored.groupBy("owner", "_piece").count().collect()
+    assert stored.has_large and max(r["count"] for r in sizes) <= 100
+    assert len({r["_piece"] for r in sizes if r["owner"] == "big"}) == 20
+    files = stored.stored.filter("owner = 'big'").select(F.input_file_name()).distinct().count()
+    assert files >= 4
+    aggs = [median_of("sc").alias("m"), F.count("*").alias("c")]
+    keep = F.col("sc") > 5
+    key = lambda r: (str(r["owner"]), r["m"], r["c"])
+    want = sorted(map(key, per_entity(numbered, "owner", aggs, keep).collect()))
+    assert sorted(map(key, per_entity(stored, "owner", aggs, keep).collect())) == want
+    stored.drop()
+
+
+def test_no_stored_games(spark):
+    """An empty table is stored and read."""
+    from pyspark.sql import functions as F
+    from seqlens.operators import entity_table, per_entity
+    none = spark.createDataFrame([], "owner string, sc int, game_no bigint, n bigint")
+    stored = entity_table(none, "owner", "game_no", "n", "none")
+    assert not stored.has_large and stored.rows.columns == none.columns
+    assert per_entity(stored, "owner", [F.max("sc").alias("m")], F.lit(True)).collect() == []
+    stored.drop()
