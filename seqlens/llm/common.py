@@ -92,6 +92,19 @@ def raw_text(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0]:off[-1]], off - off[0]
 
 
+def bounded_batches(batches: Iterator[pa.RecordBatch], column: str | int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts take about ``size`` bytes; a longer
+    text is a batch of its own. Bounds what a worker makes of one batch."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(int(np.searchsorted(ends, before + size, "right")), at + 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Spread all 64 bits (finaliser of a multiply-xorshift generator)."""
     h = h ^ (h >> U64(30))

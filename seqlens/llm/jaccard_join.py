@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlens.llm.common import (LOWER, U64, bit_filter, bit_filter_has, mix64, raw_text, scratch_table, table,
+from seqlens.llm.common import (LOWER, U64, bit_filter, bit_filter_has, bounded_batches, mix64, raw_text, scratch_table, table,
                                 word_hashes)
 from seqlens.llm.components import components
 
@@ -86,7 +86,7 @@ def shared_tokens(documents: DataFrame, text: str, k: int, share: float) -> list
     """Bit filters of the sampled tokens that occur in two documents at least,
     and in ``FREQUENT`` at least. What is in neither occurs once."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches, 0):
             sets = [s[:sampled(s, share)] for s in shingle_sets(batch.column(0), k)]
             tok, n = np.unique(np.concatenate([np.zeros(0, U64)] + sets), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(n)], ["tok", "n"])
@@ -111,7 +111,7 @@ def signatures(documents: DataFrame, text: str, id_col: str, k: int, num: int, d
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice, often = sent.value
-        for batch in batches:
+        for batch in bounded_batches(batches, 1):
             cid, lead, rest, prefix, sizes = [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n = len(s)
@@ -142,7 +142,7 @@ def texts_of(documents: DataFrame, text: str, k: int, need: DataFrame) -> DataFr
     sent = documents.sparkSession.sparkContext.broadcast(bit_filter(need, "cid"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded_batches(batches, 0):
             sets = shingle_sets(batch.column(0), k)
             cid = np.array([digest(s) for s in sets], U64)
             seen: set[int] = set()
@@ -300,7 +300,7 @@ def qualifying(queries: DataFrame, classes: DataFrame, comp: DataFrame | None, w
 def opened(parts: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (u, v) among the qualifying classes, verified on whole texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in whole_groups(batches):
+        for t, bounds in whole_groups(bounded_batches(batches, "text")):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in linked(t, bounds, k, num, den)], ["u", "v"])
 
     return by_block(parts.join(texts, "cid"), run, "u bigint, v bigint")
